@@ -36,13 +36,6 @@ def _slots(array: str, n: int, prefix: str) -> list:
     return [F.col(array)[i].alias(f"{prefix}{i}") for i in range(n)]
 
 
-def _partitions(ds: Dataset) -> int | None:
-    """Ask for a shuffle of the training rows only where the scan keeps cores idle: a small
-    file of few row groups. A large input has more splits than cores and is left alone."""
-    cores = ds.spark.sparkContext.defaultParallelism
-    return cores if ds.raw.rdd.getNumPartitions() < cores else None
-
-
 # Text sets ---------------------------------------------------------------------------
 
 
@@ -220,8 +213,7 @@ def accuracy_rounded(spark, sf_dir):
 
 
 def _single(spark, sf_dir, spec: ModelSpec) -> RunResult:
-    ds = sets.lineitem_dominant(spark, sf_dir)
-    return single_model(ds, spec, num_partitions=_partitions(ds))
+    return single_model(sets.lineitem_dominant(spark, sf_dir), spec)
 
 
 def lr_predict(spark, sf_dir):
@@ -332,17 +324,13 @@ def stacking_nb_documents(spark, sf_dir):
 
 def bagging_mixed(spark, sf_dir):
     ds = sets.lineitem_dominant(spark, sf_dir)
-    scored = bagging(
-        ds, [NB, LR, DT], num_partitions=_partitions(ds), parallelism=FIT_PARALLELISM
-    ).predictions
+    scored = bagging(ds, [NB, LR, DT], parallelism=FIT_PARALLELISM).predictions
     return scored.select(*ds.key, "label", *_slots("predictions", 3, "p"), "prediction")
 
 
 def stacking_mixed(spark, sf_dir):
     ds = sets.lineitem_dominant(spark, sf_dir)
-    return stacking(
-        ds, [NB, LR, DT], LR, num_partitions=_partitions(ds), parallelism=FIT_PARALLELISM
-    ).predictions
+    return stacking(ds, [NB, LR, DT], LR, parallelism=FIT_PARALLELISM).predictions
 
 
 def run_report_query(spark, sf_dir):

@@ -1,7 +1,7 @@
 """Models whose prediction is the first best of one linear score per class.
 
-Naive Bayes and logistic regression both are. Their prediction is a column expression
-over literals, so it runs in the same stage as the scan and needs no vector column.
+Naive Bayes and logistic regression both are. Their prediction is an expression over
+constants that runs in the same stage as the scan and needs no vector column.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many products a score is one compiled expression; beyond it, array functions.
-UNROLL_TERMS = 2048
-
-LOWEST = float("-inf")
+# Up to this many products in one projection all scores are compiled expressions; beyond it
+# they are one matrix product per Arrow batch. The limits are where the JVM stops compiling
+# the generated method (8,000 bytecodes): past them the expression is ten times slower than
+# the batches. A product whose weight depends on the row takes more code.
+UNROLL_TERMS = 96
+UNROLL_TERMS_CHOSEN = 24
 
 
 @dataclass(frozen=True, eq=False)
@@ -29,61 +32,104 @@ class LinearModel:
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
         """Add the predicted class id."""
-        return predict(df, [self], out)
+        return predict_many(df, [[self]], [out])
 
 
-def _doubles(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _number(value: float) -> str:
+    value = float(value)
+    return f"({value!r}D)" if np.isfinite(value) else f"double('{value}')"
 
 
-def predict(
-    df: DataFrame, models: Sequence[LinearModel], out: str = "prediction", chooser: str | None = None
+def _align(models: Sequence[LinearModel]) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """All models over the same classes; a class a model does not know cannot win."""
+    classes = sorted({c for m in models for c in m.classes})
+    d = models[0].weights.shape[1]
+    intercepts = np.full((len(models), len(classes)), -np.inf)
+    weights = np.zeros((len(models), len(classes), d))
+    for k, m in enumerate(models):
+        at = [classes.index(c) for c in m.classes]
+        intercepts[k, at] = m.intercepts
+        weights[k, at] = m.weights
+    return classes, intercepts, weights
+
+
+def _unrolled(intercepts: np.ndarray, weights: np.ndarray, offset: str) -> str:
+    """SQL text of the position of the best class. SQL text, because a column object per
+    operation takes longer to build than the rows take to score."""
+    n_models, n_classes, d = weights.shape
+    if n_models == 1:
+        flat = None
+    else:
+        # One short constant expression, folded to a literal array before the scan starts.
+        values = np.concatenate([intercepts, weights.reshape(n_models, -1)], axis=1)
+        flat = f"cast(split('{','.join(repr(float(v)) for v in values.ravel())}', ',') AS array<double>)"
+
+    def at(i: int, literal: float) -> str:
+        return _number(literal) if flat is None else f"get({flat}, {offset} + {i})"
+
+    ranked = []
+    for c in range(n_classes):
+        score = at(c, intercepts[0, c])
+        for j in range(d):
+            score += f" + {at(n_classes + c * d + j, weights[0, c, j])} * features[{j}]"
+        # The first of the best: a higher score wins, then the lower class.
+        ranked.append(f"struct({score} AS score, {-c} AS rank)")
+    return f"-array_max(array({', '.join(ranked)})).rank"
+
+
+def _batched(intercepts: np.ndarray, weights: np.ndarray):
+    """The same position from one matrix product per model and Arrow batch."""
+    d = weights.shape[2]
+
+    @F.arrow_udf("int")
+    def best(features: pa.Array, model: pa.Array) -> pa.Array:
+        x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        chosen = model.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(x), dtype=np.int32)
+        for k in np.unique(chosen):
+            rows = chosen == k
+            out[rows] = (x[rows] @ weights[k].T + intercepts[k]).argmax(axis=1)
+        return pa.array(out)
+
+    return best
+
+
+def predict_many(
+    df: DataFrame,
+    model_sets: Sequence[Sequence[LinearModel]],
+    names: Sequence[str],
+    chooser: str | None = None,
 ) -> DataFrame:
-    """Predict with one model, or with ``models[row[chooser]]`` of each row.
+    """Add one predicted class column per model set.
 
-    With a chooser the coefficients of all models are one literal and the row picks its
+    Without a chooser a set is a single model. With one, a row uses ``models[row[chooser]]``
+    of every set: the coefficients of all models are one constant and the row picks its
     own, so out-of-fold prediction of all folds is one scan without a join. A row whose
     choice has no model gets NULL.
     """
-    classes = sorted({c for m in models for c in m.classes})
-    d = models[0].weights.shape[1]
-    intercepts, weights = [], []
-    for m in models:
-        b = np.full(len(classes), LOWEST)
-        w = np.zeros((len(classes), d))
-        for i, c in enumerate(m.classes):
-            b[classes.index(c)] = m.intercepts[i]
-            w[classes.index(c)] = m.weights[i]
-        intercepts.append(b)
-        weights.append(w)
-
-    single = chooser is None
-    if not single:
-        pick = F.col(chooser)
-        chosen_b = F.get(F.array(*[_doubles(b) for b in intercepts]), pick)
-        chosen_w = F.get(F.array(*[_doubles(w.ravel()) for w in weights]), pick)
-    x = F.col("features")
-    scores = []
-    if len(classes) * d <= UNROLL_TERMS:
-        for i in range(len(classes)):
-            score = F.lit(float(intercepts[0][i])) if single else chosen_b[i]
-            for j in range(d):
-                w = F.lit(float(weights[0][i][j])) if single else chosen_w[i * d + j]
-                score = score + w * x[j]
-            scores.append(score)
-    else:
-        for i in range(len(classes)):
-            b = F.lit(float(intercepts[0][i])) if single else chosen_b[i]
-            w = _doubles(weights[0][i]) if single else F.slice(chosen_w, i * d + 1, d)
-            products = F.zip_with(x, w, lambda p, q: p * q)
-            scores.append(F.aggregate(products, b, lambda acc, p: acc + p))
-    # The first of the best: a higher score wins, then the lower class.
-    ranked = F.array(
-        *[F.struct(s.alias("score"), F.lit(-i).alias("rank")) for i, s in enumerate(scores)]
-    )
-    best = -F.array_max(ranked)["rank"]
-    if not single:
-        best = F.when(pick < len(models), best)
-    if classes == [float(i) for i in range(len(classes))]:
-        return df.withColumn(out, best.cast("double"))
-    return df.withColumn(out, _doubles(classes)[best])
+    aligned = [_align(models) for models in model_sets]
+    terms = sum(w.shape[1] * w.shape[2] for _, _, w in aligned)
+    compiled = terms <= (UNROLL_TERMS if chooser is None else UNROLL_TERMS_CHOSEN)
+    pick = F.lit(0) if chooser is None else F.col(chooser)
+    offsets, predicted = {}, {}
+    for name, (classes, intercepts, weights) in zip(names, aligned):
+        n_models, n_classes, d = weights.shape
+        if compiled:
+            offset = f"_offset_{name}"
+            if n_models > 1:
+                offsets[offset] = (pick * (n_classes * (d + 1))).cast("int")
+            best = F.expr(_unrolled(intercepts, weights, offset))
+        else:
+            best = _batched(intercepts, weights)(
+                "features", F.least(pick, F.lit(n_models - 1)).cast("int")
+            )
+        if classes == [float(i) for i in range(n_classes)]:
+            label = best.cast("double")
+        else:
+            label = F.array(*[F.lit(c) for c in classes])[best]
+        if chooser is not None:
+            label = F.when(pick < n_models, label)
+        predicted[name] = label
+    if offsets:
+        df = df.withColumns(offsets)
+    return df.withColumns(predicted).drop(*offsets)

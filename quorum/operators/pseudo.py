@@ -10,18 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorum.functions.vote import vote_counts
-from quorum.operators.linear import LinearModel, predict
+from quorum.operators.linear import LinearModel, predict_many
 from quorum.operators.models import VECTOR
 
 
 def transform_all(df: DataFrame, models: Sequence, prefix: str = "p") -> DataFrame:
     """Add one prediction column per model (``p0``, ``p1``, ...)."""
-    trees = not all(isinstance(m, LinearModel) for m in models)
+    linear = {f"{prefix}{m}": [model] for m, model in enumerate(models) if isinstance(model, LinearModel)}
+    trees = {f"{prefix}{m}": t for m, t in enumerate(models) if f"{prefix}{m}" not in linear}
+    if linear:
+        df = predict_many(df, list(linear.values()), list(linear))
     if trees:
         df = df.withColumn(VECTOR, array_to_vector("features"))
-    for m, model in enumerate(models):
-        df = model.transform(df, f"{prefix}{m}")
-    return df.drop(VECTOR) if trees else df
+        for name, tree in trees.items():
+            df = tree.transform(df, name)
+        df = df.drop(VECTOR)
+    return df
 
 
 def out_of_fold(df: DataFrame, models_by_fold: Sequence[Sequence], prefix: str = "p") -> DataFrame:
@@ -35,9 +39,8 @@ def out_of_fold(df: DataFrame, models_by_fold: Sequence[Sequence], prefix: str =
     """
     folds = len(models_by_fold[0])
     if all(isinstance(m, LinearModel) for per_fold in models_by_fold for m in per_fold):
-        for m, per_fold in enumerate(models_by_fold):
-            df = predict(df, per_fold, f"{prefix}{m}", chooser="fold")
-        return df
+        names = [f"{prefix}{m}" for m in range(len(models_by_fold))]
+        return predict_many(df, models_by_fold, names, chooser="fold")
     branches = [
         transform_all(df.filter(F.col("fold") == k), [per_fold[k] for per_fold in models_by_fold], prefix)
         for k in range(folds)
