@@ -15,6 +15,17 @@ def _as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def at_least_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer splits than the session has cores.
+
+    For a small file with an expensive row. A large input has more splits than cores and is
+    returned as it is, so nothing large is ever shuffled here. ``df`` should be a plain
+    scan: counting its partitions plans it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _label_code(label: Column, classes: Sequence, on_bad_row: str) -> Column:
     code = nominal_code(label, classes)
     if on_bad_row == "drop":
