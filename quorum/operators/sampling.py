@@ -85,10 +85,14 @@ def with_bag_weights(
     """Add one column per bag: how often the row is drawn into it (0, 1, 2, ...)."""
     bags = range(bags) if isinstance(bags, int) else bags
     bits = 32 if method == "md5" else 53
+    if method == "md5":
+        # The text of the key is the same in every draw of the row.
+        df = df.withColumn("_key", F.concat_ws("|", *key))
+        key = ["_key"]
     # The draw is a column of its own, so that it is computed once and not per comparison.
     draws = {f"_u{b}": uniform(salt_of(f"bag{b}", seed), key, method) for b in bags}
     weights = {bag_column(b): poisson_weight(F.col(f"_u{b}"), rate, bits) for b in bags}
-    return df.withColumns(draws).withColumns(weights).drop(*draws)
+    return df.withColumns(draws).withColumns(weights).drop("_key", *draws)
 
 
 def attribute_mask(bag: int, n_input: int, keep=KEEP_PROBABILITY, seed=None) -> list[bool]:

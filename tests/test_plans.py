@@ -25,6 +25,11 @@ def nodes(text: str, name: str) -> int:
     return len(re.findall(rf"[-+:\s*()\d]{name}\b", text))
 
 
+def digests(text: str) -> int:
+    """Row digests computed; the scan line only repeats the filter's."""
+    return sum(line.count("md5(") for line in text.split("\n") if "FileScan" not in line)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"bagging_mixed", "stacking_mixed", "keel_attributes"}))
 def test_no_joins_windows_or_row_udfs(spark, name):
     text = plan(QUERIES[name](spark, SF_SMALL))
@@ -38,7 +43,7 @@ def test_bags_of_bayes_are_one_scan_and_one_small_shuffle(spark):
     weighted = sampling.with_bag_weights(train, ds.key, 5)
     text = plan(bayes.bag_sums(weighted, 4, [sampling.bag_column(b) for b in range(5)]))
     assert nodes(text, "FileScan") == 1 and nodes(text, "Exchange") == 1
-    assert text.count("md5(") == 1 + 5
+    assert digests(text) == 1 + 5
     assert "partial_sum" in text and "l_returnflag" not in text and "l_shipdate" not in text
 
 
@@ -51,7 +56,7 @@ def test_out_of_fold_is_one_scan(spark):
     copies = weighted_pseudo_labels(guessed, [F.col("p0"), F.col("p0")], 3)
     text = plan(bayes.grouped_sums(copies, 4, weight="weight"))
     assert nodes(text, "FileScan") == 1 and nodes(text, "Exchange") == 1
-    assert text.count("md5(") == 2
+    assert digests(text) == 2
 
 
 def test_predictions_stay_narrow(spark):
