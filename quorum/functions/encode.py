@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Up to this many elements an array is built from one expression per element, which Spark
-# compiles; longer ones use higher-order functions so that the plan stays small.
-UNROLL_LIMIT = 64
+# compiles. Longer ones use higher-order functions: the plan stays small, and the generated
+# method stays below the size at which the JVM stops compiling it.
+UNROLL_LIMIT = 32
 
 
 def literal_array(values: Sequence) -> Column:

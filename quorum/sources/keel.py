@@ -23,8 +23,15 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorum.functions.encode import class_onehot, label_from_onehot, nominal_code, rescale
-from quorum.schema import NOMINAL, REAL, Dataset, DatasetMeta, nominal, real
+from quorum.functions.encode import (
+    UNROLL_LIMIT,
+    class_onehot,
+    label_from_onehot,
+    literal_array,
+    nominal_code,
+    rescale_array,
+)
+from quorum.schema import NOMINAL, REAL, Attribute, Dataset, DatasetMeta, nominal, real
 
 # Fixed values of the file format.
 REAL_TYPES = ("real", "integer")
@@ -113,39 +120,68 @@ def _split_row(text: Column) -> Column:
     return F.split(F.when(tail, F.regexp_replace(text, "[ ,]+$", "")).otherwise(text), ",")
 
 
-def _field(parts: Column, i: int, n: int, trim_ends: bool) -> Column:
+def _trimmed(token: Column, first: bool, last: bool, trim_ends: bool) -> Column:
     # Spaces around a comma belong to the comma; those at the ends of the line do not.
-    token = F.get(parts, F.lit(i))
-    if trim_ends or 0 < i < n - 1:
+    if trim_ends or not (first or last):
         return F.trim(token)
-    return F.rtrim(token) if i == 0 else F.ltrim(token)
+    return F.rtrim(token) if first else F.ltrim(token)
+
+
+def _input_code(token: Column, a: Attribute, first: bool, trim_ends: bool) -> Column:
+    if a.kind == REAL:
+        return token.try_cast("double")  # a cast trims by itself
+    return nominal_code(_trimmed(token, first, False, trim_ends), a.values)
+
+
+def _input_codes(parts: Column, inputs: Sequence[Attribute], trim_ends: bool) -> Column:
+    """Array of input values: NULL for a number that does not parse, -1 for an undeclared
+    nominal value."""
+    if len(inputs) <= UNROLL_LIMIT:
+        return F.array(
+            *[_input_code(F.get(parts, F.lit(i)), a, i == 0, trim_ends) for i, a in enumerate(inputs)]
+        )
+    # One function over the fields, so that the plan and its code do not grow with the width.
+    first = _input_code(F.get(parts, F.lit(0)), inputs[0], True, trim_ends)
+    rest = F.slice(parts, 2, len(inputs) - 1)
+    if all(a.kind == REAL for a in inputs[1:]):
+        others = F.transform(rest, lambda token: token.try_cast("double"))
+    else:
+        domains = F.array(
+            *[
+                literal_array(a.values) if a.kind != REAL else F.array().cast("array<string>")
+                for a in inputs[1:]
+            ]
+        )
+        others = F.zip_with(
+            rest,
+            domains,
+            lambda token, domain: F.when(F.size(domain) == 0, token.try_cast("double")).otherwise(
+                (F.coalesce(F.array_position(domain, F.trim(token)), F.lit(0)) - 1).cast("double")
+            ),
+        )
+    return F.concat(F.array(first), others)
 
 
 def _parsed_fields(
     lines: DataFrame, meta: DatasetMeta, key: Sequence[str], value: str, trim_ends: bool
 ) -> DataFrame:
-    """Key, line, field list and one leniently parsed column per attribute.
-
-    A number that does not parse is NULL; a nominal value or class that is not declared
-    is -1. Nothing raises here.
-    """
+    """Key, line, whether the field count is right, input values and class code (or real
+    output). Nothing raises here."""
     n = meta.n_input + 1
     rows = data_lines(lines, value).select(*key, F.col(value), _split_row(F.col(value)).alias("_p"))
     parts = F.col("_p")
-    fields = []
-    for i, a in enumerate(meta.inputs):
-        if a.kind == REAL:
-            # A cast trims by itself.
-            fields.append(F.get(parts, F.lit(i)).try_cast("double").alias(f"_x{i}"))
-        else:
-            token = _field(parts, i, n, trim_ends)
-            fields.append(nominal_code(token, a.values).alias(f"_x{i}"))
+    token = F.get(parts, F.lit(n - 1))
     if meta.output_kind == REAL:
-        fields.append(F.get(parts, F.lit(n - 1)).try_cast("double").alias("_c"))
+        output = token.try_cast("double")
     else:
-        token = _field(parts, n - 1, n, trim_ends)
-        fields.append(nominal_code(token, meta.classes).alias("_c"))
-    return rows.select(*key, value, (F.size(parts) == n).alias("_ok"), *fields)
+        output = nominal_code(_trimmed(token, False, True, trim_ends), meta.classes)
+    return rows.select(
+        *key,
+        value,
+        (F.size(parts) == n).alias("_ok"),
+        _input_codes(parts, meta.inputs, trim_ends).alias("_x"),
+        output.alias("_c"),
+    )
 
 
 def parse_keel(
@@ -175,48 +211,32 @@ def parse_keel(
     key = list(key)
     rows = _parsed_fields(lines, meta, key, value, trim_ends)
     real_output = meta.output_kind == REAL
-    names = [f"_x{i}" for i in range(meta.n_input)]
-    reals = [f"_x{i}" for i, a in enumerate(meta.inputs) if a.kind == REAL]
+    bad_number = F.exists("_x", lambda x: x.isNull())
+    bad_class = F.col("_c").isNull() if real_output else F.col("_c") < 0
 
     if on_bad_row == "drop":
-        good = F.col("_ok")
-        for c in reals:
-            good = good & F.col(c).isNotNull()
-        good = good & (F.col("_c").isNotNull() if real_output else F.col("_c") >= 0)
-        rows = rows.filter(good)
+        rows = rows.filter(F.col("_ok") & ~bad_number & ~bad_class)
     else:
 
         def fail(what: str) -> Column:
             return F.raise_error(F.concat(F.lit(f"{what} in row: "), F.col(value)))
 
-        checked = [
-            F.when(~F.col("_ok"), fail("wrong number of fields"))
-            .when(F.col(c).isNull(), fail(f"not a number for {meta.inputs[int(c[2:])].name}"))
-            .otherwise(F.col(c))
-            .alias(c)
-            if c in reals
-            else F.when(~F.col("_ok"), fail("wrong number of fields")).otherwise(F.col(c)).alias(c)
-            for c in names
-        ]
-        bad_class = F.col("_c").isNull() if real_output else F.col("_c") < 0
-        label = (
-            F.when(~F.col("_ok"), fail("wrong number of fields"))
-            .when(bad_class, fail("unknown class"))
-            .otherwise(F.col("_c"))
-            .alias("_c")
+        fields = F.when(~F.col("_ok"), fail("wrong number of fields"))
+        rows = rows.select(
+            *key,
+            fields.when(bad_number, fail("not a number")).otherwise(F.col("_x")).alias("_x"),
+            fields.when(bad_class, fail("unknown class")).otherwise(F.col("_c")).alias("_c"),
         )
-        rows = rows.select(*key, *checked, label)
 
     outputs = F.array(F.col("_c")) if real_output else class_onehot(F.col("_c"), meta.n_output)
-    features = [
-        rescale(F.col(c), a.range_min, a.range_max, on_zero_range) if a.kind == REAL else F.col(c)
-        for c, a in zip(names, meta.inputs)
-    ]
+    spans = [(a.range_min, a.range_max) if a.kind == REAL else (0.0, 1.0) for a in meta.inputs]
     frame = rows.select(
         *key,
-        F.array(*[F.col(c) for c in names]).alias("inputs"),
+        F.col("_x").alias("inputs"),
         outputs.alias("outputs"),
-        F.array(*features).alias("features"),
+        rescale_array(F.col("_x"), [lo for lo, _ in spans], [hi for _, hi in spans], on_zero_range).alias(
+            "features"
+        ),
         (label_from_onehot(outputs) if real_output else F.col("_c")).alias("label"),
     )
     return Dataset(frame, meta, tuple(key), name, raw=source)
@@ -227,17 +247,13 @@ def load_report(
 ) -> DataFrame:
     """One row that counts what a load would reject or mark, from one pass."""
     rows = _parsed_fields(lines, meta, [], value, trim_ends=not compat)
-    false = F.lit(False)
-    bad_number = false
-    unknown_nominal = false
-    for i, a in enumerate(meta.inputs):
-        if a.kind == REAL:
-            bad_number = bad_number | F.col(f"_x{i}").isNull()
-        else:
-            unknown_nominal = unknown_nominal | (F.col(f"_x{i}") < 0)
+    bad_number = F.exists("_x", lambda x: x.isNull())
+    flags = literal_array([a.kind != REAL for a in meta.inputs])
+    unknown = F.zip_with("_x", flags, lambda x, is_nominal: is_nominal & (x < 0))
+    unknown_nominal = F.exists(unknown, lambda u: u)
     if meta.output_kind == REAL:
         bad_number = bad_number | F.col("_c").isNull()
-        unknown_class = false
+        unknown_class = F.lit(False)
     else:
         unknown_class = F.col("_c") < 0
     ok = F.col("_ok")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.functions.encode import class_onehot, nominal_code, rescale, rescale_array
+from quorum.functions.encode import UNROLL_LIMIT, class_onehot, nominal_code, rescale, rescale_array
 from quorum.schema import REAL, Attribute, Dataset, DatasetMeta, real
 
 
@@ -57,37 +57,52 @@ def from_table(
     meta = DatasetMeta(tuple(attributes), tuple(classes))
     key = list(key)
     columns = [_as_column(values.get(a.name, a.name)) for a in attributes]
-    rows = df.select(
-        *key,
-        *[
-            (c.cast("double") if a.kind == REAL else nominal_code(c, a.values)).alias(f"_x{i}")
-            for i, (c, a) in enumerate(zip(columns, attributes))
-        ],
-        _label_code(_as_column(label), meta.classes, on_bad_row).alias("_c"),
-    )
-    names = [f"_x{i}" for i in range(meta.n_input)]
-    reals = [(c, a) for c, a in zip(names, attributes) if a.kind == REAL]
-    if on_bad_row == "drop":
-        good = F.col("_c") >= 0
-        for c, _ in reals:
-            good = good & F.col(c).isNotNull()
-        rows = rows.filter(good)
-    else:
-        checked = {
-            c: F.coalesce(F.col(c), F.raise_error(F.lit(f"NULL in column {a.name}")))
-            for c, a in reals
-            if c in rows.columns
-        }
-        rows = rows.withColumns(checked) if checked else rows
-    features = [
-        rescale(F.col(c), a.range_min, a.range_max, on_zero_range) if a.kind == REAL else F.col(c)
-        for c, a in zip(names, attributes)
+    raw = [
+        c.cast("double") if a.kind == REAL else nominal_code(c, a.values)
+        for c, a in zip(columns, attributes)
     ]
+    code = _label_code(_as_column(label), meta.classes, on_bad_row).alias("_c")
+    if meta.n_input <= UNROLL_LIMIT:
+        names = [f"_x{i}" for i in range(meta.n_input)]
+        rows = df.select(*key, *[c.alias(n) for c, n in zip(raw, names)], code)
+        reals = {n: a for n, a in zip(names, attributes) if a.kind == REAL}
+        if on_bad_row == "drop":
+            for n in reals:
+                rows = rows.filter(F.col(n).isNotNull())
+        elif reals:
+            rows = rows.withColumns(
+                {
+                    n: F.coalesce(F.col(n), F.raise_error(F.lit(f"NULL in column {a.name}")))
+                    for n, a in reals.items()
+                }
+            )
+        inputs = F.array(*names)
+        features = F.array(
+            *[
+                rescale(F.col(n), a.range_min, a.range_max, on_zero_range) if a.kind == REAL else F.col(n)
+                for n, a in zip(names, attributes)
+            ]
+        )
+    else:
+        rows = df.select(*key, F.array(*raw).alias("_x"), code)
+        hole = F.exists("_x", lambda x: x.isNull())
+        if on_bad_row == "drop":
+            rows = rows.filter(~hole)
+        else:
+            message = F.lit("NULL in a real input column")
+            rows = rows.withColumn("_x", F.when(hole, F.raise_error(message)).otherwise(F.col("_x")))
+        inputs = F.col("_x")
+        spans = [(a.range_min, a.range_max) if a.kind == REAL else (0.0, 1.0) for a in attributes]
+        features = rescale_array(
+            inputs, [lo for lo, _ in spans], [hi for _, hi in spans], on_zero_range
+        )
+    if on_bad_row == "drop":
+        rows = rows.filter(F.col("_c") >= 0)
     frame = rows.select(
         *key,
-        F.array(*[F.col(c) for c in names]).alias("inputs"),
+        inputs.alias("inputs"),
         class_onehot(F.col("_c"), meta.n_output).alias("outputs"),
-        F.array(*features).alias("features"),
+        features.alias("features"),
         F.col("_c").alias("label"),
     )
     return Dataset(frame, meta, tuple(key), name, raw=df)

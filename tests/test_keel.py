@@ -205,3 +205,25 @@ def test_rows_do_not_depend_on_the_partitions(spark, text_file):
     one = parse_keel(lines.coalesce(1), meta).frame.collect()
     many = parse_keel(lines.repartition(5), meta).frame.collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
+
+
+def test_wide_set_is_read_like_a_narrow_one(spark, text_file):
+    """More attributes than are unrolled: same values, unknowns and failures."""
+    n = 40
+    kinds = ["{u, v}" if i % 3 == 0 else "real [0, 2]" for i in range(n)]
+    header = head(
+        "\n".join(f"@attribute a{i} {k}" for i, k in enumerate(kinds)) + "\n@attribute y {p, q}",
+        ", ".join(f"a{i}" for i in range(n)),
+    )
+    row = ["v" if i % 3 == 0 else "1.5" for i in range(n)]
+    unknown = ["w", *row[1:]]
+    good = header + " , ".join([*row, "q"]) + "\n" + ",".join([*unknown, "p"]) + "\n"
+    ds = load(spark, text_file, good)
+    inputs = [1.0 if i % 3 == 0 else 1.5 for i in range(n)]
+    assert column(ds, "inputs") == [(-1.0, *inputs[1:]), tuple(inputs)]
+    assert column(ds, "features")[1] == tuple(1.0 if i % 3 == 0 else 0.75 for i in range(n))
+    bad = header + ",".join([row[0], "x", *row[2:], "q"]) + "\n"
+    with pytest.raises(Exception, match="not a number"):
+        load(spark, text_file, bad).frame.collect()
+    (report,) = load_report(spark.read.text(text_file(good)), ds.meta).collect()
+    assert (report["rows"], report.unknown_nominal, report.bad_number) == (2, 1, 0)

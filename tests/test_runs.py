@@ -177,3 +177,16 @@ def test_wide_set(spark):
     result = bagging(ds, [NB] * 3)
     assert right(result)[1] == result.predictions.count() > 0
     assert right(stacking(ds, [NB, NB], NB))[1] == right(result)[1]
+
+
+def test_wide_table_is_read_like_a_narrow_one(spark, monkeypatch):
+    from quorum.sources import tables
+
+    narrow = rows(sets.orders(spark, SF_SMALL).frame)
+    monkeypatch.setattr(tables, "UNROLL_LIMIT", 1)
+    assert rows(sets.orders(spark, SF_SMALL).frame) == narrow
+    df = spark.createDataFrame([(1, 0.5, "u", "p"), (2, None, "v", "p")], "id int, x double, n string, y string")
+    args = ((sets.real("x", 0, 1), sets.nominal("n", "uv")), "y", ("p", "q"), ["id"])
+    with pytest.raises(Exception, match="NULL in a real input"):
+        sets.from_table(df, *args).frame.collect()
+    assert [r.id for r in sets.from_table(df, *args, on_bad_row="drop").frame.collect()] == [1]
