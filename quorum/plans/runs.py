@@ -286,26 +286,28 @@ def stacking(
         def votes():
             return [F.col(f"p{i}") for i in slot]
 
-        guessed = out_of_fold(training, by_fold)
-        copies = weighted_pseudo_labels(guessed, votes(), label_classes)
-        if final_spec.code == "NB":
-            sums = bayes.collect_sums(bayes.grouped_sums(copies, n_input, weight="weight"))
-            final = bayes.model_from_sums(sums[None], _smoothing(final_spec, fixed))
-        else:
+        def fit_level1(guessed: DataFrame):
+            copies = weighted_pseudo_labels(guessed, votes(), label_classes)
+            if final_spec.code == "NB":
+                sums = bayes.collect_sums(bayes.grouped_sums(copies, n_input, weight="weight"))
+                return bayes.model_from_sums(sums[None], _smoothing(final_spec, fixed))
             with kept(copies, cache, passes=2) as level1_rows:
-                final = fit(level1_rows, final_spec, label_classes, weight="weight")
-
-        refits = []
-        if with_test_predictions:
-            for i, d in enumerate(distinct):
-                own = guessed.select("features", F.col(f"p{i}").alias("label"))
-                own = own.filter(F.col("label").isNotNull())
-                spec = spec_of[d]
-                if spec.code == "NB":
-                    sums = bayes.collect_sums(bayes.grouped_sums(own, n_input))
-                    refits.append(bayes.model_from_sums(sums[None], _smoothing(spec, fixed)))
-                else:
-                    refits.append(fit(own, spec, label_classes))
+                return fit(level1_rows, final_spec, label_classes, weight="weight")
+
+        def refit(guessed: DataFrame, i: int):
+            own = guessed.select("features", F.col(f"p{i}").alias("label"))
+            own = own.filter(F.col("label").isNotNull())
+            spec = spec_of[distinct[i]]
+            if spec.code == "NB":
+                sums = bayes.collect_sums(bayes.grouped_sums(own, n_input))
+                return bayes.model_from_sums(sums[None], _smoothing(spec, fixed))
+            return fit(own, spec, label_classes)
+
+        again = range(len(distinct)) if with_test_predictions else ()
+        passes = 1 + sum(2 if spec_of[distinct[i]].code != "NB" else 1 for i in again)
+        with kept(out_of_fold(training, by_fold), cache if passes > 1 else False, passes) as guessed:
+            tasks = [lambda: fit_level1(guessed)] + [lambda i=i: refit(guessed, i) for i in again]
+            final, *refits = run_parallel(ds.spark, tasks, parallelism)
 
     # The same pseudo-labels with their row keys, for whoever wants to see them.
     keyed = folded.select(*ds.key, "features", "label", "fold").filter(F.col("fold") < used_folds)
