@@ -38,13 +38,19 @@ def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
 _STORED: list[str] = []
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame, written as Parquet to the session's shared checkpoint folder and read back:
-    its lineage ends there, and a lost executor costs a read. See ``release``."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the session's shared checkpoint folder. See ``release``."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     path = f"{folder.rstrip('/')}/quorum-{uuid.uuid4().hex}"
     _STORED.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written as Parquet to the session's shared checkpoint folder and read back:
+    its lineage ends there, and a lost executor costs a read."""
+    spark = df.sparkSession
+    path = shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

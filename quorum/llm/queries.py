@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import exact, quality
-from quorum.llm.common import doc_bucket, table
+from quorum.llm import bpe, exact, idfiles, quality
+from quorum.llm.common import doc_bucket, shared_path, table
 
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 QUALITY_THRESHOLD = 0.3
 
 
@@ -20,6 +23,14 @@ def op3_exact_dedup(spark, sf_dir):
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_token_id_files(spark, sf_dir):
+    path = shared_path(spark)
+    docs = table(spark, sf_dir, "documents")
+    idfiles.write_ids(docs, path, public_tokenizers.path(TOKENIZER), END_ID)
+    rows = idfiles.read_ids(spark, path)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, ~held_out(5, 0) & F.col("doc_id").isNotNull())
@@ -28,9 +39,23 @@ def op7_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op8_bpe_codec(spark, sf_dir):
+    path = public_tokenizers.path(TOKENIZER)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return coded.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_id_files": op5_token_id_files,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_bpe_codec": op8_bpe_codec,
 }
 
 ORACLE: dict[str, str] = {
