@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, exact, idfiles, quality
+from quorum.llm import bpe, decontaminate, exact, idfiles, quality
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,19 @@ def held_out(parts: int, part: int):
     return F.coalesce(doc_bucket(F.col("doc_id"), parts) == part, F.lit(False))
 
 
+def op2_decontaminate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_exact_dedup(spark, sf_dir):
     rows = exact.classes(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -52,6 +65,7 @@ def op8_bpe_codec(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_id_files": op5_token_id_files,
     "op7_quality_classifier": op7_quality_classifier,
@@ -59,6 +73,26 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        g AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+              FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s(i) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM g),
+        c AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+              FROM d, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) AS s(i)),
+        hits AS (SELECT doc_id, i, n, item_id FROM c JOIN g USING (n, gram)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits)
+                  GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s
                    FROM documents),
