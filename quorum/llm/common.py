@@ -121,17 +121,25 @@ def bitmap_of(values: DataFrame, column: str) -> Bitmap:
     return Bitmap(out)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+def skew_join(
+    left: DataFrame, right: DataFrame, key: str | list[str], how: str = "left", weight: str | None = None
+) -> DataFrame:
     """``left`` joined with ``right``, unique on ``key``, whatever share of ``left`` a key has.
 
     Keys with over HOT_SHARE of the rows are counted first; there are at most 1 / HOT_SHARE
     of them, so their rows of ``right`` are broadcast. The other keys go through a plain join.
     Both inputs are read more than once and should be stored; ``right`` should be narrow.
+    ``weight`` names a column of ``right`` that holds the count already; it is dropped.
     A null key joins nothing.
     """
     keys = [key] if isinstance(key, str) else key
-    total = left.count()
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if weight:
+        counts = right.select(*keys, F.col(weight).alias("_n"))
+        total = right.agg(F.sum(weight)).first()[0] or 0
+        right = right.drop(weight)
+    else:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        total = left.count()
     hot = counts.filter(F.col("_n") > max(1.0, total * HOT_SHARE)).select(*keys).dropna()
     hot_right = F.broadcast(stored(right.join(F.broadcast(hot), keys, "left_semi")))
     in_hot = left.join(hot_right, keys, "inner")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, decontaminate, exact, idfiles, quality
+from quorum.llm import bpe, decontaminate, exact, idfiles, near, quality
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -64,12 +64,18 @@ def op8_bpe_codec(spark, sf_dir):
     )
 
 
+def op9_parity_sketch_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return near.components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_id_files": op5_token_id_files,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_parity_sketch_join": op9_parity_sketch_join,
 }
 
 ORACLE: dict[str, str] = {
