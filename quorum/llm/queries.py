@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, decontaminate, exact, idfiles, near, quality
+from quorum.llm import bpe, decontaminate, exact, idfiles, language, near, quality
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,13 @@ def op3_exact_dedup(spark, sf_dir):
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, ~held_out(4, 2) & F.col("doc_id").isNotNull())
+    predicted = language.predict(docs.select("doc_id", "text"), model)
+    return predicted.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_token_id_files(spark, sf_dir):
     path = shared_path(spark)
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +79,7 @@ def op9_parity_sketch_join(spark, sf_dir):
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_token_id_files": op5_token_id_files,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
