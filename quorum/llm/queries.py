@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, decontaminate, exact, idfiles, language, near, quality
+from quorum.llm import bpe, chat, decontaminate, exact, idfiles, language, near, pii, quality
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,19 @@ def op5_token_id_files(spark, sf_dir):
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_bootstrapped_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spell(F.col("base")), 256).alias("base_sha256"),
+        pii.spell(F.col("spans")).alias("spans"),
+    )
+
+
 def op7_quality_classifier(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, ~held_out(5, 0) & F.col("doc_id").isNotNull())
@@ -76,14 +89,46 @@ def op9_parity_sketch_join(spark, sf_dir):
     return near.components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_chat_format(spark, sf_dir):
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise(chat.ASSISTANT).alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat.examples(rows)
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))
+    # The last example of a conversation holds all its turns.
+    last = F.max_by("formatted", "target")
+    back = made.groupBy("conv_id").agg(
+        chat.parse(last).alias("turns"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("target", loss.alias("text")))), lambda x: x["text"]), ""
+        ).alias("loss"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    spelled = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spelled, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_id_files": op5_token_id_files,
+    "op6_bootstrapped_pii": op6_bootstrapped_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_parity_sketch_join": op9_parity_sketch_join,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE: dict[str, str] = {
@@ -107,6 +152,24 @@ ORACLE: dict[str, str] = {
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op10_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                     sum(20 + length(role) + length(text)
+                         + 2 * (length(role) + length(text)) - length(replace(role, '\', '')) - length(replace(text, '\', ''))
+                         - length(replace(role, '<', '')) - length(replace(text, '<', ''))) OVER w AS so_far
+              FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+                     sum(so_far) FILTER (role = 'assistant' OR i = n) AS chars
+              FROM n GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               chars::BIGINT AS formatted_chars FROM g
+    """,
     "op3_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s
                    FROM documents),
