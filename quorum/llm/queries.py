@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, chat, decontaminate, exact, idfiles, language, near, pii, quality
+from quorum.llm import bpe, chat, decontaminate, exact, html_text, idfiles, language, near, pii, quality
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def held_out(parts: int, part: int):
     return F.coalesce(doc_bucket(F.col("doc_id"), parts) == part, F.lit(False))
 
 
+def op1_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_decontaminate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -120,6 +124,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
