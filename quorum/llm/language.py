@@ -90,7 +90,7 @@ def fit(docs: DataFrame, learn_from: Column, words: int = WORDS, grams: int = GR
     at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, np.ndarray]] = {0: {}, **{k: {} for k in ORDERS}}
     for order, lang, item, n in got.itertuples(index=False):
-        tables[order].setdefault(item, np.full(len(languages), UNSEEN))[at[lang]] = n
+        tables[order].setdefault(item, np.zeros(len(languages)))[at[lang]] = n
     floors = {}
     for order, table in tables.items():
         if not table:
@@ -98,8 +98,11 @@ def fit(docs: DataFrame, learn_from: Column, words: int = WORDS, grams: int = GR
             continue
         matrix = np.stack(list(table.values()))
         total = matrix.sum(axis=0)
-        logs = np.log(matrix) - np.log(total)
-        floors[order] = np.log(UNSEEN) - np.log(total)
+        # One floor for all: less text to learn from must not make unseen words likelier.
+        floor = np.log(UNSEEN) - np.log(total.max())
+        floors[order] = np.full(len(languages), floor)
+        with np.errstate(divide="ignore"):
+            logs = np.where(matrix > 0, np.log(matrix) - np.log(total), floor)
         for row, item in zip(logs, table):
             table[item] = row
     return LanguageModel(languages, tables[0], {k: tables[k] for k in ORDERS}, floors)
