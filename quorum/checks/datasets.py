@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions.encode import rescale
 from quorum.schema import Dataset, nominal, real
-from quorum.sources.tables import at_least_cores, from_array_table, from_table
+from quorum.sources.tables import from_array_table, from_table
 
 LINEITEM_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 LINEITEM_REALS = (
@@ -16,6 +16,7 @@ LINEITEM_REALS = (
     real("l_discount", 0, 0.1),
     real("l_tax", 0, 0.08),
 )
+LINEITEM_DISCRETE = (LINEITEM_REALS[0], *LINEITEM_REALS[2:])
 RETURN_FLAGS = ("A", "N", "R")
 LINE_STATUS = ("F", "O")
 ORDER_STATUS = ("F", "O", "P")
@@ -62,14 +63,21 @@ def lineitem_dominant(spark, sf_dir) -> Dataset:
 
 def documents_lang(spark, sf_dir) -> Dataset:
     """Counts of fifteen letters over the whole text; the class is the language."""
-    # Fifteen passes over every text: worth a shuffle where the file has few row groups.
-    df = at_least_cores(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    df = df.select("doc_id", "lang", F.lower("text").alias("t"))
-    counts = {f"n_{c}": F.size(F.split("t", c)) - 1 for c in LETTERS}
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("t"))
+    counts = {f"n_{c}": F.length("t") - F.length(F.replace("t", F.lit(c), F.lit(""))) for c in LETTERS}
     attributes = [real(name, 0, 100) for name in counts]
     return from_table(df, attributes, "lang", LANGS, ["doc_id"], counts, name="documents_lang")
 
 
+def lineitem_discrete(spark, sf_dir) -> Dataset:
+    """The three inputs of ``lineitem`` with few values; the class is which is largest. A tree
+    over them can be worked out in SQL, since its candidate cuts are all pairs of neighbours."""
+    df = table(spark, sf_dir, "lineitem")
+    q, d, t = [rescale(F.col(a.name), a.range_min, a.range_max) for a in LINEITEM_DISCRETE]
+    label = F.when((q >= d) & (q >= t), 0).when(d >= t, 1).otherwise(2)
+    return from_table(df, LINEITEM_DISCRETE, label, (0, 1, 2), LINEITEM_KEY, name="lineitem_discrete")
+
+
 def orders(spark, sf_dir) -> Dataset:
     """A real and a nominal input; the class is the order status."""
     df = table(spark, sf_dir, "orders")
@@ -98,6 +106,16 @@ def embeddings(spark, sf_dir) -> Dataset:
     )
 
 
+def embeddings_wide(spark, sf_dir) -> Dataset:
+    """Every vector and its mirror image: 128 reals."""
+    df = table(spark, sf_dir, "embeddings")
+    both = F.concat("embedding", F.transform("embedding", lambda x: -x))
+    df = df.select("vec_id", "label", both.alias("both"))
+    return from_array_table(
+        df, "both", 2 * EMBEDDING_SIZE, -1.0, 1.0, "label", range(10), ["vec_id"], name="embeddings_wide"
+    )
+
+
 def orders_lines(spark, sf_dir) -> DataFrame:
     """``orders`` written as a header-declared text set: ``position``, ``row_id``, ``value``.
 

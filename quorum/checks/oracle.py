@@ -1,4 +1,5 @@
-"""The same answers in SQL, worked out from the tables and not from the library.
+"""The same answers in SQL, worked out from the tables and not from the library: draws and
+masks are DuckDB's own digests.
 
 Only the declared constants (ranges, class lists, letters) are shared with the queries.
 """
@@ -6,9 +7,9 @@ Only the declared constants (ranges, class lists, letters) are shared with the q
 from __future__ import annotations
 
 from quorum.checks import datasets as sets
-from quorum.functions.hashing import uniform_of
 
 BAGS = 3
+TREE_DEPTH = 3
 
 # Cumulative Poisson(0.66) probabilities of 0, 1, 2, ... draws.
 POISSON_CDF = (
@@ -23,9 +24,20 @@ POISSON_CDF = (
 )
 
 
-def draw(salt: str, key) -> str:
-    digest = f"md5(concat_ws('|', '{salt}', {', '.join(f'{k}::varchar' for k in key)}))"
-    return f"(('0x' || substr({digest}, 1, 8))::bigint / 4294967296.0)"
+def draw(salt: str, key=(), part: int = 0) -> str:
+    """32 bits of the digest of salt and key, over 2^32."""
+    digest = f"md5(concat_ws('|', {', '.join([f"'{salt}'", *(f'{k}::varchar' for k in key)])}))"
+    return f"(('0x' || substr({digest}, {1 + 8 * part}, 8))::bigint / 4294967296.0)"
+
+
+def bag_weight(bag: int, key) -> str:
+    """Poisson draw of a bag; four bags share a digest."""
+    u = draw(f"bags{bag // 4}", key, bag % 4)
+    return "(" + " + ".join(f"({u} >= {c})::int" for c in POISSON_CDF) + ")::int"
+
+
+def kept_input(bag: int, j: int) -> str:
+    return f"({draw(f'mask|{bag}|{j}')} < 0.85)"
 
 
 def scaled(x: str, low: float, high: float) -> str:
@@ -78,7 +90,7 @@ test AS (SELECT * FROM base WHERE part = 'test')"""
         else:
             masked = ", ".join(
                 "CASE "
-                + " ".join(f"WHEN g = {g} THEN {'r%d' % j if k[j] else '0.0'}" for g, k in keep.items())
+                + " ".join(f"WHEN g = {g} THEN CASE WHEN {k[j]} THEN r{j} ELSE 0.0 END" for g, k in keep.items())
                 + f" END AS s{j}"
                 for j in range(self.d)
             )
@@ -97,16 +109,122 @@ test AS (SELECT * FROM base WHERE part = 'test')"""
 {out} AS (SELECT x.*, m.g, m.label AS prediction FROM {rows} x JOIN {model} m ON {on}
           QUALIFY row_number() OVER (PARTITION BY x.rid, m.g ORDER BY {score} DESC, m.label) = 1)"""
 
+    def tree(self, out: str, rows: str, depth: int = TREE_DEPTH, weight: str = "1") -> str:
+        """A Gini tree per ``g`` of ``rows``: the best cut of every node, level by level, and the
+        leaf of every row as ``{out}_leaf``. Candidate cuts lie halfway between neighbouring
+        values of the whole sample; of equal ones the first input and the lowest cut wins."""
+        classes = range(self.n_classes)
+        kc = [f"k{c}" for c in classes]
+        parts = [
+            f"""
+{out}_at0 AS (SELECT *, 1 AS node, ({weight})::double AS w FROM {rows} WHERE ({weight}) > 0),
+{out}_value AS ({self._points(f'(SELECT g, {names("f", self.d)} FROM {out}_at0)', 'g')}),
+{out}_edge AS (SELECT g, feature, x, lead(x) OVER (PARTITION BY g, feature ORDER BY x) AS next_x
+               FROM (SELECT DISTINCT g, feature, x FROM {out}_value))"""
+        ]
+        squares = lambda p: " + ".join(f"{p}{c} * {p}{c}" for c in classes)
+        for level in range(depth):
+            at, best = f"{out}_at{level}", f"{out}_best{level}"
+            sums = ", ".join(f"sum(w) FILTER (label = {c}) AS k{c}" for c in classes)
+            low = ", ".join(f"coalesce(sum(k{c}) FILTER (h.x <= e.x), 0) AS c{c}" for c in classes)
+            all_ = ", ".join(f"coalesce(sum(k{c}), 0) AS a{c}" for c in classes)
+            cn, an = " + ".join(f"c{c}" for c in classes), " + ".join(f"a{c}" for c in classes)
+            high = ", ".join(f"a{c} - c{c} AS d{c}" for c in classes)
+            parts.append(f"""
+{at}_hist AS (SELECT g, node, feature, x, count(*) AS m, {sums} FROM ({self._points(at, 'g, node, label, w')}) GROUP BY ALL),
+{at}_cut AS (SELECT e.g, h.node, e.feature, e.x, e.next_x, coalesce(sum(m) FILTER (h.x <= e.x), 0) AS m, sum(m) AS am, {low}, {all_}
+             FROM {out}_edge e JOIN {at}_hist h ON e.g = h.g AND e.feature = h.feature
+             WHERE e.next_x IS NOT NULL GROUP BY ALL),
+{at}_sides AS (SELECT *, {cn} AS n, {an} AS an, {high} FROM {at}_cut WHERE m > 0 AND m < am),
+{at}_rated AS (SELECT *, (n - ({squares('c')}) / n) + ((an - n) - ({squares('d')}) / (an - n)) AS impurity,
+               an - ({squares('a')}) / an AS before FROM {at}_sides),
+{best} AS (SELECT g, node, feature, (x + next_x) / 2 AS cut FROM {at}_rated WHERE before - impurity > 1e-9
+           QUALIFY row_number() OVER (PARTITION BY g, node ORDER BY round(impurity, 6), feature, x) = 1),
+{out}_at{level + 1} AS ({self._step(at, best)})""")
+        counts = ", ".join(f"coalesce(sum(w) FILTER (label = {c}), 0) AS {k}" for c, k in zip(classes, kc))
+        parts.append(f"""
+{out}_leaf AS (SELECT g, node, {self.winner(kc)} AS prediction
+               FROM (SELECT g, node, {counts} FROM {out}_at{depth} GROUP BY g, node))""")
+        return ",".join(parts)
+
+    def _points(self, rows: str, keep: str) -> str:
+        return " UNION ALL ".join(f"SELECT {keep}, {j} AS feature, f{j} AS x FROM {rows}" for j in range(self.d))
+
+    def _step(self, rows: str, best: str) -> str:
+        x = "CASE b.feature " + " ".join(f"WHEN {j} THEN r.f{j}" for j in range(self.d)) + " END"
+        return f"""SELECT r.* EXCLUDE (node), CASE WHEN b.feature IS NULL THEN r.node
+ELSE 2 * r.node + ({x} > b.cut)::int END AS node FROM {rows} r LEFT JOIN {best} b ON r.g = b.g AND r.node = b.node"""
+
+    def tree_guess(self, out: str, rows: str, model: str, depth: int = TREE_DEPTH) -> str:
+        """The leaf's class for every row of ``rows``, which name the tree in ``g``."""
+        parts = [f"\n{out}_0 AS (SELECT *, 1 AS node FROM {rows})"]
+        for level in range(depth):
+            parts.append(f"\n{out}_{level + 1} AS ({self._step(f'{out}_{level}', f'{model}_best{level}')})")
+        parts.append(f"""
+{out} AS (SELECT r.* EXCLUDE (node), l.prediction FROM {out}_{depth} r JOIN {model}_leaf l ON r.g = l.g AND r.node = l.node)""")
+        return ",".join(parts)
+
+    def single_tree(self) -> str:
+        return (
+            self.base
+            + ","
+            + self.tree("tree", "(SELECT 0 AS g, * FROM train)")
+            + ","
+            + self.tree_guess("scored", "(SELECT 0 AS g, * FROM test)", "tree")
+        )
+
+    def bagging_mixed(self) -> str:
+        """Bag 0 is Bayes, bag 1 a tree."""
+        masked = ", ".join(f"CASE WHEN {kept_input(1, j)} THEN f{j} ELSE 0.0 END AS f{j}" for j in range(self.d))
+        counts = ", ".join(f"(p0 = {c})::int + (p1 = {c})::int AS v{c}" for c in range(self.n_classes))
+        return (
+            self.base
+            + f""",
+drawn AS (SELECT {bag_weight(0, self.key)} AS w, * FROM train),
+bag1 AS (SELECT 0 AS g, rid, {masked}, label, {bag_weight(1, self.key)} AS bw FROM train),"""
+            + self.fit("model", "(SELECT * FROM drawn WHERE w > 0)", "0", "w", {0: [kept_input(0, j) for j in range(self.d)]})
+            + ","
+            + self.guess("by_bayes", "test", "model")
+            + ","
+            + self.tree("tree", "bag1", weight="bw")
+            + ","
+            + self.tree_guess("by_tree", "(SELECT 0 AS g, * FROM test)", "tree")
+            + f""",
+both_ AS (SELECT b.rid, {', '.join('b.' + k for k in self.key)}, b.label, b.prediction AS p0, t.prediction AS p1
+          FROM by_bayes b JOIN by_tree t USING (rid)),
+scored AS (SELECT *, {self.winner([f'v{c}' for c in range(self.n_classes)])} AS prediction
+           FROM (SELECT *, {counts} FROM both_))"""
+        )
+
+    def stacking_mixed(self) -> str:
+        """Level 0: Bayes and a tree, out of fold; level 1: Bayes on both copies."""
+        others = "(SELECT k.k AS g, t.* FROM train t JOIN range(0, 10) k(k) ON t.fold <> k.k)"
+        return (
+            self.base
+            + ","
+            + self.fit("level0", others, "g")
+            + ","
+            + self.guess("by_bayes", "train", "level0", "m.g = x.fold")
+            + ","
+            + self.tree("tree", others)
+            + ","
+            + self.tree_guess("by_tree", "(SELECT fold AS g, * FROM train)", "tree")
+            + f""",
+copies AS (SELECT {names('f', self.d)}, prediction AS label FROM by_bayes
+           UNION ALL SELECT {names('f', self.d)}, prediction FROM by_tree),"""
+            + self.fit("model", "copies")
+            + ","
+            + self.guess("scored", "test", "model")
+        )
+
     def single(self) -> str:
         return self.base + "," + self.fit("model", "train") + "," + self.guess("scored", "test", "model")
 
     def bagging(self) -> str:
         weights = []
         for b in range(BAGS):
-            u = draw(f"bag{b}", self.key)
-            hits = " + ".join(f"({u} >= {c})::int" for c in POISSON_CDF)
-            weights.append(f"SELECT {b} AS bag, {hits} AS w, * FROM train")
-        keep = {b: [uniform_of(f"mask|{b}|{j}") < 0.85 for j in range(self.d)] for b in range(BAGS)}
+            weights.append(f"SELECT {b} AS bag, {bag_weight(b, self.key)} AS w, * FROM train")
+        keep = {b: [kept_input(b, j) for j in range(self.d)] for b in range(BAGS)}
         counts = ", ".join(
             f"count(*) FILTER (prediction = {c})::int AS v{c}" for c in range(self.n_classes)
         )
@@ -143,7 +261,7 @@ copies AS (SELECT c.model, p.rid, {', '.join(self.key)}, {names('f', self.d)}, p
            FROM pseudo p, range(0, 2) c(model))"""
         )
 
-    def stacking(self, last: int = 8) -> str:
+    def stacking(self, last: int) -> str:
         return (
             self.out_of_fold(last)
             + ","
@@ -168,6 +286,27 @@ DOMINANT = LabelledSet(
     f"CASE WHEN {LI} THEN 0.0 WHEN f2 >= f3 THEN 1.0 ELSE 2.0 END::double",
     3,
 )
+WIDE = LabelledSet(
+    "embeddings",
+    ("vec_id",),
+    [scaled(f"{sign}embedding[{i}]::double", -1, 1) for sign in ("", "-") for i in range(1, sets.EMBEDDING_SIZE + 1)],
+    "label::double",
+    10,
+)
+ORDERS = LabelledSet(
+    "orders",
+    ("o_orderkey",),
+    [scaled("o_totalprice", 1000, 500000), position(PRIORITY, sets.PRIORITIES)],
+    position("o_orderstatus", sets.ORDER_STATUS),
+    3,
+)
+DISCRETE = LabelledSet(
+    "lineitem",
+    sets.LINEITEM_KEY,
+    [scaled(a.name, a.range_min, a.range_max) for a in sets.LINEITEM_DISCRETE],
+    "CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0.0 WHEN f1 >= f2 THEN 1.0 ELSE 2.0 END::double",
+    3,
+)
 DOCUMENTS = LabelledSet(
     "documents",
     ("doc_id",),
@@ -286,19 +425,14 @@ FROM train, range(0, 10) r(k) GROUP BY k""",
     "bootstrap_weights": with_(
         LINEITEM.base,
         f"SELECT {LINEITEM_KEY}, "
-        + ", ".join(
-            "("
-            + " + ".join(f"({draw(f'bag{b}', sets.LINEITEM_KEY)} >= {c})::int" for c in POISSON_CDF)
-            + f")::int AS bag{b}"
-            for b in range(BAGS)
-        )
+        + ", ".join(f"{bag_weight(b, sets.LINEITEM_KEY)} AS bag{b}" for b in range(BAGS))
         + " FROM train",
     ),
     "attribute_mask": with_(
         LINEITEM.base,
         f"SELECT {LINEITEM_KEY}, "
         + ", ".join(
-            (f"f{j}" if (b, j) not in ((0, 2), (1, 3)) else "0.0::double") + f" AS bag{b}_f{j}"
+            f"CASE WHEN {kept_input(b, j)} THEN f{j} ELSE 0.0 END::double AS bag{b}_f{j}"
             for b in range(2)
             for j in range(4)
         )
@@ -311,6 +445,13 @@ FROM train, range(0, 10) r(k) GROUP BY k""",
         + " FROM model",
     ),
     "nb_predict": with_(DOCUMENTS.single(), "SELECT doc_id, label, prediction FROM scored"),
+    "wide_nb_predict": with_(WIDE.single(), "SELECT vec_id, label, prediction FROM scored"),
+    "wide_nb_sums": with_(
+        WIDE.base,
+        "SELECT label, count(*)::double AS n, "
+        + ", ".join(f"round(sum(f{j}), 6) AS s{j}" for j in (0, 63, 64, 127))
+        + " FROM train GROUP BY label",
+    ),
     "single_nb_accuracy": with_(DOCUMENTS.single(), score(full=False)),
     "single_nb_lineitem": with_(DOMINANT.single(), score(full=False)),
     "accuracy_rounded": with_(
@@ -322,6 +463,18 @@ FROM scored GROUP BY label""",
     "single_lr": with_(
         DOMINANT.base, 'SELECT count(*) AS "right", count(*) AS total, 1.0::double AS accuracy FROM test'
     ),
+    "lr_moments": with_(
+        ORDERS.base,
+        "SELECT c.c::double AS label, j.j::int AS feature, "
+        "round(avg(CASE WHEN label = c.c THEN CASE j.j WHEN 0 THEN f0 ELSE f1 END ELSE 0.0 END), 2) AS moment "
+        "FROM train, range(0, 3) c(c), range(0, 2) j(j) GROUP BY ALL",
+    ),
+    "dt_predict": with_(DISCRETE.single_tree(), f"SELECT {LINEITEM_KEY}, label, prediction FROM scored"),
+    "single_dt": with_(DISCRETE.single_tree(), score(full=False)),
+    "bagging_mixed": with_(
+        DISCRETE.bagging_mixed(), f"SELECT {LINEITEM_KEY}, label, p0, p1, prediction FROM scored"
+    ),
+    "stacking_mixed": with_(DISCRETE.stacking_mixed(), f"SELECT {LINEITEM_KEY}, label, prediction FROM scored"),
     "dt_stump": with_(
         DOMINANT.base
         + """,
@@ -354,23 +507,24 @@ FROM cuts ORDER BY impurity LIMIT 1""",
     "bagging_nb_accuracy": with_(DOMINANT.bagging(), score()),
     "bagging_nb_documents": with_(DOCUMENTS.bagging(), score()),
     "pseudo_labels_nb": with_(
-        DOMINANT.out_of_fold(8),
+        DOMINANT.out_of_fold(9),
         f"SELECT {LINEITEM_KEY}, fold, prediction AS pseudo0, prediction AS pseudo1 FROM pseudo",
     ),
     "level1_training_nb": with_(
-        DOMINANT.out_of_fold(8), f"SELECT {LINEITEM_KEY}, model::int AS model, label, f0, f1, f2, f3 FROM copies"
+        DOMINANT.out_of_fold(9), f"SELECT {LINEITEM_KEY}, model::int AS model, label, f0, f1, f2, f3 FROM copies"
     ),
     "level1_test_nb": with_(
-        DOMINANT.out_of_fold(8)
+        DOMINANT.out_of_fold(9)
         + ","
         + DOMINANT.fit("model", "(SELECT * FROM copies WHERE model = 0)")
         + ","
         + DOMINANT.guess("scored", "test", "model"),
         f"SELECT {LINEITEM_KEY}, c.model::int AS model, prediction AS label FROM scored, range(0, 2) c(model)",
     ),
-    "stacking_nb_accuracy": with_(DOMINANT.stacking(8), score()),
+    "stacking_nb_accuracy": with_(DOMINANT.stacking(9), score()),
+    "stacking_nb_historic": with_(DOMINANT.stacking(8), score()),
     "stacking_nb_all_folds": with_(DOMINANT.stacking(9), score()),
-    "stacking_nb_documents": with_(DOCUMENTS.stacking(8), score()),
+    "stacking_nb_documents": with_(DOCUMENTS.stacking(9), score()),
     "run_report": with_(
         DOCUMENTS.single(),
         f"""SELECT 'single' AS run, 'documents_lang' AS input, NULL::int AS num_partitions, 'NB 1.0' AS level0_models,

@@ -19,6 +19,7 @@ from quorum.functions.encode import (
 from quorum.functions.vote import plurality_vote, vote_counts
 from quorum.operators import prepare, sampling
 from quorum.operators.models import TreeModel
+from quorum.operators.naive_bayes import grouped_sums
 from quorum.plans.report import run_report
 from quorum.plans.runs import RunResult, bagging, single_model, stacking
 from quorum.schema import Dataset, DatasetMeta, ModelSpec, nominal
@@ -27,9 +28,11 @@ from quorum.sources.keel import data_lines, header_lines, load_report, parse_hea
 NB = ModelSpec.of("NB", 1.0)
 LR = ModelSpec.of("LR", 3)
 DT = ModelSpec.of("DT", 3, 5, 32)
+#: More bins than any input of the set has values.
+TREE = ModelSpec.of("DT", 3, 3, 64)
 STUMP = ModelSpec.of("DT", 3, 1, 64)
 BAGS = 3
-FIT_PARALLELISM = 8
+FIT_PARALLELISM = 4
 
 
 def _slots(array: str, n: int, prefix: str) -> list:
@@ -185,6 +188,18 @@ def nb_model(spark, sf_dir):
     return table.select("label", *[F.round(n, 6).alias(n) for n in names[1:]])
 
 
+def wide_nb_predict(spark, sf_dir):
+    """More inputs than are summed one by one: the sums are vector summaries."""
+    return single_model(sets.embeddings_wide(spark, sf_dir), NB).predictions
+
+
+def wide_nb_sums(spark, sf_dir):
+    ds = sets.embeddings_wide(spark, sf_dir)
+    train, _ = sampling.train_test(ds.frame, ds.key)
+    sums = grouped_sums(train, ds.meta.n_input)
+    return sums.select("label", "n", *[F.round(F.col("sums")[j], 6).alias(f"s{j}") for j in (0, 63, 64, 127)])
+
+
 def _single_nb(spark, sf_dir) -> RunResult:
     return single_model(sets.documents_lang(spark, sf_dir), NB)
 
@@ -224,12 +239,34 @@ def single_lr(spark, sf_dir):
     return _single(spark, sf_dir, LR).accuracy().select("right", "total", "accuracy")
 
 
+def lr_moments(spark, sf_dir):
+    """Mean of probability times input, per class and input, under the fitted model. Without a
+    penalty these equal the means of the inputs within the classes at the optimum; the classes
+    of ``orders`` overlap, so there is one."""
+    ds = sets.orders(spark, sf_dir)
+    weights = single_model(ds, LR).details["model"].weights
+    train, _ = sampling.train_test(ds.frame, ds.key)
+    n_classes, n_input = weights.shape
+    x = [F.col("features")[j] for j in range(n_input)]
+    scores = [sum((float(weights[c, j]) * x[j] for j in range(n_input)), F.lit(0.0)) for c in range(n_classes)]
+    top = F.greatest(*scores)
+    raised = [F.exp(s - top) for s in scores]
+    total = sum(raised, F.lit(0.0))
+    means = train.agg(
+        *[F.avg(raised[c] / total * x[j]).alias(f"m{c}_{j}") for c in range(n_classes) for j in range(n_input)]
+    )
+    stacked = ", ".join(f"{float(c)}D, {j}, m{c}_{j}" for c in range(n_classes) for j in range(n_input))
+    rows = means.selectExpr(f"stack({n_classes * n_input}, {stacked}) AS (label, feature, moment)")
+    return rows.select("label", "feature", F.round("moment", 2).alias("moment"))
+
+
 def dt_predict(spark, sf_dir):
-    return _single(spark, sf_dir, DT).predictions
+    return single_model(sets.lineitem_discrete(spark, sf_dir), TREE).predictions
 
 
 def single_dt(spark, sf_dir):
-    return _single(spark, sf_dir, DT).accuracy().select("right", "total", "accuracy")
+    result = single_model(sets.lineitem_discrete(spark, sf_dir), TREE)
+    return result.accuracy().select("right", "total", "accuracy")
 
 
 def dt_stump(spark, sf_dir):
@@ -314,6 +351,11 @@ def stacking_nb_accuracy(spark, sf_dir):
     return _stacking_nb(spark, sf_dir).accuracy()
 
 
+def stacking_nb_historic(spark, sf_dir):
+    """Without the pseudo-labels of the last fold, and with the smoothing fixed."""
+    return _stacking_nb(spark, sf_dir, compat=True).accuracy()
+
+
 def stacking_nb_all_folds(spark, sf_dir):
     return _stacking_nb(spark, sf_dir, drop_last_fold=False).accuracy()
 
@@ -323,12 +365,24 @@ def stacking_nb_documents(spark, sf_dir):
 
 
 def bagging_mixed(spark, sf_dir):
+    ds = sets.lineitem_discrete(spark, sf_dir)
+    scored = bagging(ds, [NB, TREE], parallelism=FIT_PARALLELISM).predictions
+    return scored.select(*ds.key, "label", *_slots("predictions", 2, "p"), "prediction")
+
+
+def stacking_mixed(spark, sf_dir):
+    ds = sets.lineitem_discrete(spark, sf_dir)
+    return stacking(ds, [NB, TREE], NB, parallelism=FIT_PARALLELISM).predictions
+
+
+def bagging_trio(spark, sf_dir):
+    """All three kinds of model; an iterative fit has no SQL counterpart."""
     ds = sets.lineitem_dominant(spark, sf_dir)
     scored = bagging(ds, [NB, LR, DT], parallelism=FIT_PARALLELISM).predictions
     return scored.select(*ds.key, "label", *_slots("predictions", 3, "p"), "prediction")
 
 
-def stacking_mixed(spark, sf_dir):
+def stacking_trio(spark, sf_dir):
     ds = sets.lineitem_dominant(spark, sf_dir)
     return stacking(ds, [NB, LR, DT], LR, parallelism=FIT_PARALLELISM).predictions
 
@@ -361,11 +415,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attribute_mask": attribute_mask,
     "nb_model": nb_model,
     "nb_predict": nb_predict,
+    "wide_nb_predict": wide_nb_predict,
+    "wide_nb_sums": wide_nb_sums,
     "single_nb_accuracy": single_nb_accuracy,
     "single_nb_lineitem": single_nb_lineitem,
     "accuracy_rounded": accuracy_rounded,
     "lr_predict": lr_predict,
     "single_lr": single_lr,
+    "lr_moments": lr_moments,
     "dt_predict": dt_predict,
     "single_dt": single_dt,
     "dt_stump": dt_stump,
@@ -378,9 +435,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "level1_training_nb": level1_training_nb,
     "level1_test_nb": level1_test_nb,
     "stacking_nb_accuracy": stacking_nb_accuracy,
+    "stacking_nb_historic": stacking_nb_historic,
     "stacking_nb_all_folds": stacking_nb_all_folds,
     "stacking_nb_documents": stacking_nb_documents,
     "bagging_mixed": bagging_mixed,
     "stacking_mixed": stacking_mixed,
+    "bagging_trio": bagging_trio,
+    "stacking_trio": stacking_trio,
     "run_report": run_report_query,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 METHODS = ("md5", "xxhash64", "random")
+DRAWS_PER_DIGEST = 4
 
 
 def salt_of(name: str, seed=None) -> str:
@@ -20,6 +21,17 @@ def salt_of(name: str, seed=None) -> str:
     return name if seed is None else f"{name}#{seed}"
 
 
+def digest(salt: str, key: Sequence[str | Column]) -> Column:
+    """The ``md5`` of salt and key; it holds DRAWS_PER_DIGEST draws."""
+    return F.md5(F.concat_ws("|", F.lit(salt), *key))
+
+
+def draw_of(digest: str | Column, part: int = 0) -> Column:
+    """Draw number ``part`` of a digest: 32 of its bits over 2^32."""
+    # By way of a long: parsing a double costs more than the digest does.
+    return F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("long") / F.lit(2.0**32)
+
+
 def uniform(salt: str, key: Sequence[str | Column], method: str = "md5") -> Column:
     """A uniform double in [0, 1) per row.
 
@@ -27,10 +39,10 @@ def uniform(salt: str, key: Sequence[str | Column], method: str = "md5") -> Colu
     ``xxhash64`` is repeatable in Spark only, and several times cheaper. ``random`` is
     Spark's own per-task generator: the draws change when the partitions change.
     """
+    if method != "random" and not key:
+        raise ValueError(f"{method} draws need key columns; without a key use method='random'")
     if method == "md5":
-        digest = F.md5(F.concat_ws("|", F.lit(salt), *key))
-        # By way of a long: parsing a double costs more than the digest does.
-        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
+        return draw_of(digest(salt, key))
     if method == "xxhash64":
         bits = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *key), 11)
         return bits.cast("double") * F.lit(2.0**-53)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -26,7 +27,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and cut its lineage."""
+    """Write the frame to the checkpoint folder and cut its lineage. What reads it may be lazy,
+    so its files stay until Spark's cleaner removes them
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -37,17 +40,27 @@ def kept(df: DataFrame, keep, passes: int):
 
     ``keep=None`` decides by the number of passes over it; True stores it in executor
     memory and disk (lost blocks are recomputed); ``"checkpoint"`` writes it to the shared
-    folder, so that a lost executor costs a read and not a recomputation.
+    folder, so that a lost executor costs a read and not a recomputation, and deletes the
+    files when the block ends.
     """
     if keep not in KEEP_MODES:
         raise ValueError(f"cache must be one of {KEEP_MODES}")
     if keep == "checkpoint":
-        yield checkpointed(df)
+        spark = df.sparkSession
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        try:
+            yield spark.read.schema(df.schema).parquet(path)
+        finally:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         return
     if keep is False or (keep is None and passes < 2):
         yield df
         return
     stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Filled before the passes start: side by side they would each compute what is not there yet.
+    stored.count()
     try:
         yield stored
     finally:

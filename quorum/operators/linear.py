@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many products in one projection all scores are compiled expressions; beyond it
-# they are one matrix product per Arrow batch. The limits are where the JVM stops compiling
+# they are summed per Arrow batch, in the same order, so that both give the same bits. The
+# limits are where the JVM stops compiling
 # the generated method (8,000 bytecodes): past them the expression is ten times slower than
 # the batches. A product whose weight depends on the row takes more code.
 UNROLL_TERMS = 96
@@ -74,21 +76,31 @@ def _unrolled(intercepts: np.ndarray, weights: np.ndarray, offset: str) -> str:
             score += f" + {at(n_classes + c * d + j, weights[0, c, j])} * features[{j}]"
         # The first of the best: a higher score wins, then the lower class.
         ranked.append(f"struct({score} AS score, {-c} AS rank)")
-    return f"-array_max(array({', '.join(ranked)})).rank"
+    best = f"-array_max(array({', '.join(ranked)})).rank"
+    return f"if(size(features) = {d}, {best}, raise_error('a row must hold {d} features'))"
 
 
 def _batched(intercepts: np.ndarray, weights: np.ndarray):
-    """The same position from one matrix product per model and Arrow batch."""
+    """The same position, from one pass over the columns per model and Arrow batch."""
     d = weights.shape[2]
 
+    def scores(x: np.ndarray, k: int) -> np.ndarray:
+        # From the intercept on, feature by feature: a matrix product would round otherwise.
+        out = np.repeat(intercepts[k][None, :], len(x), axis=0)
+        for j in range(d):
+            out += x[:, j, None] * weights[k][None, :, j]
+        return out
+
     @F.arrow_udf("int")
     def best(features: pa.Array, model: pa.Array) -> pa.Array:
+        if not pc.all(pc.equal(pc.list_value_length(features), d)).as_py():
+            raise ValueError(f"a row must hold {d} features")
         x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         chosen = model.to_numpy(zero_copy_only=False)
         out = np.zeros(len(x), dtype=np.int32)
         for k in np.unique(chosen):
             rows = chosen == k
-            out[rows] = (x[rows] @ weights[k].T + intercepts[k]).argmax(axis=1)
+            out[rows] = scores(x[rows], k).argmax(axis=1)
         return pa.array(out)
 
     return best

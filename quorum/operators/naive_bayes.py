@@ -123,6 +123,8 @@ def model_from_sums(sums: dict, smoothing: float = 1.0) -> LinearModel:
     others keep their own ids."""
     if not sums:
         raise ValueError("naive Bayes was given no rows")
+    if smoothing <= 0:
+        raise ValueError("smoothing must be positive")
     labels = sorted(sums)
     total = sum(sums[c][0] for c in labels)
     intercepts, weights = [], []

@@ -22,7 +22,9 @@ def labelled_points(ds: Dataset) -> DataFrame:
 def dataset_summary(ds: Dataset) -> DataFrame:
     """One row: counts of inputs, outputs, attributes and instances, and the class list."""
     meta = ds.meta
-    return ds.frame.agg(F.count("*").alias("n_instances")).select(
+    # A plain count would read no column, and rows that fail to parse would count.
+    whole = (F.col("label") >= -1) & ~F.exists("inputs", lambda x: x.isNull())
+    return ds.frame.agg(F.count_if(whole).alias("n_instances")).select(
         F.lit(meta.n_input).alias("n_input"),
         F.lit(meta.n_output).alias("n_output"),
         F.lit(meta.n_attributes).alias("n_attributes"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -28,26 +27,39 @@ def transform_all(df: DataFrame, models: Sequence, prefix: str = "p") -> DataFra
     return df
 
 
+def _all_linear(models: Sequence) -> bool:
+    return all(isinstance(m, LinearModel) for m in models)
+
+
 def out_of_fold(df: DataFrame, models_by_fold: Sequence[Sequence], prefix: str = "p") -> DataFrame:
     """Add one prediction column per model, made by the model of the row's own ``fold``.
 
     ``models_by_fold[m][k]`` is model m fitted without fold k; a row of a fold that has no
     model gets NULL. Linear models look their
-    coefficients up, in one scan. With a tree among them each fold is a branch that
-    applies all models to its own rows, so every row is still scored once per model and no
-    join is needed.
+    coefficients up; trees are branches of one expression. Either way it is one scan.
     """
     folds = len(models_by_fold[0])
-    if all(isinstance(m, LinearModel) for per_fold in models_by_fold for m in per_fold):
+    if all(map(_all_linear, models_by_fold)):
         names = [f"{prefix}{m}" for m in range(len(models_by_fold))]
         return predict_many(df, models_by_fold, names, chooser="fold")
-    branches = [
-        transform_all(df.filter(F.col("fold") == k), [per_fold[k] for per_fold in models_by_fold], prefix)
-        for k in range(folds)
-    ]
-    nothing = {f"{prefix}{m}": F.lit(None).cast("double") for m in range(len(models_by_fold))}
-    branches.append(df.filter(F.col("fold") >= folds).withColumns(nothing))
-    return reduce(DataFrame.unionByName, branches)
+    linear = {f"{prefix}{m}": per for m, per in enumerate(models_by_fold) if _all_linear(per)}
+    if linear:
+        df = predict_many(df, list(linear.values()), list(linear), chooser="fold")
+    df = df.withColumn(VECTOR, array_to_vector("features"))
+    spare: list[str] = []
+    for m, per_fold in enumerate(models_by_fold):
+        if f"{prefix}{m}" in linear:
+            continue
+        # Every column is used once, in a branch, so that only the row's own fold is scored.
+        names = [f"_{prefix}{m}_{k}" for k in range(folds)]
+        for name, model in zip(names, per_fold):
+            df = model.transform(df, name)
+        own = F.when(F.col("fold") == 0, F.col(names[0]))
+        for k in range(1, folds):
+            own = own.when(F.col("fold") == k, F.col(names[k]))
+        df = df.withColumn(f"{prefix}{m}", own)
+        spare += names
+    return df.drop(VECTOR, *spare)
 
 
 def explode_predictions(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.functions.hashing import salt_of, uniform, uniform_of
+from quorum.functions.hashing import DRAWS_PER_DIGEST, digest, draw_of, salt_of, uniform, uniform_of
 
 TRAIN_FRACTION = 0.6
 FOLDS = 10
 BAG_RATE = 0.66
 KEEP_PROBABILITY = 0.85
+# exp(-rate) and the sums after it keep their precision up to here.
+MAX_RATE = 500.0
 
 
 def part_column(key, fraction=TRAIN_FRACTION, seed=None, method="md5") -> Column:
@@ -56,9 +58,12 @@ def fold_complement_counts(df: DataFrame, folds: int = FOLDS) -> DataFrame:
 
 def poisson_cdf(rate: float, bits: int = 53) -> list[float]:
     """Cumulative Poisson probabilities, as far as a draw of ``bits`` bits can tell."""
+    if not 0 < rate <= MAX_RATE:
+        raise ValueError(f"the rate must be over 0 and at most {MAX_RATE:g}, not {rate}")
     cdf, term, k = [], math.exp(-rate), 0
     total = term
-    while total < 1.0 - 2.0**-bits and k < 1000:
+    # Beyond the mean the terms fall: the rest is nothing once one of them is.
+    while total < 1.0 - 2.0**-bits and (k <= rate or term > 2.0 ** -(bits + 10)):
         cdf.append(total)
         k += 1
         term *= rate / k
@@ -85,14 +90,19 @@ def with_bag_weights(
     """Add one column per bag: how often the row is drawn into it (0, 1, 2, ...)."""
     bags = range(bags) if isinstance(bags, int) else bags
     bits = 32 if method == "md5" else 53
-    if method == "md5":
-        # The text of the key is the same in every draw of the row.
-        df = df.withColumn("_key", F.concat_ws("|", *key))
-        key = ["_key"]
+    digests: dict[str, Column] = {}
     # The draw is a column of its own, so that it is computed once and not per comparison.
-    draws = {f"_u{b}": uniform(salt_of(f"bag{b}", seed), key, method) for b in bags}
+    if method == "md5":
+        if not key:
+            raise ValueError("md5 draws need key columns; without a key use method='random'")
+        groups = sorted({b // DRAWS_PER_DIGEST for b in bags})
+        digests = {f"_digest{g}": digest(salt_of(f"bags{g}", seed), key) for g in groups}
+        draws = {f"_u{b}": draw_of(f"_digest{b // DRAWS_PER_DIGEST}", b % DRAWS_PER_DIGEST) for b in bags}
+        df = df.withColumns(digests)
+    else:
+        draws = {f"_u{b}": uniform(salt_of(f"bag{b}", seed), key, method) for b in bags}
     weights = {bag_column(b): poisson_weight(F.col(f"_u{b}"), rate, bits) for b in bags}
-    return df.withColumns(draws).withColumns(weights).drop("_key", *draws)
+    return df.withColumns(draws).withColumns(weights).drop(*digests, *draws)
 
 
 def attribute_mask(bag: int, n_input: int, keep=KEEP_PROBABILITY, seed=None) -> list[bool]:

@@ -27,8 +27,10 @@ def run_report(result: RunResult, with_times: bool = True) -> DataFrame:
         F.lit(result.kind).alias("run"),
         F.lit(result.dataset.name).alias("input"),
         F.lit(result.num_partitions).cast("int").alias("num_partitions"),
-        F.array(*[F.lit(s.describe()) for s in result.level0]).alias("level0_models"),
-        F.lit(result.level1.describe() if result.level1 else None).cast("string").alias("level1_model"),
+        F.array(*[F.lit(s.describe(result.smoothing)) for s in result.level0]).alias("level0_models"),
+        F.lit(result.level1.describe(result.smoothing) if result.level1 else None)
+        .cast("string")
+        .alias("level1_model"),
         "right",
         "total",
         "accuracy",

@@ -52,12 +52,19 @@ class RunResult:
     started: float
     prepared: float
     details: dict = field(default_factory=dict)
+    smoothing: float | None = None
+    """What every Bayes fit was smoothed by instead of its own argument, if anything."""
 
     def accuracy(self) -> DataFrame:
         """One row: right, total, accuracy, accuracy_rounded."""
         return accuracy(self.predictions)
 
 
+def _method(ds: Dataset, method: str) -> str:
+    """Rows without a key have no draws of their own but Spark's."""
+    return method if ds.key else "random"
+
+
 def _prepare(ds: Dataset, fraction, seed, method):
     frame = ds.frame
     if method == "random":
@@ -95,12 +102,13 @@ def single_model(
     method: str = "md5",
     num_partitions: int | None = None,
     cache=None,
-    compat: bool = True,
+    compat: bool = False,
     honour_smoothing: bool | None = None,
     started: float | None = None,
 ) -> RunResult:
     """Split, fit one model on the training part, predict the test part."""
     started = time.perf_counter() if started is None else started
+    method = _method(ds, method)
     train, test = _prepare(ds, train_fraction, seed, method)
     prepared = time.perf_counter()
     rows = _spread(train.select("features", "label"), num_partitions)
@@ -111,7 +119,17 @@ def single_model(
     predictions = transform_all(test.select(*ds.key, "features", "label"), [model])
     predictions = predictions.select(*ds.key, "label", F.col("p0").alias("prediction"))
     return RunResult(
-        "single", ds, (spec,), None, predictions, 1, num_partitions, started, prepared, {"model": model}
+        "single",
+        ds,
+        (spec,),
+        None,
+        predictions,
+        1,
+        num_partitions,
+        started,
+        prepared,
+        {"model": model},
+        _fixed(compat, honour_smoothing),
     )
 
 
@@ -127,7 +145,7 @@ def bagging(
     num_partitions: int | None = None,
     cache=None,
     parallelism: int = PARALLELISM,
-    compat: bool = True,
+    compat: bool = False,
     honour_smoothing: bool | None = None,
     started: float | None = None,
 ) -> RunResult:
@@ -140,6 +158,7 @@ def bagging(
     specs = tuple(specs)
     require_specs(specs)
     started = time.perf_counter() if started is None else started
+    method = _method(ds, method)
     train, test = _prepare(ds, train_fraction, seed, method)
     prepared = time.perf_counter()
     n_classes, n_input = ds.meta.n_output, ds.meta.n_input
@@ -201,6 +220,7 @@ def bagging(
         started,
         prepared,
         {"models": models, "masks": masks},
+        fixed,
     )
 
 
@@ -216,7 +236,7 @@ def stacking(
     num_partitions: int | None = None,
     cache=None,
     parallelism: int = PARALLELISM,
-    compat: bool = True,
+    compat: bool = False,
     drop_last_fold: bool | None = None,
     honour_smoothing: bool | None = None,
     with_test_predictions: bool = False,
@@ -226,8 +246,8 @@ def stacking(
 
     Features stay as they are; each level-0 model contributes one copy of the training
     rows labelled by its own out-of-fold predictions, and the level-1 model is scored on
-    the test rows' true labels. ``drop_last_fold`` leaves the last fold's pseudo-labels
-    out, and with them the fits that only they need. Level-0 models with the same
+    the test rows' true labels. ``drop_last_fold`` (``compat``) leaves the last fold's
+    pseudo-labels out, and with them the fits that only they need. Level-0 models with the same
     specification are fitted once.
     """
     specs = tuple(specs)
@@ -235,6 +255,7 @@ def stacking(
     if folds < 2:
         raise ValueError("stacking needs at least two folds")
     started = time.perf_counter() if started is None else started
+    method = _method(ds, method)
     drop = compat if drop_last_fold is None else drop_last_fold
     fixed = _fixed(compat, honour_smoothing)
     train, test = _prepare(ds, train_fraction, seed, method)
@@ -341,4 +362,5 @@ def stacking(
         started,
         prepared,
         details,
+        fixed,
     )

@@ -123,8 +123,8 @@ class ModelSpec:
     def __post_init__(self):
         if self.code not in MODEL_CODES:
             raise ValueError(f"unknown model code {self.code!r}; use one of {MODEL_CODES}")
-        if self.smoothing <= 0:
-            raise ValueError("smoothing must be positive")
+        if self.smoothing < 0:
+            raise ValueError("smoothing must not be negative")
         if self.num_classes < 0 or self.max_depth < 0 or self.max_bins < 2:
             raise ValueError(f"bad arguments for {self.code}")
 
@@ -142,10 +142,13 @@ class ModelSpec:
             return cls(code, int(num_classes), 1.0, int(max_depth), int(max_bins))
         return cls(code)
 
-    def describe(self) -> str:
-        """The specification as one report line, in the order the arguments are given."""
+    def describe(self, smoothing: float | None = None) -> str:
+        """The specification as one report line, in the order the arguments are given; the
+        smoothing that took the place of the argument comes first, and what was asked after it."""
         if self.code == "NB":
-            return f"NB {self.smoothing}"
+            if smoothing is None or smoothing == self.smoothing:
+                return f"NB {self.smoothing}"
+            return f"NB {smoothing} (asked {self.smoothing})"
         if self.code == "LR":
             return f"LR {self.num_classes}"
         return f"DT {self.num_classes} {self.max_depth} {self.max_bins}"

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,7 @@ from quorum.schema import NOMINAL, REAL, Attribute, Dataset, DatasetMeta, nomina
 REAL_TYPES = ("real", "integer")
 ATTRIBUTE_SEPARATOR = r" *[{}\[\],] *| "
 LIST_SEPARATOR = r" *, *| +"
-DATA_MARK = "@data"
-
-# How many lines of the first file are looked at before a whole scan for the header.
-HEADER_PROBE = 10_000
+HEADER_MARKS = ("@relation", "@attribute", "@inputs", "@outputs", "@data")
 
 _BLANKS = "".join(chr(i) for i in range(33))
 
@@ -187,7 +185,7 @@ def _parsed_fields(
 def parse_keel(
     lines: DataFrame,
     meta: DatasetMeta,
-    key: Sequence[str] | None = None,
+    key: Sequence[str] | str | None = None,
     value: str = "value",
     on_bad_row: str = "raise",
     on_zero_range: str = "nan",
@@ -197,18 +195,20 @@ def parse_keel(
 ) -> Dataset:
     """Rows of a text set as a :class:`Dataset`.
 
-    ``key`` names columns of ``lines`` that identify a row. Without it ``row_id`` is a
-    digest of the line, so equal lines share their draws. ``on_bad_row="drop"`` leaves out
-    rows that do not parse instead of raising (with the line in the message).
+    ``key`` names columns of ``lines`` that identify a row. Without it the set has no key:
+    runs then draw for every row by itself, also where lines are equal, and write the draws
+    down once. ``key="content"`` makes ``row_id`` a digest of the line, so that equal lines
+    share their draws. ``on_bad_row="drop"`` leaves out rows that do not parse instead of
+    raising (with the line in the message).
     """
     if on_bad_row not in ("raise", "drop"):
         raise ValueError("on_bad_row must be 'raise' or 'drop'")
     trim_ends = (not compat) if trim_line_ends is None else trim_line_ends
     source = lines
-    if key is None:
+    if key == "content":
         lines = lines.withColumn("row_id", F.md5(F.col(value)))
         key = ["row_id"]
-    key = list(key)
+    key = list(key or ())
     rows = _parsed_fields(lines, meta, key, value, trim_ends)
     real_output = meta.output_kind == REAL
     bad_number = F.exists("_x", lambda x: x.isNull())
@@ -221,12 +221,14 @@ def parse_keel(
         def fail(what: str) -> Column:
             return F.raise_error(F.concat(F.lit(f"{what} in row: "), F.col(value)))
 
-        fields = F.when(~F.col("_ok"), fail("wrong number of fields"))
-        rows = rows.select(
-            *key,
-            fields.when(bad_number, fail("not a number")).otherwise(F.col("_x")).alias("_x"),
-            fields.when(bad_class, fail("unknown class")).otherwise(F.col("_c")).alias("_c"),
+        # One value holds both, so that whatever is read from a row depends on all checks.
+        checked = (
+            F.when(~F.col("_ok"), fail("wrong number of fields"))
+            .when(bad_number, fail("not a number"))
+            .when(bad_class, fail("unknown class"))
+            .otherwise(F.struct("_x", "_c"))
         )
+        rows = rows.select(*key, checked.alias("_v")).select(*key, "_v._x", "_v._c")
 
     outputs = F.array(F.col("_c")) if real_output else class_onehot(F.col("_c"), meta.n_output)
     spans = [(a.range_min, a.range_max) if a.kind == REAL else (0.0, 1.0) for a in meta.inputs]
@@ -271,18 +273,25 @@ def load_report(
 def read_header(spark: SparkSession, path: str, header_path: str | None = None) -> list[str]:
     """Header lines of the first file under ``path`` (or of ``header_path``).
 
-    Only the head of that file is read when it holds the data mark; otherwise the file is
-    scanned once.
+    They count wherever they stand in that file, which is therefore read whole; only they
+    reach the driver. Name a small ``header_path`` where the first file is large.
     """
+    lines = spark.read.text(header_path or path)
     if header_path is None:
-        header_path = min(spark.read.text(path).inputFiles(), default=None)
-        if header_path is None:
+        first = min(lines.inputFiles(), default=None)
+        if first is None:
             raise ValueError(f"no file under {path!r}")
-    lines = spark.read.text(header_path)
-    head = [row.value for row in lines.limit(HEADER_PROBE).collect()]
-    if len(head) < HEADER_PROBE or any(line.startswith(DATA_MARK) for line in head):
-        return [line for line in head if line.startswith("@")]
-    return [row.value for row in header_lines(lines).collect()]
+        # The listing and the metadata column may spell a name in different ways: escaped or
+        # not, and with or without an empty authority. A filter on that column leaves out the
+        # other files without opening them, whatever the name holds.
+        spellings = {first, unquote(first)}
+        spellings |= {re.sub("^([A-Za-z0-9+.-]+):///", r"\1:/", s) for s in spellings}
+        lines = lines.filter(F.col("_metadata.file_path").isin(*spellings))
+    marked = F.lit(False)
+    for mark in HEADER_MARKS:
+        marked = marked | F.col("value").startswith(mark)
+    in_order = lines.filter(marked).withColumn("_at", F.monotonically_increasing_id())
+    return [row.value for row in in_order.orderBy("_at").collect()]
 
 
 def load_keel(

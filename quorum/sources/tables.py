@@ -15,17 +15,6 @@ def _as_column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def at_least_cores(df: DataFrame) -> DataFrame:
-    """Spread the rows of a scan that has fewer splits than the session has cores.
-
-    For a small file with an expensive row. A large input has more splits than cores and is
-    returned as it is, so nothing large is ever shuffled here. ``df`` should be a plain
-    scan: counting its partitions plans it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _label_code(label: Column, classes: Sequence, on_bad_row: str) -> Column:
     code = nominal_code(label, classes)
     if on_bad_row == "drop":
@@ -57,8 +46,9 @@ def from_table(
     meta = DatasetMeta(tuple(attributes), tuple(classes))
     key = list(key)
     columns = [_as_column(values.get(a.name, a.name)) for a in attributes]
+    number = (lambda c: c.try_cast("double")) if on_bad_row == "drop" else (lambda c: c.cast("double"))
     raw = [
-        c.cast("double") if a.kind == REAL else nominal_code(c, a.values)
+        number(c) if a.kind == REAL else nominal_code(c, a.values)
         for c, a in zip(columns, attributes)
     ]
     code = _label_code(_as_column(label), meta.classes, on_bad_row).alias("_c")
@@ -127,6 +117,8 @@ def from_array_table(
     meta = DatasetMeta(inputs, tuple(classes))
     key = list(key)
     array = F.col(column).cast("array<double>")
+    if on_bad_row == "drop":
+        array = F.transform(column, lambda x: x.try_cast("double"))
     whole = (F.size(array) == size) & ~F.exists(array, lambda x: x.isNull())
     code = _label_code(_as_column(label), meta.classes, on_bad_row)
     if on_bad_row == "drop":

@@ -1,3 +1,4 @@
+import pytest
 """Expressions on small inputs, and their properties."""
 
 import math
@@ -113,3 +114,17 @@ def test_poisson_and_masks():
     kept = [k for b in range(500) for k in attribute_mask(b, 8)]
     assert abs(sum(kept) / len(kept) - 0.85) < 0.02
     assert attribute_mask(0, 64) != attribute_mask(0, 64, seed=7)
+
+
+def test_rates_that_cannot_be_represented_are_refused():
+    for rate in (0.0, -1.0, 800.0, 1200.0, float("nan")):
+        with pytest.raises(ValueError, match="rate"):
+            poisson_cdf(rate)
+    cdf = poisson_cdf(400.0)
+    mean = sum(1 - c for c in cdf)
+    assert abs(mean - 400.0) < 1e-6 and cdf == sorted(cdf)
+
+
+def test_draws_without_a_key_are_refused(spark):
+    with pytest.raises(ValueError, match="key"):
+        uniform("salt", [])

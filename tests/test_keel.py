@@ -227,3 +227,59 @@ def test_wide_set_is_read_like_a_narrow_one(spark, text_file):
         load(spark, text_file, bad).frame.collect()
     (report,) = load_report(spark.read.text(text_file(good)), ds.meta).collect()
     assert (report["rows"], report.unknown_nominal, report.bad_number) == (2, 1, 0)
+
+
+def test_header_lines_count_wherever_they_stand(spark, text_file):
+    """The same file with its last attribute after the rows, short and long."""
+    for n in (100, 20_000):
+        body = "0.5, a\n" * n
+        text = "@attribute x real [0, 1]\n@inputs x\n@outputs c\n@data\n" + body + "@attribute c {a, b}\n"
+        ds = load(spark, text_file, text, key="content")
+        assert ds.meta.classes == ("a", "b") and ds.frame.count() == n
+
+
+@pytest.mark.parametrize("name", ["a b.dat", "100%.dat", "x%20y.dat", "é ü.dat", "a+b.dat"])
+def test_odd_file_names(spark, text_file, name):
+    assert len(read_header(spark, text_file(IRIS, name))) == 9
+
+
+def test_only_the_first_file_has_a_header(spark, tmp_path):
+    (tmp_path / "a 1.dat").write_text(IRIS)
+    (tmp_path / "b 2.dat").write_text("@attribute other real [0, 1]\n6.0, 2.0, 4.0, 1.25, virginica\n")
+    ds = load_keel(spark, str(tmp_path))
+    assert ds.meta.n_input == 4 and ds.frame.count() == 4
+
+
+def test_equal_lines_draw_apart(spark, text_file):
+    """Four distinct lines, a thousand times each, without a key."""
+    from quorum import ModelSpec, bagging, stacking
+    from quorum.operators import sampling
+
+    lines = "".join(f"{x}, {n}\n" for x in (0, 1) for n in "ab") * 1000
+    text = head("@attribute a integer [0, 1]\n@attribute y {a, b}") + lines
+    ds = load(spark, text_file, text)
+    assert ds.key == ()
+    nb = ModelSpec.of("NB", 1.0)
+    result = bagging(ds, [nb, nb])
+    assert abs(result.predictions.count() / 4000 - 0.4) < 0.03
+    assert result.predictions.count() == result.predictions.count()
+    assert stacking(ds, [nb, nb], nb).predictions.count() > 0
+    weights = sampling.with_bag_weights(ds.frame, [], 1, method="random").select("bag0").toPandas()["bag0"]
+    assert abs(weights.mean() - 0.66) < 0.05 and abs(weights.var() - 0.66) < 0.08
+    folds = ds.frame.select(sampling.fold_column([], method="random").alias("f")).distinct().count()
+    assert folds == 10
+    same = load(spark, text_file, text, key="content")
+    assert same.key == ("row_id",) and same.frame.select("row_id").distinct().count() == 4
+
+
+def test_counts_and_narrow_reads_check_the_rows(spark, text_file):
+    from quorum.operators.prepare import dataset_summary, nominal_value_counts
+
+    top = head("@attribute a {u, v}\n@attribute y {p, q}")
+    for bad in ("u, z", "u", "u, p, p"):
+        ds = load(spark, text_file, top + "u, p\n" + bad + "\n")
+        for read in (dataset_summary(ds), nominal_value_counts(ds), ds.frame.select("label"), ds.frame.select("inputs")):
+            with pytest.raises(Exception, match="row"):
+                read.collect()
+        kept = load(spark, text_file, top + "u, p\n" + bad + "\n", on_bad_row="drop")
+        assert dataset_summary(kept).first()["n_instances"] == 1

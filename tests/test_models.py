@@ -166,6 +166,25 @@ def test_compiled_and_batched_scores_agree(separable, monkeypatch):
     assert {r[4] for r in compiled} <= set(classes)
 
 
+def test_near_ties_and_ragged_rows_are_alike_on_both_paths(spark, monkeypatch):
+    """Scores that differ in their last bits only: any other order of summing would show."""
+    rng = np.random.default_rng(9)
+    base = rng.random((500, 6))
+    rows = [(i, [float(v) for v in np.concatenate([r, r[::-1]])]) for i, r in enumerate(base)]
+    df = spark.createDataFrame(rows, "id int, features array<double>")
+    w = rng.random(12)
+    model = LinearModel((0.0, 1.0, 2.0), np.full(3, 0.1), np.stack([w, w[::-1], np.roll(w, 6)[::-1]]))
+    ragged = spark.createDataFrame([(1, [0.5] * 11), (2, [0.5] * 13)], df.schema)
+    got = []
+    for limit in (10**6, 0):
+        monkeypatch.setattr(linear, "UNROLL_TERMS", limit)
+        got.append(sorted((r.id, r.p) for r in predict_many(df, [[model]], ["p"]).collect()))
+        for i in (1, 2):
+            with pytest.raises(Exception, match="must hold 12 features"):
+                predict_many(ragged.filter(F.col("id") == i), [[model]], ["p"]).collect()
+    assert got[0] == got[1] and len({p for _, p in got[0]}) > 1
+
+
 def test_ties_go_to_the_lowest_class(separable):
     flat = LinearModel((0.0, 1.0, 2.0), np.zeros(3), np.zeros((3, 4)))
     assert {r.p0 for r in transform_all(separable, [flat]).collect()} == {0.0}
@@ -174,7 +193,7 @@ def test_ties_go_to_the_lowest_class(separable):
 def test_specifications():
     assert ModelSpec.of("DT", 3, 5, 32).describe() == "DT 3 5 32"
     assert ModelSpec.of("LR", 10).describe() == "LR 10" and NB.describe() == "NB 1.0"
-    for bad in (lambda: ModelSpec.of("XX"), lambda: ModelSpec.of("NB", 0.0), lambda: ModelSpec.of("DT", 3, 5, 1)):
+    for bad in (lambda: ModelSpec.of("XX"), lambda: ModelSpec.of("NB", -1.0), lambda: ModelSpec.of("DT", 3, 5, 1)):
         with pytest.raises(ValueError):
             bad()
 

@@ -30,7 +30,7 @@ def digests(text: str) -> int:
     return sum(line.count("md5(") for line in text.split("\n") if "FileScan" not in line)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"bagging_mixed", "stacking_mixed", "keel_attributes"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"bagging_trio", "stacking_trio", "keel_attributes"}))
 def test_no_joins_windows_or_row_udfs(spark, name):
     text = plan(QUERIES[name](spark, SF_SMALL))
     for word in FORBIDDEN:
@@ -43,7 +43,7 @@ def test_bags_of_bayes_are_one_scan_and_one_small_shuffle(spark):
     weighted = sampling.with_bag_weights(train, ds.key, 5)
     text = plan(bayes.bag_sums(weighted, 4, [sampling.bag_column(b) for b in range(5)]))
     assert nodes(text, "FileScan") == 1 and nodes(text, "Exchange") == 1
-    assert digests(text) == 1 + 5
+    assert digests(text) == 1 + 2  # the split, and four bags each
     assert "partial_sum" in text and "l_returnflag" not in text and "l_shipdate" not in text
 
 
@@ -59,6 +59,21 @@ def test_out_of_fold_is_one_scan(spark):
     assert digests(text) == 2
 
 
+@pytest.mark.parametrize("model", ["DT 3 3 64", "NB 1.0"])
+def test_pseudo_labels_are_one_scan(spark, model):
+    ds = sets.lineitem_discrete(spark, SF_SMALL)
+    details = stacking(ds, [NB, ModelSpec.of(*model.split())], NB).details
+    assert nodes(plan(details["pseudo_labels"]), "FileScan") == 1
+    assert nodes(plan(details["level1_training"]), "FileScan") == 1
+    for name in ("pseudo_labels", "level1_training"):
+        assert "Exchange" not in plan(details[name])
+
+
+def test_documents_are_counted_in_the_scan_stage(spark):
+    scored = bagging(sets.documents_lang(spark, SF_SMALL), [NB] * 3).predictions
+    assert "Exchange" not in plan(scored)
+
+
 def test_predictions_stay_narrow(spark):
     scored = bagging(sets.lineitem_dominant(spark, SF_SMALL), [NB] * 3).predictions
     text = plan(scored)

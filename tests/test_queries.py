@@ -18,13 +18,13 @@ def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_SMALL), con, ORACLE[name]) is None
 
 
-def test_only_trees_and_mixed_ensembles_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == {"dt_predict", "single_dt", "bagging_mixed", "stacking_mixed"}
+def test_only_iterative_ensembles_lack_sql():
+    assert set(QUERIES) - set(ORACLE) == {"bagging_trio", "stacking_trio"}
 
 
-def test_mixed_ensembles_predict_every_test_row_once(spark):
+def test_trios_predict_every_test_row_once(spark):
     expected = QUERIES["lr_predict"](spark, SF_SMALL).count()
-    for name in ("bagging_mixed", "stacking_mixed", "dt_predict"):
+    for name in ("bagging_trio", "stacking_trio"):
         scored = QUERIES[name](spark, SF_SMALL).cache()
         assert scored.count() == expected
         right = scored.filter("prediction = label").count() / expected

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF, SF_SMALL
-from quorum import ModelSpec, bagging, single_model, stacking
+from quorum import ModelSpec, bagging, run_report, single_model, stacking
 from quorum.checks import datasets as sets
 from quorum.operators import sampling
 from quorum.operators.pseudo import explode_predictions, weighted_pseudo_labels
@@ -39,10 +39,10 @@ def rows(df):
         (lambda ds: single_model(ds, NB), 22872),
         (lambda ds: single_model(ds, LR), 24088),
         (lambda ds: single_model(ds, DT), 22624),
-        (lambda ds: bagging(ds, [NB] * 3), 22602),
-        (lambda ds: stacking(ds, [NB] * 2, NB), 17065),
-        (lambda ds: stacking(ds, [NB] * 2, NB, drop_last_fold=False), 17110),
-        (lambda ds: stacking(ds, [NB] * 2, NB, compat=False), 17110),
+        (lambda ds: bagging(ds, [NB] * 3), 22530),
+        (lambda ds: stacking(ds, [NB] * 2, NB), 17110),
+        (lambda ds: stacking(ds, [NB] * 2, NB, drop_last_fold=True), 17065),
+        (lambda ds: stacking(ds, [NB] * 2, NB, compat=True), 17065),
     ],
 )
 def test_known_scores(dominant, run, expected):
@@ -108,13 +108,17 @@ def test_no_frame_stays_cached(spark, small):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
-def test_smoothing_is_fixed_unless_asked(small):
+def test_smoothing_is_honoured_unless_told_otherwise(small):
     heavy = ModelSpec.of("NB", 5000.0)
-    base = single_model(small, NB).details["model"].intercepts
-    assert (single_model(small, heavy).details["model"].intercepts == base).all()
-    honoured = single_model(small, heavy, honour_smoothing=True).details["model"].intercepts
-    assert (honoured != base).any()
-    assert (single_model(small, heavy, compat=False).details["model"].intercepts == honoured).all()
+    fitted = lambda spec, **o: single_model(small, spec, **o).details["model"].intercepts
+    assert (fitted(heavy) != fitted(NB)).any()
+    for historic in ({"compat": True}, {"honour_smoothing": False}):
+        assert (fitted(heavy, **historic) == fitted(NB)).all()
+        (row,) = run_report(single_model(small, heavy, **historic), with_times=False).collect()
+        assert row.level0_models == ["NB 1.0 (asked 5000.0)"]
+    assert (fitted(ModelSpec.of("NB", 0.0), compat=True) == fitted(NB)).all()
+    (row,) = run_report(single_model(small, heavy), with_times=False).collect()
+    assert row.level0_models == ["NB 5000.0"]
 
 
 def test_merged_copies_are_the_same_training_set(small):
@@ -130,14 +134,15 @@ def test_merged_copies_are_the_same_training_set(small):
 
 
 def test_equal_members_are_fitted_once(small):
-    assert stacking(small, [NB] * 5, NB).fits == 10
-    assert stacking(small, [NB] * 5, NB, drop_last_fold=False).fits == 11
+    assert stacking(small, [NB] * 5, NB).fits == 11
+    assert stacking(small, [NB] * 5, NB, drop_last_fold=True).fits == 10
 
 
-def test_stacking_pseudo_labels_cover_the_used_folds(small):
-    result = stacking(small, [NB, DT], NB, with_test_predictions=True)
+@pytest.mark.parametrize("dropped", [False, True])
+def test_stacking_pseudo_labels_cover_the_used_folds(small, dropped):
+    result = stacking(small, [NB, DT], NB, with_test_predictions=True, drop_last_fold=dropped)
     train, test = sampling.train_test(small.frame, small.key)
-    used = train.withColumn("fold", sampling.fold_column(small.key)).filter("fold < 9").count()
+    used = train.withColumn("fold", sampling.fold_column(small.key)).filter(f"fold < {9 if dropped else 10}").count()
     assert result.details["pseudo_labels"].count() == used
     assert result.details["level1_training"].count() == 2 * used
     assert result.details["level1_test"].count() == 2 * test.count()
@@ -190,3 +195,14 @@ def test_wide_table_is_read_like_a_narrow_one(spark, monkeypatch):
     with pytest.raises(Exception, match="NULL in a real input"):
         sets.from_table(df, *args).frame.collect()
     assert [r.id for r in sets.from_table(df, *args, on_bad_row="drop").frame.collect()] == [1]
+
+
+def test_drop_leaves_out_what_is_no_number(spark):
+    df = spark.createDataFrame([(1, "0.5", "p"), (2, "abc", "p"), (3, None, "p")], "id int, x string, y string")
+    args = ((sets.real("x", 0, 1),), "y", ("p", "q"), ["id"])
+    assert [r.id for r in sets.from_table(df, *args, on_bad_row="drop").frame.collect()] == [1]
+    arrays = df.selectExpr("id", "array(x, '1') AS v", "y")
+    ds = sets.from_array_table(arrays, "v", 2, 0, 1, "y", ("p", "q"), ["id"], on_bad_row="drop")
+    assert [r.id for r in ds.frame.collect()] == [1]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        sets.from_table(df.filter("id = 2"), *args).frame.collect()
