@@ -17,6 +17,7 @@ pieces it met, up to twice CACHE_PIECES of them.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import ahocorasick
@@ -29,7 +30,9 @@ from tokenizers import Tokenizer
 
 from quorum.llm.common import map_batches
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
+#: Pieces looked up together, by which a long text may exceed the caches.
+SLICE_PIECES = 50_000
 #: Longer pieces are encoded but not remembered.
 CACHE_PIECE_BYTES = 64
 #: Ids decoded by one gather.
@@ -52,29 +55,48 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class TwoGenerations:
-    """A bounded dictionary: when the young half is full it becomes the old half, whose entries
-    come back when they are asked for again and are forgotten otherwise."""
+def id_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, half: int = CACHE_PIECES):
-        self.half, self.young, self.old = half, {}, {}
 
-    def get(self, key):
-        value = self.young.get(key)
+class Remembered(dict):
+    """A bounded cache of ``make``. When it is full its entries become the old half, from which
+    they come back when they are asked for again; the rest is forgotten at the next turn."""
+
+    def __init__(self, make, half: int = CACHE_PIECES):
+        super().__init__()
+        self.make, self.half, self.old = make, half, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
         if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
+            value = self.make(key)
+            if len(key) > CACHE_PIECE_BYTES:
+                return value
+        self[key] = value
         return value
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+    def turn(self) -> None:
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+
+
+BYTE_MAP = dict(enumerate(byte_symbols()))
+
+
+def latin_words(text: str) -> list[str]:
+    """The words of a text of Latin letters in lower case, each spelled in byte symbols."""
+    if text.isascii():
+        words = WORD.findall(text.lower())
+        return words if text.isprintable() else [w.translate(BYTE_MAP) for w in words]
+    words = WORD.findall(unicodedata.normalize("NFC", text).lower())
+    return [w.encode().decode("latin-1").translate(BYTE_MAP) for w in words]
 
 
 class BpeTables:
-    """Tokens, merges, the automaton and the offset table of one vocabulary file."""
+    """Tokens, merges and the automaton of one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -84,7 +106,6 @@ class BpeTables:
         vocab: dict[str, int] = model["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.byte_map = dict(enumerate(byte_symbols()))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.born = {i: -1 for i in vocab.values()}
@@ -107,15 +128,8 @@ class BpeTables:
                 self.automaton.add_word(symbols[::-1], i)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.words = TwoGenerations()
+        self.words = Remembered(self.encode_word)
         self.library = Tokenizer.from_file(path)
-        size = max([*vocab.values(), *self.specials.values()]) + 1
-        spelled = [b""] * size
-        for token, i in [*vocab.items(), *self.specials.items()]:
-            spelled[i] = token.encode() + b" "
-        self.spelled_length = np.array([len(s) for s in spelled], np.int64)
-        self.spelled_start = np.concatenate([[0], np.cumsum(self.spelled_length)[:-1]])
-        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
 
     def symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix):
@@ -191,29 +205,41 @@ class BpeTables:
             starts[at].pop()
         return out
 
-    def encode_piece(self, text: str) -> list[int]:
+    def encode_piece(self, text: str) -> bytes:
         """The ids of a text without white space at which it could be cut."""
-        ids: list[int] = []
-        for part in self.special.split(text) if self.special else [text]:
+        ids: list[bytes] = []
+        for part in self.special.split(text) if self.special and self.special.search(text) else [text]:
             if part in self.specials:
-                ids.append(self.specials[part])
+                ids.append(id_bytes([self.specials[part]]))
                 continue
-            for word in self.split_words(part):
-                known = self.words.get(word)
-                if known is None:
-                    known = self.encode_symbols(self.symbols(word + self.suffix))
-                    if len(word) <= CACHE_PIECE_BYTES:
-                        self.words.put(word, known)
-                ids += known
-        return ids
+            self.words.turn()
+            ids += map(self.words.__getitem__, self.split_words(part))
+        return b"".join(ids)
+
+    def encode_word(self, word: str) -> bytes:
+        return id_bytes(self.encode_symbols(self.symbols(word + self.suffix)))
 
     def split_words(self, text: str) -> list[str]:
         """The words of a text in lower case, each spelled in byte symbols."""
         if max(text, default="") >= LATIN_END:
             text = self.library.normalizer.normalize_str(text)
             return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        words = WORD.findall(unicodedata.normalize("NFC", text).lower())
-        return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte_map) for w in words]
+        return latin_words(text)
+
+
+class OffsetTable:
+    """The spellings of all ids end to end, and where each begins."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+        spelled = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            spelled[i] = token.encode() + b" "
+        self.spelled_length = np.array([len(s) for s in spelled], np.int64)
+        self.spelled_start = np.concatenate([[0], np.cumsum(self.spelled_length)[:-1]])
+        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
 
     def spell(self, ids: np.ndarray) -> str:
         """The tokens of the ids, one space between, gathered from the offset table."""
@@ -228,40 +254,27 @@ class BpeTables:
         return b"".join(out)[:-1].decode()
 
 
-_TABLES: dict[str, BpeTables] = {}
-
-
-def tables(path: str) -> BpeTables:
-    """One set of tables per worker and file."""
-    if path not in _TABLES:
-        _TABLES[path] = BpeTables(path)
-    return _TABLES[path]
-
-
 class PieceCache:
     """Ids of a text, as little-endian unsigned 32-bit bytes, from those of its pieces between
-    ASCII white space; ``encode`` maps a list of pieces to lists of ids."""
+    ASCII white space; ``encode`` gives the bytes of a piece."""
 
     def __init__(self, encode):
-        self.encode, self.known = encode, TwoGenerations()
+        self.known = Remembered(lambda piece: encode(piece.decode()))
 
     def __call__(self, text: str | None) -> bytes:
         pieces = (text or "").encode().split()
-        found = list(map(self.known.young.get, pieces))
-        if None in found:
-            found = [self.known.get(p) if f is None else f for p, f in zip(pieces, found)]
-        if None in found:
-            missing = list(dict.fromkeys(p for p, f in zip(pieces, found) if f is None))
-            ids = self.encode([m.decode() for m in missing])
-            new = {m: np.array(i, "<u4").tobytes() for m, i in zip(missing, ids)}
-            found = [new[p] if f is None else f for p, f in zip(pieces, found)]
-            for piece, value in new.items():
-                if len(piece) <= CACHE_PIECE_BYTES:
-                    self.known.put(piece, value)
-        return b"".join(found)
+        if len(pieces) <= SLICE_PIECES:
+            return self._slice(pieces)
+        return b"".join(self._slice(pieces[i : i + SLICE_PIECES]) for i in range(0, len(pieces), SLICE_PIECES))
+
+    def _slice(self, pieces: list[bytes]) -> bytes:
+        self.known.turn()
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
+#: By file, once per worker.
 _CACHES: dict[str, PieceCache] = {}
+_OFFSETS: dict[str, OffsetTable] = {}
 
 
 def encode(docs: DataFrame, path: str, output: str = "tokens") -> DataFrame:
@@ -272,8 +285,8 @@ def encode(docs: DataFrame, path: str, output: str = "tokens") -> DataFrame:
 
     def run(batches):
         if path not in _CACHES:
-            bpe = tables(path)
-            _CACHES[path] = PieceCache(lambda pieces: map(bpe.encode_piece, pieces))
+            bpe = BpeTables(path)
+            _CACHES[path] = PieceCache(bpe.encode_piece)
         ids_of = _CACHES[path]
         for batch in batches:
             encoded = [ids_of(t.as_py()) for t in batch.column(at)]
@@ -292,12 +305,14 @@ def decode(docs: DataFrame, path: str, tokens: str = "tokens", output: str = "de
     schema = T.StructType([*docs.schema.fields, T.StructField(output, T.StringType(), False)])
 
     def run(batches):
-        bpe = tables(path)
+        if path not in _OFFSETS:
+            _OFFSETS[path] = OffsetTable(path)
+        table = _OFFSETS[path]
         for batch in batches:
             column = batch.column(at)
             values = column.values.to_numpy(zero_copy_only=False)
             bounds = column.offsets.to_numpy()
-            texts = [bpe.spell(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            texts = [table.spell(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts)], [*batch.schema.names, output])
 
     return map_batches(docs, run, schema)

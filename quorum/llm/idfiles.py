@@ -24,12 +24,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quorum.llm.bpe import PieceCache
+from quorum.llm.bpe import LATIN_END, PieceCache, Remembered, id_bytes, latin_words
 from quorum.llm.common import map_batches
 
 MAGIC = b"QPL1"
@@ -102,16 +104,29 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if m else int(d) for d, m in zip(raw_ids, missing)], lengths, out
 
 
-def _library_encoder(path: str):
-    """Ids of pieces by the tokenizer library. Texts are cut at ASCII white space, which its
-    words never span and next to which its normal forms don't change."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
-    from tokenizers import Tokenizer
+class LibraryEncoder:
+    """Ids of a piece of text by the tokenizer library.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda pieces: (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
+    Texts are cut at ASCII white space, which its words never span and next to which its normal
+    forms don't change. Pieces of Latin letters are cut further into the tokenizer's words,
+    whose merges the library's model makes, once per word as long as it is remembered.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)")
+        merge = self.tokenizer.model.tokenize
+        self.words = Remembered(lambda word: id_bytes([t.id for t in merge(word)]))
+
+    def __call__(self, piece: str) -> bytes:
+        if (not piece.isascii() and max(piece) >= LATIN_END) or self.special.search(piece):
+            return id_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        self.words.turn()
+        return b"".join(map(self.words.__getitem__, latin_words(piece)))
 
 
 _CACHES: dict[str, PieceCache] = {}
@@ -122,7 +137,7 @@ def _write(path: str, end_id: int | None, kind: int):
 
     def run(batches):
         if path not in _CACHES:
-            _CACHES[path] = PieceCache(_library_encoder(path))
+            _CACHES[path] = PieceCache(LibraryEncoder(path))
         ids_of = _CACHES[path]
         part = TaskContext.get().partitionId()
         seq, first, size = 0, 0, 0
