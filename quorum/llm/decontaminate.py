@@ -27,7 +27,7 @@ WINDOW = 10
 #: Fixed value: the characters of a word, after A-Z are in lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS = 500_000
-#: The bitmap has at least 16 bits for each window, up to this many in all (1 MB).
+#: The bitmap has at least 32 bits for each window, up to this many in all (1 MB).
 MAX_BITMAP_BITS = 23
 RESULT = ["n_words", "n_hit", "n_items", "item_ids", "hits"]
 
@@ -77,20 +77,21 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["n"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_words: bool = False) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit`` (words inside any benchmark window), ``n_items``,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` (but for ``text``) with ``n_words``, ``n_hit`` (words inside any benchmark window), ``n_items``,
     ``item_ids`` (sorted as strings) and ``hits`` (sorted spans of word numbers, end exclusive).
 
-    The columns of a document go through one shuffle with its hits; pass only those needed.
+    ``text`` is not returned. The other columns go through one shuffle with the hits; pass
+    only those needed.
     """
     docs = docs.drop(*RESULT)
     windows = windows_of(benchmark, window)
     found = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("length").alias("lengths")).first()
     lengths = sorted(found["lengths"])  # at most ``window`` numbers
-    bits = min(MAX_BITMAP_BITS, max(12, (16 * found["n"]).bit_length()))
+    bits = min(MAX_BITMAP_BITS, max(12, (32 * found["n"]).bit_length()))
     rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", words_of(F.col("text")))
     rows = rows.withColumn("_bitmap", _bitmap(windows, bits))
-    kept = [c for c in docs.columns if c != "text" or with_words]
+    kept = [c for c in docs.columns if c != "text"]
 
     def candidates(n: int) -> Column:
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1))
@@ -130,24 +131,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with
     )
 
 
+def _leaked(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """``docs`` with a hash of the text, the documents with hits by id and that hash, once each,
+    and the condition that joins them. Texts stay out of the search: they are not shuffled with it."""
+    marked = docs.withColumn("_text_key", F.xxhash64("text"))
+    found = find_leaks(marked.select("doc_id", "_text_key", "text"), benchmark, window).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), F.col("hits").alias("_hits"))
+    found = found.dropDuplicates(["_id", "_key"])
+    on = [marked["_text_key"] == found["_key"], marked["doc_id"].eqNullSafe(found["_id"])]
+    return marked, found, on
+
+
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; columns as they were."""
-    found = find_leaks(docs, benchmark, window, with_words=True)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    marked, found, on = _leaked(docs, benchmark, window)
+    return marked.join(found, on, "left_anti").drop("_text_key")
 
 
 def cut_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the words inside benchmark windows cut out of ``text``; what stands between
     words stays. Untouched texts are returned as they were."""
-    found = find_leaks(docs, benchmark, window, with_words=True)
+    marked, found, on = _leaked(docs, benchmark, window)
+    joined = marked.join(found, on, "left")
     # The same words in their own case: only A-Z differ, so the pattern takes them as well.
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     words = F.regexp_extract_all("text", F.lit(word), F.lit(0))
     gaps = F.split("text", word, -1)
     number = F.sequence(F.lit(0), F.size(words) - 1)
     kept_words = F.zip_with(
-        words, number, lambda w, i: F.when(F.exists("hits", lambda h: (h["start"] <= i) & (i < h["end"])), "").otherwise(w)
+        words, number, lambda w, i: F.when(F.exists("_hits", lambda h: (h["start"] <= i) & (i < h["end"])), "").otherwise(w)
     )
     tail = F.zip_with(kept_words, F.slice(gaps, 2, F.size(words)), lambda w, g: F.concat(w, g))
-    cut = F.when(F.col("n_hit") > 0, F.concat(gaps[0], F.array_join(tail, ""))).otherwise(F.col("text"))
-    return found.withColumn("text", cut).select(*docs.columns)
+    cut = F.when(F.col("_hits").isNotNull(), F.concat(gaps[0], F.array_join(tail, ""))).otherwise(F.col("text"))
+    return joined.withColumn("text", cut).select(*docs.columns)
