@@ -130,20 +130,22 @@ def skew_join(
     of them, so their rows of ``right`` are broadcast. The other keys go through a plain join.
     Both inputs are read more than once and should be stored; ``right`` should be narrow.
     ``weight`` names a column of ``right`` that holds the count already; it is dropped.
-    A null key joins nothing.
+    A null key joins nothing. Nothing runs before the result is asked for.
     """
     keys = [key] if isinstance(key, str) else key
     if weight:
         counts = right.select(*keys, F.col(weight).alias("_n"))
-        total = right.agg(F.sum(weight)).first()[0] or 0
+        total = right.agg(F.sum(weight).alias("n"))
         right = right.drop(weight)
     else:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        total = left.count()
-    hot = counts.filter(F.col("_n") > max(1.0, total * HOT_SHARE)).select(*keys).dropna()
-    hot_right = F.broadcast(stored(right.join(F.broadcast(hot), keys, "left_semi")))
-    in_hot = left.join(hot_right, keys, "inner")
-    rest = left.join(F.broadcast(hot_right.select(*keys)), keys, "left_anti")
+        total = left.agg(F.count(F.lit(1)).alias("n"))
+    bound = F.greatest(F.lit(1.0), F.coalesce(total.scalar(), F.lit(0)) * HOT_SHARE)
+    hot = F.broadcast(counts.filter(F.col("_n") > bound).select(*keys).dropna())
+    in_hot = left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys, "inner")
+    # A hot key that ``right`` doesn't have is left to the plain join, and so stays whole there.
+    hot_known = F.broadcast(right.select(*keys).join(hot, keys, "left_semi"))
+    rest = left.join(hot_known, keys, "left_anti")
     return in_hot.unionByName(rest.join(right, keys, how))
 
 

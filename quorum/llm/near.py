@@ -8,10 +8,12 @@ sketches at least 1 + s are equal bit for bit. Blocks are therefore join keys:
 
 * sets are dealt to *size bands*; a set also enters a band above its own if a linked partner
   could be there, and within a band all sets use the same number of blocks.
-* a block with fewer than two bits set tells too little to be a key. It is left out where at
-  most s of a set's blocks are such: one of the 1 + s equal ones is then still a key of both
-  sides. Small sets repeat this under several hash seeds; a set with too many such blocks
-  under every seed keeps all of them, so no link is lost.
+* shingles that very many texts have are left out of the blocks, which loses no link (see
+  ``block_keys``) and keeps common lines from being keys.
+* an empty block tells nothing and is no key where at most s of a set's blocks are empty: one
+  of the 1 + s equal ones is then still a key of both sides. Smaller sets repeat this under
+  several hash seeds; a set with more empty blocks under every seed keeps them all as keys, so
+  no link is lost.
 * equal sets are merged first, so exact copies cost one row.
 
 In a bucket (sets that share a key), no list of pairs is built: a leader is compared with the
@@ -27,6 +29,8 @@ Hamming bound of a second sketch before their texts are fetched and their shingl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 
 from quorum.llm.common import bitmap_of, connected_components, map_batches, mix, skew_join, stored
 
-#: Cells of a block; one shingle in ten thousand-fold more cells than shingles keeps
-#: unrelated blocks apart.
-BLOCK_CELLS = 1 << 10
-#: Bits of the sketch that candidates are compared by.
-SKETCH_BITS = 1 << 10
-BAND_RATIO = 1.5
+#: Cells of a block: far more than there are shingles in it, so that unrelated blocks differ.
+#: Sketches are sparse, and only the cells with a bit are ever held.
+BLOCK_CELLS = 1 << 30
+#: Texts sampled to find frequent shingles, and the share of them that makes one frequent.
+SAMPLE = 20_000
+FREQUENT = 2e-3
+#: Least bits of the sketch that candidates are compared by; it has at least one per shingle.
+SKETCH_BITS = 1 << 8
+BAND_RATIO = 1.4
 #: Leaders that leave a bucket in each round after the first.
 LEADERS = 256
 #: Copies of a leader's text that its candidates may be spread over.
@@ -55,6 +62,7 @@ class Jaccard:
     def __init__(self, shingle: int, num: int, den: int):
         self.shingle, self.num, self.den = shingle, num, den
         self.tops: list[int] = [1]
+        self.slacks: dict[int, int] = {}
 
     def top(self, band: int) -> int:
         while len(self.tops) <= band:
@@ -71,6 +79,13 @@ class Jaccard:
             out.append(out[-1] + 1)
         return out
 
+    def slack(self, band: int) -> int:
+        if band not in self.slacks:
+            top = self.top(band)
+            below = self.top(band - 1) + 1 if band else 1
+            self.slacks[band] = _slack(self.differ(2 * top), max(1.0, self.num / self.den * below))
+        return self.slacks[band]
+
     def differ(self, both: int) -> int:
         """The most shingles in which two linked sets of ``both`` shingles together can differ."""
         return both * (self.den - self.num) // (self.den + self.num)
@@ -110,8 +125,10 @@ def set_hash(grams: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """The parity sketch candidates are compared by, as signed 64-bit words."""
-    cells = np.bincount((mix(grams ^ U(0x1F83D9ABFB41BD6B)) & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    """The parity sketch candidates are compared by, as signed 64-bit words. Its size is a
+    power of two; XORing its halves gives the sketch of half the size."""
+    bits = max(SKETCH_BITS, 1 << (len(grams) - 1).bit_length()) if len(grams) else SKETCH_BITS
+    cells = np.bincount((mix(grams ^ U(0x1F83D9ABFB41BD6B)) & U(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -119,38 +136,91 @@ def _seeds(top: int) -> int:
     return 4 if top < 64 else 2 if top < 256 else 1
 
 
-def block_keys(grams: np.ndarray, jaccard: Jaccard) -> np.ndarray:
-    """The join keys of a set: one per telling block, seed and band."""
+def _slack(k: int, least: float) -> int:
+    """Blocks beyond k + 1: three deviations more than the empty ones that a set of ``least``
+    shingles, the smallest of a band, is expected to have."""
+    slack = 1
+    for _ in range(20):
+        empty = (k + 1 + slack) * math.exp(-least / (k + 1 + slack))
+        slack = math.ceil(empty + 3 * math.sqrt(empty))
+    return slack
+
+
+def _blocks(grams: np.ndarray, band: int, seed: int, full: bool, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every block of the set's sketch, and which blocks are empty."""
+    h = mix(grams ^ U(((band << 8 | seed) + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    block = (h >> U(30)) % U(blocks)
+    cells = np.sort(block * U(BLOCK_CELLS) + (h & U(BLOCK_CELLS - 1)))
+    # A cell that an even number of shingles hit is empty again.
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, int)
+    odd = cells[first[np.diff(np.append(first, len(cells))) % 2 == 1]]
+    of = (odd // U(BLOCK_CELLS)).astype(np.int64)
+    value = np.zeros(blocks, U)
+    if len(odd):
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        value[of[starts]] = np.bitwise_xor.reduceat(mix(odd + U(1)), starts)
+    tag = np.arange(blocks, dtype=U) + U(band << 48 | seed << 40 | full << 39)
+    return mix(value ^ mix(tag)), np.bincount(of, minlength=blocks) == 0
+
+
+def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The join keys of a set: one per block with bits, seed and band.
+
+    Shingles of ``frequent`` (sorted) are left out first: a block that holds nothing else would
+    join texts that share no more than a common line. Leaving the same shingles out of two sets
+    never makes them differ in more, so the blocks still find every link, between all sets of
+    which one has at most ``slack`` empty blocks. A set with more under every seed also gives
+    the keys of all its shingles, where it meets the others of its kind.
+    """
+    rare = grams
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        rare = grams[frequent[at] != grams]
     keys = []
     for band in jaccard.bands(len(grams)):
         k = jaccard.differ(2 * jaccard.top(band))
         if k == 0:
             continue  # only equal sets link, and those are merged
-        slack = 1 + k // 10 if k < 5 else 2 + k // 10
-        blocks = k + 1 + slack
-        seen = []
-        for seed in range(_seeds(jaccard.top(band))):
-            h = mix(grams ^ U(((band << 8 | seed) + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            block = (h >> U(32)) % U(blocks)
-            cells = np.sort(block * U(BLOCK_CELLS) + (h & U(BLOCK_CELLS - 1)))
-            # A cell that an even number of shingles hit is empty again.
-            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            odd = cells[first[np.diff(np.append(first, len(cells))) % 2 == 1]]
-            of = (odd // U(BLOCK_CELLS)).astype(np.int64)
-            bits = np.bincount(of, minlength=blocks)
-            value = np.zeros(blocks, U)
-            if len(odd):
-                starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                value[of[starts]] = np.bitwise_xor.reduceat(mix(odd + U(1)), starts)
-            tag = np.arange(blocks, dtype=U) + U(band << 48 | seed << 40)
-            seen.append((mix(value ^ mix(tag)), bits < 2))
-        sparse = all(low.sum() > slack for _, low in seen)
-        for i, (key, low) in enumerate(seen):
-            keys.append(key if sparse and i == 0 else key[~low])
+        slack = jaccard.slack(band)
+        seeds = range(_seeds(jaccard.top(band)))
+        seen = [_blocks(rare, band, seed, False, k + 1 + slack) for seed in seeds]
+        keys += [key[~empty] for key, empty in seen]
+        if all(empty.sum() > slack for _, empty in seen):
+            seen = [_blocks(grams, band, seed, True, k + 1 + slack) for seed in seeds]
+            sparse = all(empty.sum() > slack for _, empty in seen)
+            keys += [key if sparse and not i else key[~empty] for i, (key, empty) in enumerate(seen)]
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def _describe(jaccard: Jaccard):
+def _shared_in_batch(size: int):
+    """Shingles that several texts of a batch have, and how many."""
+
+    def run(batches):
+        for batch in batches:
+            sets = shingles(batch.column(0).to_pylist(), size)
+            grams, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U), np.empty(0, int))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["gram", "n"]
+            )
+
+    return run
+
+
+def frequent_shingles(docs: DataFrame, jaccard: Jaccard) -> np.ndarray:
+    """Shingles that more than FREQUENT of the texts seem to have, from a sample of SAMPLE texts.
+
+    Which ones they are has no effect on the links found, only on the work it takes. There are
+    at most 1 / FREQUENT of them for every shingle that a text has on average.
+    """
+    total = docs.count()
+    taken = docs.select("text").sample(min(1.0, SAMPLE / max(1, total)), seed=11)
+    counted = map_batches(taken, _shared_in_batch(jaccard.shingle), "gram long, n long").groupBy("gram")
+    least = max(4, int(FREQUENT * min(total, SAMPLE)))
+    got = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram").toArrow()
+    return np.sort(got["gram"].to_numpy().view(U))
+
+
+def _describe(jaccard: Jaccard, frequent):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -159,15 +229,13 @@ def _describe(jaccard: Jaccard):
             n, fp, fq, words, keys, ends = [], [], [], [], [], [0]
             for grams in shingles(texts, jaccard.shingle):
                 a, b = set_hash(grams)
-                own = block_keys(grams, jaccard) if len(grams) else np.empty(0, np.int64)
+                own = block_keys(grams, jaccard, frequent.value) if len(grams) else np.empty(0, np.int64)
                 n.append(len(grams)), fp.append(a), fq.append(b)
                 words.append(sketch(grams))
                 keys.append(own)
                 ends.append(ends[-1] + len(own))
-            width = SKETCH_BITS // 64
-            sketches = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(n) + 1) * width, pa.int32()), pa.array(np.concatenate(words))
-            )
+            widths = np.cumsum([0, *map(len, words)])
+            sketches = pa.ListArray.from_arrays(pa.array(widths, pa.int32()), pa.array(np.concatenate(words)))
             key_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -179,20 +247,22 @@ def _describe(jaccard: Jaccard):
 
 
 def _fetch(jaccard: Jaccard, wanted):
-    """The texts of wanted sets, one per set and task."""
+    """The texts of wanted sets, one per set and task. A set is known by the hash of one of its
+    texts, so that only texts which may be wanted are cut into shingles again."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            may = wanted.value.has(batch.column(1).to_numpy())
+            texts = batch.column(0).filter(pa.array(may)).to_pylist()
             rows = []
             for text, grams in zip(texts, shingles(texts, jaccard.shingle)):
                 if not len(grams):
                     continue
-                a, b = set_hash(grams)
-                if (a, b) not in seen and wanted.value.has(np.array([a]))[0]:
-                    seen.add((a, b))
-                    rows.append((a, b, text))
+                name = set_hash(grams)
+                if name not in seen:
+                    seen.add(name)
+                    rows.append((*name, text))
             if rows:
                 fp, fq, kept = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -219,7 +289,15 @@ def _verify(jaccard: Jaccard):
     return run
 
 
+def _fold(x: Column, to: Column) -> Column:
+    """The sketch at the size ``to``, which is its own or half of it."""
+    halves = F.zip_with(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) == to, x).otherwise(halves)
+
+
 def _hamming(x: Column, y: Column) -> Column:
+    least = F.least(F.size(x), F.size(y))
+    x, y = _fold(x, least), _fold(y, least)
     weights = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     return F.aggregate(weights, F.lit(0), lambda acc, w: acc + w)
 
@@ -239,11 +317,12 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, jaccard: Jaccard
     near = stored(known.filter(close).select("a", "b", salt.alias("salt")))
 
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "fp", "fq"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "fp"))
-    texts = map_batches(docs.select("text"), _fetch(jaccard, bitmap), "fp long, fq long, text string")
+    wanted = stored(nodes.join(ends, "node", "left_semi").select("node", "fp", "fq", "text_hash"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "text_hash"))
+    rows = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    texts = map_batches(rows, _fetch(jaccard, bitmap), "fp long, fq long, text string")
     texts = texts.groupBy("fp", "fq").agg(F.first("text").alias("text"))
-    texts = stored(texts.join(wanted, ["fp", "fq"]).select("node", "text"))
+    texts = stored(texts.join(wanted.drop("text_hash"), ["fp", "fq"]).select("node", "text"))
     # A leader's text is copied once for every salt among its candidates, never more often
     # than it has candidates, so that a leader of very many is spread over tasks.
     copies = near.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -254,10 +333,11 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, jaccard: Jaccard
 
 def describe(docs: DataFrame, jaccard: Jaccard, keep: list[str]) -> DataFrame:
     """One row per document: its number ``rid``, the columns ``keep``, size, hashes, sketch, keys."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, F.xxhash64("text").alias("text_hash"), "text")
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, jaccard))
     return map_batches(
-        rows, _describe(jaccard), f"{kinds}, n long, fp long, fq long, sketch array<long>, keys array<long>"
+        rows, _describe(jaccard, frequent), f"{kinds}, n long, fp long, fq long, sketch array<long>, keys array<long>"
     )
 
 
@@ -270,38 +350,51 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
     if not 0 < num <= den:
         raise ValueError("the threshold must be over 0 and at most 1")
     described = stored(describe(docs, jaccard, ["doc_id", *keep]))
-    same = ["n", "fp", "fq"]
-    sets = described.filter("n > 0").groupBy(*same).agg(
-        F.min("rid").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
-    )
-    nodes = stored(sets)
-    member = nodes.select("node", F.explode("keys").alias("key"))
+    described, nodes = _named_sets(described)
+    with_keys = described.filter(F.size("keys") > 0)
+
+    # Most keys belong to one document. Those of several are counted first, with the smallest
+    # rows that can be, and only their members are written out.
+    counted = with_keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    shared = stored(counted.filter("m > 1").select("key"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared, "key"))
+    member = map_batches(with_keys.select("node", "keys"), _members(bitmap), "key long, node long")
+    member = stored(member.distinct())
     buckets = member.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = stored(skew_join(member, stored(buckets), "key", "inner", weight="m"))
 
-    info = nodes.select("node", *same, "sketch")
     pairs = stored(member.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    links = [_links(docs, info, pairs, jaccard)]
+    links = [_links(docs, nodes, pairs, jaccard)]
     tested = pairs
+    # What the first leaders have linked needs no more comparisons among itself; these links
+    # are nearly all there are.
+    component = connected_components(links[0])
     left = member.filter("node <> leader").select("key", "node")
+    left = skew_join(left, component, "node").select("key", "node", F.coalesce("component", "node").alias("c"))
+    left = stored(left)
     while True:
-        component = connected_components(_union(links))
-        left = skew_join(left, component, "node").select("key", "node", F.coalesce("component", "node").alias("c"))
-        left, pairs = _next_pairs(stored(left), tested)
+        left, pairs = _next_pairs(left, tested)
         if pairs is None:
             break
         tested = stored(tested.unionByName(pairs))
-        links.append(_links(docs, info, pairs, jaccard))
+        links.append(_links(docs, nodes, pairs, jaccard))
+    if len(links) > 1:
+        component = connected_components(_union(links))
 
     edges = _union(links)
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    sets = nodes.select(*same, "node").join(component, "node", "left").join(degree, "node", "left")
-    sets = sets.select(*same, F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = described.select("rid", "doc_id", *keep, *same)
-    rows = stored(skew_join(rows.filter("n > 0"), stored(sets), same, "inner"))
-    smallest = stored(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    named = skew_join(rows, smallest, "component", "inner")
+    linked = stored(component.join(degree, "node"))
+    rows = skew_join(described.filter("n > 0").select("rid", "doc_id", *keep, "n", "node"), linked, "node")
+    rows = rows.withColumns(
+        {"component": F.coalesce("component", "node"), "n_links": F.coalesce("n_links", F.lit(0)).cast("long")}
+    )
+    rows = stored(rows)
+    smallest = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    several = stored(smallest.filter("m > 1"))
+    named = skew_join(rows, several, "component", weight="m")
+    # A component of one row is named after that row.
+    named = named.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     columns = ["rid", "doc_id", *keep, F.col("n").alias("n_shingles"), "n_links", "component", "component_id"]
     alone = described.filter("n = 0").withColumns(
         {"n_links": F.lit(0).cast("long"), "component": -1 - F.col("rid"), "component_id": F.col("doc_id")}
@@ -309,6 +402,43 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
     return named.select(*columns).unionByName(alone.select(*columns))
 
 
+def _named_sets(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``described`` with ``node``, the name of its set, and one row for every set.
+
+    The name is the set's first hash. Different sets of one hash (the second hash tells) get
+    names made of both."""
+    sets = described.filter("n > 0").groupBy("fp").agg(
+        F.min("fq").alias("fq"), F.max("fq").alias("_fq"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"), F.first("sketch").alias("sketch")
+    )
+    sets = stored(sets)
+    clash = sets.filter("fq <> _fq").select("fp", F.lit(True).alias("_clash"))
+    if clash.isEmpty():
+        nodes = sets.select(F.col("fp").alias("node"), "fp", "fq", "n", "text_hash", "sketch")
+        return described.withColumn("node", F.col("fp")), nodes
+    described = stored(
+        described.join(clash, "fp", "left")
+        .withColumn("node", F.when(F.col("_clash"), F.xxhash64("fp", "fq")).otherwise(F.col("fp")))
+        .drop("_clash")
+    )
+    sets = described.filter("n > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "fq", "n", "text_hash", "sketch")])
+    return described, stored(sets)
+
+
+def _members(bitmap):
+    """(key, node) of the keys that may be shared."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, keys = batch.column(0).to_numpy(), batch.column(1)
+            ends = keys.offsets.to_numpy()
+            values = keys.values.to_numpy()[ends[0] : ends[-1]]
+            may = bitmap.value.has(values)
+            of = np.repeat(nodes, np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(values[may]), pa.array(of[may])], ["key", "node"])
+
+    return run
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -337,7 +467,7 @@ def _next_pairs(left: DataFrame, tested: DataFrame):
     met = met.filter("c <> l.lead_c").select(F.least("node", "l.lead").alias("a"), F.greatest("node", "l.lead").alias("b"))
     pairs = stored(met.distinct().join(tested, ["a", "b"], "left_anti"))
     gone = leaders.select("key", F.col("lead").alias("node"))
-    left = stored(left.join(gone, ["key", "node"], "left_anti").select("key", "node"))
+    left = stored(left.join(gone, ["key", "node"], "left_anti").select("key", "node", "c"))
     return left, pairs
 
 
