@@ -46,6 +46,7 @@ CONTEXT_WORDS = 2
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
 TURNS = 3
+MATCHES = "array<struct<kind:string,k:int,gap:bigint,found:string,before:string>>"
 NOT_DIGIT = r"[^0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]|)"
 
@@ -76,19 +77,20 @@ def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
             F.substring(m["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
         ),
     )
-    empty = F.array().cast("array<struct<kind:string,k:int,gap:bigint,found:string,before:string>>")
+    empty = F.array().cast(MATCHES)
     return F.when(text.rlike(needs), rows).otherwise(empty)
 
 
 def _all_matches(docs: DataFrame, id_column: str) -> DataFrame:
-    """One row per match, and one for every row without any (``kind`` is null): ``row``, the id,
-    ``kind``, ``start``, ``end`` (code points), ``found``, ``before``."""
+    """One row per match, and one more for every row of ``docs`` (``kind`` is null), whatever it
+    holds: ``row``, the id, ``kind``, ``start``, ``end`` (code points), ``found``, ``before``."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_column), F.coalesce("text", F.lit("")).alias("t")
     )
     kinds = [_matches(F.col("t"), k, PATTERNS[k], NEEDS[k]) for k in KINDS]
     tokens = _matches(F.col("t"), TOKEN_KIND, TOKEN, "[0-9]")
-    exploded = rows.select("row", id_column, F.explode_outer(F.concat(*kinds, tokens)).alias("m")).select("row", id_column, "m.*")
+    itself = F.array(F.lit(None)).cast(MATCHES)
+    exploded = rows.select("row", id_column, F.explode(F.concat(itself, *kinds, tokens)).alias("m")).select("row", id_column, "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(so_far)
     return exploded.select(
@@ -137,8 +139,7 @@ def find(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     found = skew_join(tokens.filter(F.col("pattern").isNotNull()), trusted, "pattern", "inner").select(
         "row", id_column, F.col("as_kind").alias("kind"), "start", "end", F.lit(True).alias("learned")
     )
-    nothing = spans.filter(F.col("kind") == TOKEN_KIND).select("row", id_column, *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("start", "long"), ("end", "long"))], F.lit(False).alias("learned")).dropDuplicates(["row"])
-    rows = base.select("row", id_column, "kind", "start", "end", F.lit(False).alias("learned")).unionByName(found).unionByName(nothing)
+    rows = base.select("row", id_column, "kind", "start", "end", F.lit(False).alias("learned")).unionByName(found)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct(rank.alias("rank"), "start", "end", "kind")
     per_row = rows.groupBy("row").agg(

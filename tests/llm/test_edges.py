@@ -145,6 +145,12 @@ def test_pii(spark, wide, empty):
     assert {r["doc_id"]: len(r["base"]) for r in rows} == {1: 3500, 2: 0}
 
 
+def test_pii_keeps_texts_whose_matches_all_fail(spark):
+    texts = ["In 2020 we met", "about 1,000 people", "room 12", "v 1.2.3.999", "call +1 23", "no number", "12345 token"]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], len(r["base"]), len(r["spans"])) for r in rows) == [(i, 0, 0) for i in range(len(texts))]
+
+
 def test_pii_learns_contexts(spark):
     seeds = [(i, f"reach me by mail: user{i}@mail.example.org thanks") for i in range(8)]
     new = [(100 + i, f"reach me by mail: user{i}-at-home{i} thanks") for i in range(3)]
