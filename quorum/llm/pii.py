@@ -13,6 +13,7 @@ it overlaps a base span. All rows take part, in counts that combine before they
 
 DataFrame functions only. Positions come from the lengths of the pieces between matches, and
 are added up by a window over a row's matches, so a text with very many of them stays linear.
+The same window joins the last pieces to the CONTEXT_CHARS characters that precede a match.
 The repetitions of the patterns are possessive and their starts anchored where that changes no
 match, so that long runs of characters neither backtrack nor overflow the stack.
 
@@ -42,11 +43,13 @@ TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{5,}+"
 TOKEN_KIND = "token"
 #: Characters before an instance that may belong to its pattern, and how many words do.
 CONTEXT_CHARS = 60
+#: So many matches before one fill its context, even the shortest: two characters, one between.
+CONTEXT_MATCHES = CONTEXT_CHARS // 3
 CONTEXT_WORDS = 2
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
 TURNS = 3
-MATCHES = "array<struct<kind:string,k:int,gap:bigint,found:string,before:string>>"
+MATCHES = "array<struct<kind:string,k:int,gap:bigint,found:string,before:string,tail:string>>"
 NOT_DIGIT = r"[^0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]|)"
 
@@ -63,8 +66,14 @@ def _valid(kind: Column, match: Column) -> Column:
     )
 
 
+def _end(text: Column) -> Column:
+    """The last CONTEXT_CHARS characters."""
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
 def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
-    """Array of (kind, k, gap, found, before) of one kind; ``gap`` is the distance to the match before."""
+    """Array of (kind, k, gap, found, before, tail) of one kind; ``gap`` is the distance to the match
+    before, ``before`` the end of what lies in it, ``tail`` that of gap and match together."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     rows = F.transform(
@@ -74,7 +83,8 @@ def _matches(text: Column, kind: str, pattern: str, needs: str) -> Column:
             k.alias("k"),
             F.length(m["gap"]).cast("long").alias("gap"),
             m["found"].alias("found"),
-            F.substring(m["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
+            _end(m["gap"]).alias("before"),
+            _end(F.concat(m["gap"], m["found"])).alias("tail"),
         ),
     )
     empty = F.array().cast(MATCHES)
@@ -93,8 +103,12 @@ def _all_matches(docs: DataFrame, id_column: str) -> DataFrame:
     exploded = rows.select("row", id_column, F.explode(F.concat(itself, *kinds, tokens)).alias("m")).select("row", id_column, "m.*")
     so_far = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(so_far)
+    # The text before a match is put together from the ends of the pieces before it: the whole
+    # text would have to go with every match, and be walked from its start.
+    earlier = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(-CONTEXT_MATCHES, -1)
+    before = _end(F.concat(F.array_join(F.collect_list("tail").over(earlier), ""), F.col("before")))
     return exploded.select(
-        "row", id_column, "kind", (end - F.length("found")).alias("start"), end.alias("end"), "found", "before"
+        "row", id_column, "kind", (end - F.length("found")).alias("start"), end.alias("end"), "found", before.alias("before")
     ).filter(F.col("kind").isNull() | (F.col("kind") == TOKEN_KIND) | _valid(F.col("kind"), F.col("found")))
 
 

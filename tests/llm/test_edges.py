@@ -151,6 +151,27 @@ def test_pii_keeps_texts_whose_matches_all_fail(spark):
     assert sorted((r["doc_id"], len(r["base"]), len(r["spans"])) for r in rows) == [(i, 0, 0) for i in range(len(texts))]
 
 
+def test_pii_contexts_reach_over_earlier_matches(spark):
+    texts = [
+        "ID: 48213 Phone: 555-01999 or +1 555 0199 123, mail a@b.org",
+        "x 12 34  56 7  89 " * 9 + "1.2.3.4 1.2.3.5\t1.2.3.6 é a@b.cc,c@d.ee 漢字 f@g.hh 11111 22222",
+        "12\t34\t" * 30 + "4111 1111 1111 1111",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii._all_matches(df, "doc_id").filter("kind IS NOT NULL").collect()
+    assert {r["kind"] for r in rows} == {*pii.KINDS, pii.TOKEN_KIND}
+    for r in rows:
+        text, start = texts[r["doc_id"]], r["start"]
+        assert text[start : r["end"]] == r["found"] and r["before"] == text[max(0, start - pii.CONTEXT_CHARS) : start]
+
+
+def test_pii_learns_in_records(spark):
+    seeds = [(i, f"ID: 4821{i} Phone: +1 555 0199 12{i}") for i in range(8)]
+    new = [(100, "ID: 48213 Phone: 555-01999")]
+    rows = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(seeds + new, "doc_id long, text string")).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in rows[100]["spans"]] == [("phone", 17, 26)]
+
+
 def test_pii_learns_contexts(spark):
     seeds = [(i, f"reach me by mail: user{i}@mail.example.org thanks") for i in range(8)]
     new = [(100 + i, f"reach me by mail: user{i}-at-home{i} thanks") for i in range(3)]
