@@ -73,14 +73,16 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[:DICTIONARY_BYTES]
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a lightly penalised logistic curve, by Newton's method."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a lightly penalised logistic curve, by Newton's method. The weights
+    count by their shares: they sum to the number of rows."""
+    weight = np.ones_like(x) if weight is None else weight * (len(x) / weight.sum())
     design = np.column_stack([x / 0.01, np.ones_like(x)])
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + 1e-3 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (weight * (p - y)) + 1e-3 * w
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
@@ -88,14 +90,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / 0.01), float(w[1])
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``label``, ``text``, ``turn``: at most ``rows`` rows of each label, picked by a hash of the id."""
-    chosen = (
+def usable(labels: DataFrame, learn_from: Column) -> DataFrame:
+    """``doc_id``, ``label`` of the ids that have one label."""
+    return (
         labels.filter(learn_from & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").alias("label"), F.max("quality").alias("_other"))
         .filter("label = _other")
+        .select("doc_id", "label")
     )
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``label``, ``text``, ``turn``: at most ``rows`` rows of each label, picked by a hash of the id."""
+    chosen = usable(labels, learn_from)
     turn = F.xxhash64(F.lit(7), "doc_id")
     parts = [
         chosen.filter(F.col("label") == label).select("doc_id", "label", turn.alias("turn")).orderBy("turn").limit(rows)
@@ -117,18 +125,22 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMP
     for r in got:
         by_label[r["label"]].append(r["text"].encode())
     n = {k: len(v) for k, v in by_label.items()}
+    # A label has more ids than were asked for where there are many: every row of the sample then
+    # stands for several, so that the prior is that of all labels at every size.
+    counted = usable(labels, learn_from).groupBy("label").count().collect()
+    stands_for = {k: 1.0 for k in n} | {r["label"]: max(1.0, r["count"] / rows) for r in counted}
+    stood = {k: n[k] * stands_for[k] for k in n}
     if not n[0] or not n[1]:
-        share = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
+        share = stood[1] / (stood[0] + stood[1]) if n[0] + n[1] else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
     train = {k: [t for i, t in enumerate(v) if i % CALIBRATE_EVERY] or v for k, v in by_label.items()}
     good, bad = _dictionary(train[1]), _dictionary(train[0])
     compressors = _compressors(good, bad)
-    kept = [(k, t) for k, v in by_label.items() for t in (v[::CALIBRATE_EVERY] or v)]
-    x = np.array([size_difference(compressors, t) for _, t in kept])
-    # The sample holds equally many rows of each label if there are enough: weigh them back.
-    y = np.array([k for k, _ in kept], float)
-    slope, intercept = _calibrate(x, y)
+    kept = {k: v[::CALIBRATE_EVERY] for k, v in by_label.items()}
+    x = np.array([size_difference(compressors, t) for v in kept.values() for t in v])
+    y = np.array([k for k, v in kept.items() for _ in v], float)
+    slope, intercept = _calibrate(x, y, np.array([stood[k] / len(v) for k, v in kept.items() for _ in v]))
     return QualityModel(good, bad, slope, intercept)
 
 

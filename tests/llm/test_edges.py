@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,18 @@ def test_quality(spark, docs, wide, empty):
     assert quality.fit(empty, labels_of(spark), F.lit(True)).good == b""
 
 
+def test_quality_keeps_the_prior_of_all_labels(spark):
+    """Ten times as many good labels as bad ones, over and under the bound of the sample."""
+    words = {1: "careful clear honest plain".split(), 0: "cheap click offer winner".split()}
+    kind = [int(i % 11 > 0) for i in range(1320)]
+    text = lambda i: " ".join(words[kind[i] if i % 4 else 1 - kind[i]][(i * j) % 4] for j in range(1, 30))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(1320)], "doc_id long, text string")
+    labels = labels_of(spark, [(i, k, 0) for i, k in enumerate(kind)])
+    model = [quality.fit(docs, labels, F.lit(True), rows) for rows in (3000, 120)]
+    at = [1 / (1 + np.exp(-m.intercept)) for m in model]
+    assert abs(at[0] - at[1]) < 0.1 and min(at) > 0.7
+
+
 def test_exact(spark, docs, wide, empty):
     rows = exact.classes(wide).collect()
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows if r["keep_id"] != 3)
