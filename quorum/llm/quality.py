@@ -1,7 +1,11 @@
 """Quality by compression: two zstandard dictionaries, one built from good and one from bad
-labelled text; the better one of them compresses a text, the likelier its label.
+labelled text; the better one of them compresses a text, the likelier its label. A text is
+compressed in blocks that each start afresh from the dictionary, so that its end counts as much
+as its beginning.
 
-``fit`` learns from a bounded sample of labelled rows, ``score`` reads every whole text.
+``fit`` learns from a bounded sample of labelled rows: stretches of at most STRETCH_CHARS
+characters make the dictionaries on the driver, whole texts calibrate the score on the executors.
+``score`` reads every whole text.
 
 * null or empty text: both sizes are equal up to a constant; the calibrated score of that.
 * ids labelled twice with different values are left out of the sample; equal repeats count once.
@@ -22,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorum.llm.common import map_batches
+from quorum.llm.common import map_batches, stored
 
 #: Labelled rows of each class that may enter the sample.
 SAMPLE_ROWS = 3000
-#: Longer texts don't enter the sample (they are scored like all others).
-SAMPLE_MAX_CHARS = 40_000
+#: Of longer texts, a stretch of this length enters the dictionaries, from a place that a hash picks.
+STRETCH_CHARS = 40_000
 DICTIONARY_BYTES = 112_640
 #: Texts are cut into pieces of this size for the dictionary builder.
 PIECE_BYTES = 512
 LEVEL = 3
+#: Texts are compressed in blocks of this size, each on its own.
+BLOCK_BYTES = 2048
 #: Every third sampled row stays out of the dictionaries and calibrates the score.
 CALIBRATE_EVERY = 3
 
@@ -60,8 +66,11 @@ def _compressors(good: bytes, bad: bytes):
 
 
 def size_difference(compressors, data: bytes) -> float:
-    """Compressed size under the bad dictionary less that under the good one, over their sum."""
-    good, bad = (len(c.compress(data)) for c in compressors)
+    """Compressed size under the bad dictionary less that under the good one, over their sum; a
+    size is that of all blocks."""
+    view = memoryview(data)
+    blocks = [view[i : i + BLOCK_BYTES] for i in range(0, max(len(data), 1), BLOCK_BYTES)]
+    good, bad = (sum(len(c.compress(b)) for b in blocks) for c in compressors)
     return (bad - good) / (bad + good)
 
 
@@ -90,6 +99,23 @@ def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -
     return float(w[0] / 0.01), float(w[1])
 
 
+def _differences(shared):
+    """(label, turn, size difference) of the rows that calibrate."""
+
+    def run(batches):
+        good, bad, turns = shared.value
+        compressors = _compressors(good, bad)
+        for batch in batches:
+            of = [(k, t, v) for k, t, v in zip(*(c.to_pylist() for c in batch.columns)) if t in turns]
+            x = [size_difference(compressors, v.encode()) for _, _, v in of]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in of], pa.int32()), pa.array([t for _, t, _ in of], pa.int64()), pa.array(x, pa.float64())],
+                ["label", "turn", "x"],
+            )
+
+    return run
+
+
 def usable(labels: DataFrame, learn_from: Column) -> DataFrame:
     """``doc_id``, ``label`` of the ids that have one label."""
     return (
@@ -97,7 +123,7 @@ def usable(labels: DataFrame, learn_from: Column) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.min("quality").alias("label"), F.max("quality").alias("_other"))
         .filter("label = _other")
-        .select("doc_id", "label")
+        .select("doc_id", F.col("label").cast("int").alias("label"))
     )
 
 
@@ -111,7 +137,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = S
     ]
     # At most 2 * rows ids: a bounded broadcast.
     picked = F.broadcast(parts[0].unionByName(parts[1]))
-    texts = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_MAX_CHARS))
+    texts = docs.select("doc_id", "text").filter(F.length("text") > 0)
     # A repeated id brings one text: the bound holds for rows too.
     one = texts.join(picked, "doc_id").groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text"))
     return one.select("label", "text", "turn")
@@ -119,11 +145,14 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = S
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> QualityModel:
     """The model of ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, from the labels for
-    which ``learn_from`` holds; at most ``rows`` rows of each label reach the driver."""
-    got = sorted(sample(docs, labels, learn_from, rows).collect(), key=lambda r: (r["turn"], r["text"]))
-    by_label: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in got:
-        by_label[r["label"]].append(r["text"].encode())
+    which ``learn_from`` holds; stretches of at most ``rows`` rows of each label reach the driver."""
+    picked = stored(sample(docs, labels, learn_from, rows))
+    spare = F.greatest(F.length("text") - STRETCH_CHARS, F.lit(0)) + 1
+    stretch = F.substring("text", F.pmod(F.xxhash64(F.lit(11), "turn"), spare).cast("int") + 1, F.lit(STRETCH_CHARS))
+    got = picked.select("label", "turn", stretch.alias("stretch")).collect()
+    by_label: dict[int, list] = {0: [], 1: []}
+    for r in sorted(got, key=lambda r: (r["turn"], r["stretch"])):
+        by_label[r["label"]].append(r)
     n = {k: len(v) for k, v in by_label.items()}
     # A label has more ids than were asked for where there are many: every row of the sample then
     # stands for several, so that the prior is that of all labels at every size.
@@ -134,13 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMP
         share = stood[1] / (stood[0] + stood[1]) if n[0] + n[1] else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    train = {k: [t for i, t in enumerate(v) if i % CALIBRATE_EVERY] or v for k, v in by_label.items()}
-    good, bad = _dictionary(train[1]), _dictionary(train[0])
-    compressors = _compressors(good, bad)
-    kept = {k: v[::CALIBRATE_EVERY] for k, v in by_label.items()}
-    x = np.array([size_difference(compressors, t) for v in kept.values() for t in v])
-    y = np.array([k for k, v in kept.items() for _ in v], float)
-    slope, intercept = _calibrate(x, y, np.array([stood[k] / len(v) for k, v in kept.items() for _ in v]))
+    train = {k: [r for i, r in enumerate(v) if i % CALIBRATE_EVERY] or v for k, v in by_label.items()}
+    good, bad = (_dictionary([r["stretch"].encode() for r in train[k]]) for k in (1, 0))
+    turns = frozenset(r["turn"] for v in by_label.values() for r in v[::CALIBRATE_EVERY])
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad, turns))
+    differences = map_batches(picked.select("label", "turn", "text"), _differences(shared), "label int, turn long, x double")
+    kept = sorted(map(tuple, differences.collect()))
+    x, y = np.array([d for _, _, d in kept]), np.array([k for k, _, _ in kept], float)
+    slope, intercept = _calibrate(x, y, np.where(y == 1, stood[1] / y.sum(), stood[0] / (1 - y).sum()))
     return QualityModel(good, bad, slope, intercept)
 
 

@@ -81,6 +81,23 @@ def test_quality_keeps_the_prior_of_all_labels(spark):
     assert abs(at[0] - at[1]) < 0.1 and min(at) > 0.7
 
 
+def test_quality_of_long_texts(spark):
+    """The end of a long text counts like its beginning, and long texts are learned from."""
+    import random
+
+    rnd = random.Random(4)
+    # The classes have half their words in common.
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    text = lambda k, n: " ".join(rnd.choice(words[:600] if k else words[300:]) for _ in range(n))
+    kind = [i % 2 for i in range(300)]
+    for rows in ([(i, text(k, 100)) for i, k in enumerate(kind)], [(i, text(k, 6500)) for i, k in enumerate(kind[:40])]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = quality.fit(docs, labels_of(spark, [(i, k, 0) for i, k in enumerate(kind)]), F.lit(True))
+        new = [(k, text(k, n)) for k in (0, 1) for n in (100, 2000, 60_000)]
+        scores = quality.score(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+        assert all((r["score"] > 0.9) if r["doc_id"] else (r["score"] < 0.1) for r in scores), [r["score"] for r in scores]
+
+
 def test_exact(spark, docs, wide, empty):
     rows = exact.classes(wide).collect()
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in rows if r["keep_id"] != 3)
