@@ -9,8 +9,9 @@ margins are, lists with marks and indents, table cells in aligned columns.
 * null and empty pages give an empty text. A page cut off in the middle is rendered as far as
   it goes. Repeated rows are rendered one by one; extra columns stay, and ``text`` replaces a
   column of that name. An empty table gives an empty result.
-* nesting is followed to MAX_DEPTH elements; deeper ones count as part of the last. Cells
-  wider than MAX_ALIGN characters are written whole but push no others to the right, so the
+* nesting is followed at any depth. Items, quotes and cells within MAX_DEPTH others keep their
+  marks and line breaks but are indented and aligned no further: deep items on lines of their
+  own, the cells of a row behind each other. Cells wider than MAX_ALIGN characters are written whole but push no others to the right, so the
   output is linear in the page.
 """
 
@@ -65,44 +66,41 @@ class TreeBuilder:
     def __init__(self, out):
         self.out = out
         self.stack: list[str] = []
-        self.count: dict[str, int] = {}
-        self.skipped: dict[str, int] = {}
+        self.at: dict[str, list[int]] = {}  # where in the stack the elements of a name are
 
     def push(self, name: str, attributes: dict) -> None:
-        if len(self.stack) >= MAX_DEPTH:
-            self.skipped[name] = self.skipped.get(name, 0) + 1
-            return
+        self.at.setdefault(name, []).append(len(self.stack))
         self.stack.append(name)
-        self.count[name] = self.count.get(name, 0) + 1
         self.out.open(name, attributes)
 
     def pop(self) -> str:
         name = self.stack.pop()
-        self.count[name] -= 1
+        self.at[name].pop()
         self.out.close(name)
         return name
 
+    def innermost(self, names) -> int:
+        """Where the innermost of ``names`` is, -1 if none is open. No walk over the stack: pages
+        may be deep."""
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
+
     def pop_to(self, names, barrier=BARRIER) -> bool:
         """Close everything down to the innermost of ``names``, unless a barrier is in between."""
-        if not any(self.count.get(n) for n in names):
+        i = self.innermost(names)
+        if i < 0 or i < self.innermost(barrier):
             return False
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i] in names:
-                while len(self.stack) > i:
-                    self.pop()
-                return True
-            if self.stack[i] in barrier:
-                return False
-        return False
+        while len(self.stack) > i:
+            self.pop()
+        return True
 
     def start(self, name: str, attributes: dict) -> None:
         if name in ("html", "body"):
             if name == "body":
                 self.pop_to(("head",))
-            if not self.count.get(name):
+            if not self.at.get(name):
                 self.push(name, attributes)
             return
-        if self.count.get("head") and self.stack[-1] == "head" and name not in HEAD:
+        if self.at.get("head") and self.stack[-1] == "head" and name not in HEAD:
             self.pop()
         if name in CLOSES_P:
             self.pop_to(("p",))
@@ -127,9 +125,7 @@ class TreeBuilder:
             self.pop()
 
     def end(self, name: str) -> None:
-        if self.skipped.get(name):
-            self.skipped[name] -= 1
-        elif name in ("br", "p") and not self.count.get(name):
+        if name in ("br", "p") and not self.at.get(name):
             self.start(name, {})  # a stray end of these makes an empty element
             self.pop_to((name,))
         elif name not in ("html", "body") and name not in VOID:
@@ -201,26 +197,39 @@ class Lines:
         self.space = False  # white space is waiting for the next word
         self.gap = 0  # blank lines asked for before the next text
         self.some = False  # the open line is to be kept even if empty
+        self.marks: list[str] = []  # of deep list items that have no text yet
 
     def inline(self, text: str) -> None:
         words = SPACE.sub(" ", text)
         if words == " " or not words:
             self.space = self.space or bool(words)
             return
+        self._mark()
         if (self.space or words[0] == " ") and self.open:
             self.open.append(" ")
         self.open.append(words.strip(" "))
         self.space = words[-1] == " "
 
     def verbatim(self, text: str) -> None:
+        self._mark()
         first, *more = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
         self.open.append(first)
         for line in more:
             self.break_line()
             self.open.append(line)
 
+    def _mark(self) -> None:
+        if self.marks:
+            self.open.append("".join(self.marks))
+            self.marks, self.space = [], False
+
     def break_line(self) -> None:
-        self._finish(keep=True)
+        self._finish(keep=not self.marks)
+
+    def next_cell(self) -> None:
+        if self.open:
+            self.open.append("  ")
+            self.space = False
 
     def end_line(self) -> None:
         self._finish(keep=False)
@@ -244,7 +253,8 @@ class Lines:
         self.end_line()
         if lines:
             self._blank()
-            self.done += lines
+            mark, self.marks = "".join(self.marks), []
+            self.done += [mark + lines[0], *lines[1:]] if mark else lines
 
     def finish(self) -> list[str]:
         self.end_line()
@@ -321,7 +331,8 @@ class Renderer:
         self.unseen = False
         self.pre = 0
         self.lists: list[list] = []
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []  # None: too deep to be aligned
+        self.flat: list[int | None] = []  # per open item or quote: None, or the marks before it if too deep for lines of its own
         self.cells: list[tuple[int, int]] = []
 
     def open(self, name: str, attributes: dict) -> None:
@@ -349,6 +360,8 @@ class Renderer:
             return
         if name == "br":
             self.lines.break_line()
+        elif name in ("td", "th") and self.tables and self.tables[-1] is None:
+            self.lines.next_cell()
         elif name in BLOCK:
             nested_list = name in LISTS and self.lists
             self.lines.ask_gap(1 if name in SPACED and not nested_list else 0)
@@ -359,18 +372,36 @@ class Renderer:
         elif name == "li":
             if self.lists and "value" in attributes:
                 self.lists[-1][1] = _number(attributes["value"], self.lists[-1][1], -(10**9), 10**9)
-            self._inner()
+            self._indent()
+            if self.flat[-1] is not None:
+                self.lines.marks.append(self._item_mark())
         elif name in ("dd", "blockquote"):
-            self._inner()
+            self._indent()
         elif name == "table":
-            self.tables.append(Table())
-            self.outer.append(self.lines)  # stray text of the table goes before it
-        elif name == "tr" and self.tables:
+            if len(self.outer) >= MAX_DEPTH:
+                self.tables.append(None)
+            else:
+                self.tables.append(Table())
+                self.outer.append(self.lines)  # stray text of the table goes before it
+        elif name == "tr" and self.tables and self.tables[-1]:
             self.tables[-1].row()
-        elif name in ("td", "th") and self.tables:
+        elif name in ("td", "th") and self.tables and self.tables[-1]:
             self.cells.append((_number(attributes.get("colspan"), 1), _number(attributes.get("rowspan"), 1)))
             self._inner()
 
+    def _indent(self) -> None:
+        deep = len(self.outer) >= MAX_DEPTH
+        self.flat.append(len(self.lines.marks) if deep else None)
+        if not deep:
+            self._inner()
+
+    def _item_mark(self) -> str:
+        if not self.lists:
+            return "- "
+        ordered, number, step = self.lists[-1]
+        self.lists[-1][1] = number + step
+        return f"{number}. " if ordered else "- "
+
     def _inner(self) -> None:
         self.outer.append(self.lines)
         self.lines = Lines()
@@ -389,24 +420,29 @@ class Renderer:
             self.hidden -= 1
 
     def _close_visible(self, name: str) -> None:
-        if name == "li":
-            lines = self._leave()
-            mark = "- "
-            if self.lists:
-                ordered, number, step = self.lists[-1]
-                mark = f"{number}. " if ordered else mark
-                self.lists[-1][1] = number + step
-            pad = " " * len(mark)
-            self.lines.block([(pad if i else mark) + x if x else x for i, x in enumerate(lines)])
-        elif name in ("dd", "blockquote"):
-            lines = self._leave()
-            self.lines.block(["    " + x if x else x for x in lines])
-            self.lines.ask_gap(1 if name == "blockquote" else 0)
+        if name in ("li", "dd", "blockquote"):
+            marks = self.flat.pop()
+            if marks is not None:
+                self.lines.end_line()
+                del self.lines.marks[marks:]  # an item without text has no mark
+            elif name == "li":
+                mark, lines = self._item_mark(), self._leave()
+                pad = " " * len(mark)
+                self.lines.block([(pad if i else mark) + x if x else x for i, x in enumerate(lines)])
+            else:
+                lines = self._leave()
+                self.lines.block(["    " + x if x else x for x in lines])
+            if name != "li":
+                self.lines.ask_gap(1 if name == "blockquote" else 0)
+        elif name in ("td", "th") and self.tables and not self.tables[-1]:
+            pass
         elif name in ("td", "th") and self.tables and self.cells:
             self.tables[-1].cell(self._leave(), *self.cells.pop())
         elif name == "table" and self.tables:
-            self.outer.pop()
-            self.lines.block(self.tables.pop().lines())
+            table = self.tables.pop()
+            if table:
+                self.outer.pop()
+                self.lines.block(table.lines())
             self.lines.ask_gap(1)
         elif name in LISTS:
             if self.lists:

@@ -177,6 +177,28 @@ def test_deep_and_wide_pages_stay_linear():
     assert html_text.render("<a " + "x='" * 10_000) == ""
 
 
+@pytest.mark.parametrize("shell", ["<font>", "<div>", "<span><b>", "<ul><li>", "<blockquote>", "<table><tr><td>", "<dl><dd>"])
+def test_rules_hold_at_any_depth(shell):
+    page = "x<script>var a = 1;</script><style>b {}</style><p hidden>c</p><i style='display:none'>d</i><video>e</video>one<br>two<div>three</div>"
+    page += "<ol start=4><li>four<li></li><li>five<ul><li><li>deep</ul></ol><table><tr><td>p<td>q<tr><td>r</table><pre>s\n t</pre></i>end"
+    for n in (600, 3000):
+        lines = [x.strip() for x in html_text.render(shell * n + page).split("\n")]
+        assert lines[0].lstrip("- ") == "xone"
+        lines = [x for x in lines[1:] if x]
+        assert lines == ["two", "three", "4. four", "6. five", "- deep", "p  q", "r", "s", "t", "end"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    start = time.process_time()
+    page = "<p><td>" + "<b>" * 30_000 + "<div>x</b>" * 30_000
+    assert html_text.render(page).count("x") == 30_000
+    assert html_text.render("<ul><li>a" * 20_000).count("a") == 20_000
+    assert html_text.render("<table><tr><td>a<td>b" * 5_000).count("b") == 5_000
+    assert time.process_time() - start < 60
+
+
 def test_language_scorer_backs_off():
     import numpy as np
 
