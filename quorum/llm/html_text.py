@@ -9,6 +9,8 @@ margins are, lists with marks and indents, table cells in aligned columns.
 * null and empty pages give an empty text. A page cut off in the middle is rendered as far as
   it goes. Repeated rows are rendered one by one; extra columns stay, and ``text`` replaces a
   column of that name. An empty table gives an empty result.
+* labels of drawings (SVG) and formulas (MathML) are text; titles, descriptions, definitions and
+  annotations in them are not, and what a drawing repeats by reference is not repeated.
 * nesting is followed at any depth. Items, quotes and cells within MAX_DEPTH others keep their
   marks and line breaks but are indented and aligned no further: deep items on lines of their
   own, the cells of a row behind each other. Cells wider than MAX_ALIGN characters are written whole but push no others to the right, so the
@@ -35,7 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes title textarea noscript template".split())
 HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
 HIDDEN = frozenset(
-    "head script style template noscript title iframe noembed noframes datalist object video audio canvas svg math".split()
+    "head script style template noscript title iframe noembed noframes datalist object video audio canvas".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dt dd li fieldset figcaption figure footer form "
@@ -47,7 +49,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol menu dir".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
 #: Elements that end tags and implied ends don't reach across.
-BARRIER = frozenset("table td th caption html object template".split())
+BARRIER = frozenset("table td th caption html object template foreignobject desc annotation-xml".split())
+#: Drawings and formulas: their children without a place of their own on the page, and those
+#: that hold HTML.
+FOREIGN = ("svg", "math")
+UNSEEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask marker pattern".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: HTML elements that end a drawing or formula they stand in.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 TABLE_TAGS = frozenset("table caption colgroup tbody thead tfoot tr td th".split())
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -57,7 +72,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([
 STYLE = re.compile(r"(?:^|;)\s*(display|visibility|white-space)\s*:\s*([a-z-]+)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 #: Attributes that matter here; other tags skip parsing theirs.
-TELLING = re.compile(r"hidden|style|open|start|value|span|reversed", re.I)
+TELLING = re.compile(r"hidden|style|open|start|value|span|reversed|display|visibility", re.I)
 
 
 class TreeBuilder:
@@ -93,6 +108,26 @@ class TreeBuilder:
             self.pop()
         return True
 
+    def foreign(self) -> str:
+        """The drawing or formula that a tag would be part of, or nothing."""
+        if not any(map(self.at.get, FOREIGN)):
+            return ""
+        at, name = max((self.innermost((n,)), n) for n in FOREIGN)
+        return name if at >= 0 and at > self.innermost(HOLDS_HTML) else ""
+
+    def start_foreign(self, name: str, attributes: dict, around: str, ended: bool) -> None:
+        style = ";".join(f"{k}:{attributes[k]}" for k in ("display", "visibility") if k in attributes)
+        if around == "svg" and style:
+            attributes = attributes | {"style": f"{style};{attributes.get('style', '')}"}
+        if name in UNSEEN[around]:
+            attributes = attributes | {"hidden": ""}
+        label = around == "svg" and name == "text"
+        if label:
+            self.out.label()
+        self.push(name, attributes)
+        if ended:
+            self.pop()
+
     def start(self, name: str, attributes: dict) -> None:
         if name in ("html", "body"):
             if name == "body":
@@ -151,6 +186,11 @@ class TreeBuilder:
             elif sign in "!?/":
                 if lt > at:
                     self.text(html.unescape(page[at:lt]))
+                if page.startswith("<![CDATA[", lt) and self.foreign():
+                    end = page.find("]]>", lt)
+                    self.text(page[lt + 9 : end if end >= 0 else size])
+                    at = size if end < 0 else end + 3
+                    continue
                 mark = "-->" if page.startswith("<!--", lt) else ">"
                 # "<!-->" and "<!--->" are whole comments.
                 end = page.find(mark, lt + 2)
@@ -176,7 +216,17 @@ class TreeBuilder:
             if inner and TELLING.search(inner):
                 for key, *values in ATTRIBUTE.findall(inner):
                     attributes.setdefault(key.lower(), html.unescape("".join(values)))
-            self.start(name, attributes)
+            around = self.foreign()
+            while around and name in BREAKS_OUT:
+                self.pop_to((around,), ())
+                around = self.foreign()
+            if around:
+                ended = inner.endswith("/")
+                self.start_foreign(name, attributes, around, ended)
+                if ended or name not in ("script", "style", "title"):
+                    continue
+            else:
+                self.start(name, attributes)
             if name in RAW:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 stop = close.start() if close else size
@@ -389,6 +439,11 @@ class Renderer:
             self.cells.append((_number(attributes.get("colspan"), 1), _number(attributes.get("rowspan"), 1)))
             self._inner()
 
+    def label(self) -> None:
+        """Labels of a drawing stand apart from what is before them."""
+        if not self.hidden:
+            self.lines.space = True
+
     def _indent(self) -> None:
         deep = len(self.outer) >= MAX_DEPTH
         self.flat.append(len(self.lines.marks) if deep else None)

@@ -188,6 +188,25 @@ def test_rules_hold_at_any_depth(shell):
         assert lines == ["two", "three", "4. four", "6. five", "- deep", "p  q", "r", "s", "t", "end"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><mtext> if </mtext></math>b", "a x=2 if b"),
+        ("<math><semantics><mi>x</mi><annotation encoding=tex>\\x</annotation></semantics></math>y", "xy"),
+        ("<svg><title>t</title><desc>d</desc><text>one</text><text>two</text></svg> c", "one two c"),
+        ("<svg><defs/><path d='M0'/><style/><title/><text x=1>one</text></svg>c", "onec"),
+        ("<svg><defs><text>no</text></defs><metadata>m</metadata><g display=none><text>no</text></g></svg>c", "c"),
+        ("<svg><text visibility='hidden'>no</text><text><![CDATA[a > b]]></text><style>s {}</style></svg>", "a > b"),
+        ("<svg><foreignObject><div>in</div><p>it</foreignObject><text>l</text></svg>", "in\n\nit\n\nl"),
+        ("<svg><defs><p>out", "out"),
+        ("<p>a <svg><desc><div>no</div></desc></svg>b", "a b"),
+        ("<desc>plain</desc><metadata>too</metadata>", "plaintoo"),
+    ],
+)
+def test_labels_and_formulas_are_text(page, text):
+    assert html_text.render(page) == text
+
+
 def test_deep_pages_take_linear_time():
     import time
 
