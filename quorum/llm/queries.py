@@ -5,12 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quorum.llm import bpe, chat, decontaminate, exact, html_text, idfiles, language, near, pii, quality
+from quorum.llm import (
+    bpe,
+    chat,
+    collocations,
+    decontaminate,
+    exact,
+    html_text,
+    idfiles,
+    language,
+    near,
+    periodic,
+    pii,
+    quality,
+    sharding,
+)
 from quorum.llm.common import doc_bucket, shared_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 QUALITY_THRESHOLD = 0.3
+SHARDS = 16
 
 
 def held_out(parts: int, part: int):
@@ -123,6 +138,47 @@ def op10_chat_format(spark, sf_dir):
     )
 
 
+def op11_periodic_runs(spark, sf_dir):
+    """The contract repeats the end of one text in ten, by the id's crc32, before the search."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", hashed.alias("h"))
+    docs = docs.withColumn("n", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_count(text, '[^\x20\x09-\x0D]+')")))
+    docs = docs.withColumn("a", F.expr("if(n > 0, (h div 10) % n, null)"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
+    found = periodic.runs(docs.select("doc_id", "text", "a", "p"), tail=("a", "p"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.col1")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("(-1000 * best.col1) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_rendezvous_shards(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.md5(F.concat(sharding.key_text(F.col("doc_id")), F.lit("|"), text)).alias("digest"),
+        sharding.shard_of(F.col("doc_id"), [1] * SHARDS).alias("shard"),
+        sharding.shard_of(F.col("doc_id"), [1] * (SHARDS + 1)).alias("grown_shard"),
+    )
+    rows = sharding.slots(docs, "digest", SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
@@ -134,6 +190,9 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_rendezvous_shards": op12_rendezvous_shards,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
@@ -182,4 +241,47 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, t.s AS text_sha256
         FROM t JOIN g USING (s)
     """,
+    "op12_rendezvous_shards": r"""
+        WITH crc_table AS (SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+                      lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+        b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+        c AS (SELECT doc_id, k, len(bytes) + 1 AS size, md5(k || '|' || text) AS digest,
+                     xor(list_reduce(list_concat([4294967295], bytes),
+                                     lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+              FROM b, crc_table),
+        s AS (SELECT *, list_transform(range(17), lambda i: substring(md5(k || '|' || i::VARCHAR), 1, 13)) AS draws FROM c),
+        r AS (SELECT *, list_position(draws[1:16], list_max(draws[1:16])) - 1 AS shard,
+                     list_position(draws, list_max(draws)) - 1 AS grown FROM s)
+        SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+               row_number() OVER (PARTITION BY shard ORDER BY digest) - 1 AS slot, grown::INTEGER AS grown_shard
+        FROM r
+    """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        g AS (SELECT lang, m, unnest(list_transform(range(1, greatest(len(w) - m + 2, 1)),
+                     lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+              FROM w, (VALUES (1), (2), (3), (4)) AS sizes(m)),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE m >= 2 AND f >= 30),
+        inner_ AS (SELECT lang, f, unnest(list_transform(range(1, greatest(m - k + 2, 1)),
+                          lambda i: array_to_string(string_split(phrase, ' ')[i : i + k - 1], ' '))) AS phrase
+                   FROM c, (VALUES (2), (3)) AS sizes(k) WHERE k < m),
+        longer AS (SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY ALL),
+        kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * most < 80 * f, true)),
+        cuts AS (SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS p1,
+                        array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS p2
+                 FROM kept, (VALUES (1), (2), (3)) AS s(k) WHERE k < m),
+        scored AS (SELECT cuts.*, l.f AS l, r.f AS r, ((2000000 * a::HUGEINT) // (l.f + r.f))::BIGINT AS score
+                   FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.phrase = p1
+                   JOIN f AS r ON r.lang = cuts.lang AND r.phrase = p2),
+        weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
