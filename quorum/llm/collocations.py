@@ -4,9 +4,10 @@ Nodes are stretches of LONGEST - 1 words, edges the stretches of LONGEST words t
 overlapping nodes; the weight of an edge is how often it occurs. Only edges are counted from
 the texts, and for every piece of text the shorter stretches at its end, which no edge starts.
 A shorter stretch occurs as often as the stretches one word longer that start with it, plus its
-own occurrences at the ends of pieces. So four rounds of sums, one per length, give all counts.
-Every round is keyed by the whole stretch, of which a task sends one count, so that neither a
-frequent word nor a frequent passage meets in one task.
+own occurrences at the ends of pieces: a node as often as its edges out and its ends, and so on
+down to single words. Tasks add up what they read before anything is shuffled. Edges are dealt
+by the node they start from, which gives the nodes' counts in the same task; pairs of words and
+single words are dealt by themselves, so that a frequent word does not gather all its pairs.
 
 Of the stretches frequent enough, edges joined by a node that has one edge in and one out are
 compacted into paths, by pointer jumping. Phrases and the longer phrases around them are read
@@ -24,17 +25,20 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import ASCII_UPPER, map_batches, skew_join, stored
+from quorum.llm.common import ASCII_UPPER, map_batches, mix, skew_join, stored
 
 LONGEST = 4
 UNKNOWN = "und"
+#: Rounds: words of a stretch, by how many of them it is dealt, words of what it passes on to.
+ROUNDS = ((LONGEST, LONGEST - 1, 2), (2, 2, 1), (1, 1, 0))
 #: Bytes of text per partition of a round; the number of partitions follows the input.
-PARTITION_BYTES = 1 << 24
+PARTITION_BYTES = 1 << 25
 #: A partition's stretches are added up a bucket at a time.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 MAX_PARTITIONS = 20_000
 #: Words counted together before their counts leave the task.
 GROUP_WORDS = 1 << 20
@@ -42,79 +46,133 @@ GROUP_WORDS = 1 << 20
 HELD_ROWS = 1 << 20
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-#: Marks the end of a piece. No UTF-8 text holds this byte.
-END = b"\xff"
+#: Marks the end of a piece while a text is split. No UTF-8 text holds this byte.
+MARK = b"\xff"
+#: What fills a stretch beyond the end of its piece.
+END = b""
 _TABLE = bytes.maketrans(
-    ASCII_UPPER.encode() + SEPARATORS + b"\t", ASCII_UPPER.lower().encode() + END * len(SEPARATORS) + b" "
+    ASCII_UPPER.encode() + SEPARATORS + b"\t", ASCII_UPPER.lower().encode() + MARK * len(SEPARATORS) + b" "
+)
+#: Either a packed part of a bucket (words, stretches) or a frequent phrase with its count.
+ROW = "bucket int, lang string, words binary, stretches binary, phrase string, n long"
+_SCHEMA = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("lang", pa.string()),
+        ("words", pa.binary()),
+        ("stretches", pa.binary()),
+        ("phrase", pa.string()),
+        ("n", pa.int64()),
+    ]
 )
-#: Between a stretch and the hex digits of its language. No word holds it.
-TAB = b"\t"
-ROUND = "bucket int, data binary, key binary, n long"
-_TYPES = [("bucket", pa.int32()), ("data", pa.binary()), ("key", pa.binary()), ("n", pa.int64())]
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case with END after every piece."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(END, b" " + END + b" ")
-    words = [w for w in data.split(b" ") if w]
+    """Words in lower case, with END after every piece."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(MARK, b" " + MARK + b" ")
+    words = [w if w != MARK else END for w in data.split(b" ") if w]
     words.append(END)
     return words
 
 
-def _packed(keys: list[bytes] | pa.Array, counts) -> bytes:
-    """Keys and counts as one compressed Arrow message."""
-    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["key", "n"])
+class Stretches:
+    """Counted stretches of equally many words: numbers into a list of words whose first is END."""
+
+    def __init__(self, words: list[bytes], numbers: np.ndarray, counts: np.ndarray):
+        self.words, self.numbers, self.counts = words, numbers, counts
+
+    def levels(self) -> list[np.ndarray]:
+        """For every length, which rows begin alike: a number of the beginning per row."""
+        name = self.numbers[:, 0].astype(np.int64)
+        out = [name]
+        for k in range(1, self.numbers.shape[1]):
+            name = np.unique(name * len(self.words) + self.numbers[:, k], return_inverse=True)[1]
+            out.append(name)
+        return out
+
+    def beginnings(self, length: int, names: np.ndarray) -> Stretches:
+        """The distinct beginnings of ``length`` words with their sums."""
+        n = int(names.max()) + 1 if len(names) else 0
+        sums, row = np.zeros(n, np.int64), np.full(n, -1)
+        np.add.at(sums, names, self.counts)
+        row[names] = np.arange(len(names))
+        there = row >= 0
+        return Stretches(self.words, self.numbers[row[there], :length], sums[there])
+
+    def merged(self) -> Stretches:
+        return self.beginnings(self.numbers.shape[1], self.levels()[-1])
+
+    def frequent(self, least: int) -> tuple[list[str], list[int]]:
+        """Those that end in a word and occur often enough, spelled out."""
+        rows = np.flatnonzero((self.counts >= least) & (self.numbers[:, -1] != 0))
+        spelled = [b" ".join([self.words[i] for i in r]).decode("utf-8", "surrogatepass") for r in self.numbers[rows].tolist()]
+        return spelled, self.counts[rows].tolist()
+
+    def dealt(self, lang: str, by: int, buckets: int):
+        """Batches of packed rows, one per bucket of the first ``by`` words."""
+        hashes = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        h = np.zeros(len(self.counts), np.uint64)
+        for k in range(by):
+            h = mix(h + hashes[self.numbers[:, k]])
+        bucket = (h % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1))
+        rows: list[list] = [[], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = order[a:b]
+            packed = _pack(self.words, self.numbers[at], self.counts[at])
+            for column, value in zip(rows, (int(bucket[at[0]]), *packed)):
+                column.append(value)
+            # Small batches, so that Spark never holds many packed rows at once.
+            if len(rows[0]) == 64:
+                yield _batch(rows[0], [lang] * 64, *rows[1:])
+                rows = [[], [], []]
+        if rows[0]:
+            yield _batch(rows[0], [lang] * len(rows[0]), *rows[1:])
+
+
+def _batch(bucket, lang, words, stretches, phrase=None, n=None) -> pa.RecordBatch:
+    none = [None] * len(bucket)
+    columns = [bucket, lang, words or none, stretches or none, phrase or none, n or none]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+
+
+def _small(values: np.ndarray) -> np.ndarray:
+    """The values in the smallest unsigned type that holds them."""
+    top = int(values.max()) if values.size else 0
+    return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
+def _pack(words: list[bytes], numbers: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    used, at = np.unique(np.append(numbers.ravel(), 0), return_inverse=True)
+    at = _small(at[:-1].reshape(numbers.shape))
+    columns = [pa.array(np.ascontiguousarray(at[:, k])) for k in range(at.shape[1])] + [pa.array(_small(counts))]
+    batch = pa.RecordBatch.from_arrays(columns, [str(k) for k in range(len(columns))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _dealt(keys: list[bytes], counts: np.ndarray, buckets: int):
-    """One row per bucket of the keys, in a batch."""
-    bucket = np.fromiter(map(zlib.crc32, keys), np.int64, len(keys)) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-    array, n = pa.array(keys, pa.binary()).take(pa.array(order)), np.asarray(counts)[order]
-    rows = [(int(bucket[order[a]]), _packed(array[a:b], n[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-    # Small batches, so that Spark never holds many packed rows at once.
-    for i in range(0, len(rows), 64):
-        some = rows[i : i + 64]
-        none = [None] * len(some)
-        columns = [[r[0] for r in some], [r[1] for r in some], none, none]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _TYPES)], [c for c, _ in _TYPES])
-
-
-def _windows(words: list[bytes], lang: bytes) -> tuple[list[bytes], np.ndarray]:
-    """What starts at every word, LONGEST words or up to the end of the piece, and how often."""
-    distinct = sorted(set(words))
+    # No word holds a line end.
+    return zstandard.compress(b"\n".join([words[i] for i in used.tolist()]), 1), sink.getvalue().to_pybytes()
+
+
+def _unpack(words: bytes, stretches: bytes) -> Stretches:
+    table = pa.ipc.open_stream(stretches).read_all()
+    columns = [c.to_numpy().astype(np.int64) for c in table.columns]
+    return Stretches(zstandard.decompress(words).split(b"\n"), np.stack(columns[:-1], axis=1), columns[-1])
+
+
+def _windows(words: list[bytes]) -> Stretches:
+    """What starts at every word: LONGEST words, or as many as its piece has left."""
+    distinct = sorted({*words, END})
     number = {w: i for i, w in enumerate(distinct)}
-    # The numbers follow the order of the words, so that equal beginnings come together.
     at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    end, size = number[END], len(distinct)
-    # Beyond its piece a window is filled with END.
-    window = np.full((LONGEST, len(at)), end, np.int64)
-    window[0] = at
-    for k in range(1, LONGEST):
-        inside = window[k - 1, : len(at) - k] != end
-        window[k, : len(at) - k][inside] = at[k:][inside]
-    window = window[:, at != end]
-    name, names = window[0], []
+    window = np.zeros((len(at), LONGEST), np.int32)
+    window[:, 0] = at
     for k in range(1, LONGEST):
-        values, name = np.unique(name * size + window[k], return_inverse=True)
-        names.append(values)
-    counts = np.bincount(name, minlength=len(names[-1]) if names else 0)
-    # Back from the last names to the words of the distinct windows.
-    columns, left = [], names[-1]
-    for values in reversed(names[:-1]):
-        columns.append(left % size)
-        left = values[left // size]
-    columns += [left % size, left // size]
-    tail = TAB + lang
-    spelled = [distinct[i] for i in range(size)]
-    spelled[end] = b""
-    grams = zip(*([spelled[i] for i in c.tolist()] for c in reversed(columns)))
-    return [b" ".join(g).rstrip(b" ") + tail for g in grams], counts
+        more = window[: max(len(at) - k, 0)]
+        more[:, k] = np.where(more[:, k - 1] != 0, at[k:], 0)
+    window = window[at != 0]
+    return Stretches(distinct, window, np.ones(len(window), np.int64)).merged()
 
 
 def _first_round(buckets: int):
@@ -126,100 +184,95 @@ def _first_round(buckets: int):
                 words = tokens(text.as_py())
                 waiting[lang.as_py()] += words
                 n_waiting += len(words)
-                if n_waiting >= GROUP_WORDS:
-                    yield from counted(waiting)
-                    n_waiting = 0
-        yield from counted(waiting)
-
-    def counted(waiting):
-        while waiting:
-            lang, words = waiting.popitem()
-            yield from _dealt(*_windows(words, lang.encode("utf-8", "surrogatepass").hex().encode()), buckets)
+                while n_waiting >= GROUP_WORDS:
+                    most = max(waiting, key=lambda x: len(waiting[x]))
+                    n_waiting -= len(waiting[most])
+                    yield from _windows(waiting.pop(most)).dealt(most, ROUNDS[0][1], buckets)
+        for lang, words in waiting.items():
+            yield from _windows(words).dealt(lang, ROUNDS[0][1], buckets)
 
     return run
 
 
-def _summed(tables: list[pa.Table]) -> pa.Table:
-    sums = pa.concat_tables(tables).group_by("key").aggregate([("n", "sum")])
-    return sums.select(["key", "n_sum"]).rename_columns(["key", "n"])
-
-
-def _whole(keys: pa.Array, counts: pa.Array, buckets: int) -> pa.RecordBatch:
-    """Rows that further rounds let pass."""
-    where = np.fromiter((zlib.crc32(k) % buckets for k in keys.to_pylist()), np.int32, len(keys))
-    columns = [pa.array(where), pa.nulls(len(keys), pa.binary()), keys, counts]
-    return pa.RecordBatch.from_arrays(columns, [c for c, _ in _TYPES])
-
-
-def _round(size: int, least: int, buckets: int):
-    """Sums of the stretches of ``size`` words; frequent ones become rows of their own, and all
-    pass their count on to the stretch without their last word. Shorter stretches wait. The
-    last round leaves the number of words of each language."""
-
-    def finished(held, totals):
-        table = _summed(held)
-        keys, n = table["key"].combine_chunks(), table["n"].combine_chunks()
-        full = pc.count_substring(keys, " ").to_numpy() == size - 1
-        frequent = pa.array(full & (n.to_numpy() >= least))
-        if frequent.true_count:
-            yield _whole(keys.filter(frequent), n.filter(frequent), buckets)
-        plain = keys.to_pylist()
-        if size == 1:
-            for key, count in zip(plain, n.to_pylist()):
-                totals[key[key.index(TAB) :]] += count
-            return
-        for i in np.flatnonzero(full).tolist():
-            words, lang = plain[i].split(TAB)
-            plain[i] = words[: words.rindex(b" ")] + TAB + lang
-        shorter = _summed([pa.table([pa.array(plain, pa.binary()), n], ["key", "n"])])
-        yield from _dealt(shorter["key"].to_pylist(), shorter["n"].to_numpy(), buckets)
+class _Bucket:
+    """Stretches of one bucket and language as they come in."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        assert self.number[END] == 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows, self.limit = 0, HELD_ROWS
+
+    def add(self, part: Stretches) -> None:
+        numbers = np.fromiter(map(self.number.__getitem__, part.words), np.int64, len(part.words))
+        self.parts.append((numbers[part.numbers].astype(np.int32), part.counts))
+        self.rows += len(part.counts)
+        if self.rows > self.limit:
+            whole = self.whole().merged()
+            self.parts, self.rows = [(whole.numbers, whole.counts)], len(whole.counts)
+            self.limit = max(HELD_ROWS, 2 * self.rows)
+
+    def whole(self) -> Stretches:
+        return Stretches(list(self.number), *(np.concatenate(c) for c in zip(*self.parts)))
+
+
+def _round(length: int, then: int, by: int, least: int, buckets: int):
+    """Sums of the stretches of ``length`` words and their beginnings down to ``then + 1``
+    words; frequent ones become rows of their own. The sums of ``then`` words are dealt again,
+    or, after the last round, the number of all words of a language is left as an empty phrase."""
+
+    def finished(bucket: int, lang: str, held: _Bucket):
+        whole = held.whole()
+        levels = whole.levels()
+        for k in range(length, then, -1):
+            sums = whole.beginnings(k, levels[k - 1])
+            phrases, counts = sums.frequent(least)
+            if phrases:
+                yield _batch([bucket] * len(phrases), [lang] * len(phrases), None, None, phrases, counts)
+        if then:
+            yield from whole.beginnings(then, levels[then - 1]).dealt(lang, by, buckets)
+        else:
+            yield _batch([bucket], [lang], None, None, [""], [int(whole.counts.sum())])
 
     def run(batches):
-        held: list[pa.Table] = []
-        n_held, limit, current = 0, HELD_ROWS, None
-        totals: defaultdict[bytes, int] = defaultdict(int)
+        held, current = None, None
         for batch in batches:
-            packed = batch.column(1).is_valid()
+            packed = batch.column(2).is_valid()
             if packed.false_count:
                 yield batch.filter(pc.invert(packed))
                 batch = batch.filter(packed)
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if held and bucket != current:
-                    yield from finished(held, totals)
-                    held, n_held, limit = [], 0, HELD_ROWS
-                current = bucket
-                held.append(pa.ipc.open_stream(data.as_buffer()).read_all())
-                n_held += held[-1].num_rows
-                if n_held > limit:
-                    held = [_summed(held)]
-                    n_held = held[0].num_rows
-                    limit = max(HELD_ROWS, 2 * n_held)
+            for key, words, stretches in zip(
+                zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2), batch.column(3)
+            ):
+                if key != current:
+                    if held:
+                        yield from finished(*current, held)
+                    held, current = _Bucket(), key
+                held.add(_unpack(words.as_py(), stretches.as_py()))
         if held:
-            yield from finished(held, totals)
-        if totals:
-            yield _whole(pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.int64()), buckets)
+            yield from finished(*current, held)
 
     return run
 
 
-def frequent_stretches(docs: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
-    """``lang``, ``phrase``, ``words``, ``n`` of the stretches of 1 to ``longest`` words of
+def frequent_stretches(docs: DataFrame, least: int) -> DataFrame:
+    """``lang``, ``phrase``, ``words``, ``n`` of the stretches of 1 to LONGEST words of
     ``docs(lang, text)`` that occur at least ``least`` times within pieces, and per language a
     row of 0 words with the number of all words."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = min(max(1, -(-size // PARTITION_BYTES)), MAX_PARTITIONS)
     buckets = partitions * BUCKETS_PER_PARTITION
-    rows = map_batches(texts, _first_round(buckets), ROUND)
-    for length in range(longest, 0, -1):
-        dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-        rows = map_batches(dealt, _round(length, least, buckets), ROUND)
-    key = F.col("key").cast("string")
-    lang = F.decode(F.unhex(F.substring_index(key, "\t", -1)), "UTF-8")
-    out = rows.select(lang.alias("lang"), F.substring_index(key, "\t", 1).alias("phrase"), "n")
+    rows = map_batches(texts, _first_round(buckets), ROW)
+    for i, (length, _, then) in enumerate(ROUNDS):
+        by = ROUNDS[i + 1][1] if then else 0
+        dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "lang")
+        rows = map_batches(dealt, _round(length, then, by, least, buckets), ROW)
+    # The rows of no words are parts of a language's total; the others are whole.
+    sums = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    # The rows of 0 words are parts of a language's total; the others are whole.
-    return out.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", words.alias("words"), "n")
+    return sums.select("lang", "phrase", words.alias("words"), "n")
 
 
 def _spell(words: Column, start, length) -> Column:

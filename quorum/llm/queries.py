@@ -142,7 +142,7 @@ def op11_periodic_runs(spark, sf_dir):
     """The contract repeats the end of one text in ten, by the id's crc32, before the search."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", hashed.alias("h"))
-    docs = docs.withColumn("n", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_count(text, '[^\x20\x09-\x0D]+')")))
+    docs = docs.withColumn("n", F.when(F.col("h") % 10 == 0, F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))))
     docs = docs.withColumn("a", F.expr("if(n > 0, (h div 10) % n, null)"))
     docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + (h div 10) % 8)"))
     found = periodic.runs(docs.select("doc_id", "text", "a", "p"), tail=("a", "p"))
