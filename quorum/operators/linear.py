@@ -11,7 +11,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +75,7 @@ def _unrolled(intercepts: np.ndarray, weights: np.ndarray, offset: str) -> str:
             score += f" + {at(n_classes + c * d + j, weights[0, c, j])} * features[{j}]"
         # The first of the best: a higher score wins, then the lower class.
         ranked.append(f"struct({score} AS score, {-c} AS rank)")
-    best = f"-array_max(array({', '.join(ranked)})).rank"
-    return f"if(size(features) = {d}, {best}, raise_error('a row must hold {d} features'))"
+    return f"-array_max(array({', '.join(ranked)})).rank"
 
 
 def _batched(intercepts: np.ndarray, weights: np.ndarray):
@@ -93,8 +91,6 @@ def _batched(intercepts: np.ndarray, weights: np.ndarray):
 
     @F.arrow_udf("int")
     def best(features: pa.Array, model: pa.Array) -> pa.Array:
-        if not pc.all(pc.equal(pc.list_value_length(features), d)).as_py():
-            raise ValueError(f"a row must hold {d} features")
         x = features.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         chosen = model.to_numpy(zero_copy_only=False)
         out = np.zeros(len(x), dtype=np.int32)
@@ -120,6 +116,10 @@ def predict_many(
     choice has no model gets NULL.
     """
     aligned = [_align(models) for models in model_sets]
+    for d in {weights.shape[2] for _, _, weights in aligned}:
+        # Once per row and beside the scores: inside of each it made the generated method too
+        # large for the JVM to compile.
+        df = df.filter(f"if(size(features) <=> {d}, true, raise_error('a row must hold {d} features'))")
     terms = sum(w.shape[1] * w.shape[2] for _, _, w in aligned)
     compiled = terms <= (UNROLL_TERMS if chooser is None else UNROLL_TERMS_CHOSEN)
     pick = F.lit(0) if chooser is None else F.col(chooser)
