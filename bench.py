@@ -28,6 +28,7 @@ RUNS = {
     "bagging_nb": lambda ds: bagging(ds, [NB] * BAGS),
     "bagging_nb_xxhash64": lambda ds: bagging(ds, [NB] * BAGS, method="xxhash64"),
     "stacking_nb": lambda ds: stacking(ds, [NB] * 2, NB),
+    "single_lr": lambda ds: single_model(ds, LR),
     "bagging_mixed": lambda ds: bagging(ds, [NB, LR, DT], parallelism=FIT_PARALLELISM),
     "stacking_mixed": lambda ds: stacking(ds, [NB, LR, DT], LR, parallelism=FIT_PARALLELISM),
 }
@@ -83,7 +84,7 @@ def main() -> None:
     details: dict[str, dict] = {}
 
     runs = {name: (lambda s, d, run=run: run(sets.lineitem_dominant(s, d))) for name, run in RUNS.items()}
-    runs |= {"single_lr": overlapping, "bagging_nb_x4": four_copies}
+    runs |= {"single_lr_orders": overlapping, "bagging_nb_x4": four_copies}
     # Compile every shape and start the Python workers outside the timings.
     small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(small):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions.encode import rescale
+from quorum.operators.durable import shared_folder
 from quorum.schema import Dataset, nominal, real
 from quorum.sources.tables import from_array_table, from_table
 
@@ -25,6 +26,7 @@ LANGS = ("de", "en", "es", "fr")
 LETTERS = "aeinorstuhldcmk"
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 EMBEDDING_SIZE = 64
+ORDERS_FILES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,18 @@ def lineitem_discrete(spark, sf_dir) -> Dataset:
     return from_table(df, LINEITEM_DISCRETE, label, (0, 1, 2), LINEITEM_KEY, name="lineitem_discrete")
 
 
+def lineitem_overlap(spark, sf_dir) -> Dataset:
+    """Quantity and discount, both of few values; the class is whether the rescaled price is
+    at least the discount. The price hangs on the quantity but not on it alone, so that no
+    linear score separates the classes and a logistic regression has an optimum."""
+    df = table(spark, sf_dir, "lineitem")
+    _, price, discount, _ = LINEITEM_REALS
+    p, d = [rescale(F.col(a.name), a.range_min, a.range_max) for a in (price, discount)]
+    label = F.when(p >= d, 1).otherwise(0)
+    inputs = (LINEITEM_REALS[0], discount)
+    return from_table(df, inputs, label, (0, 1), LINEITEM_KEY, name="lineitem_overlap")
+
+
 def orders(spark, sf_dir) -> Dataset:
     """A real and a nominal input; the class is the order status."""
     df = table(spark, sf_dir, "orders")
@@ -151,3 +165,16 @@ def orders_lines(spark, sf_dir) -> DataFrame:
         F.concat_ws(", ", "o_totalprice", "priority", "o_orderstatus").alias("value"),
     )
     return header.unionByName(rows)
+
+
+def orders_files(spark, sf_dir) -> str:
+    """``orders_lines`` written as ORDERS_FILES text files, each under the same header; their folder."""
+    lines = orders_lines(spark, sf_dir)
+    every = F.explode(F.array(*[F.lit(i) for i in range(ORDERS_FILES)]))
+    header = lines.filter(F.col("position").isNotNull()).withColumn("part", every)
+    rows = lines.filter(F.col("position").isNull()).withColumn("part", (F.col("row_id") % ORDERS_FILES).cast("int"))
+    path = shared_folder(spark, "orders")
+    dealt = header.unionByName(rows).repartition(ORDERS_FILES, "part")
+    in_order = dealt.sortWithinPartitions("part", F.asc_nulls_last("position"), "row_id")
+    in_order.select("value", "part").write.partitionBy("part").text(path)
+    return path

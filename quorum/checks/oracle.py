@@ -217,6 +217,120 @@ copies AS (SELECT {names('f', self.d)}, prediction AS label FROM by_bayes
             + self.guess("scored", "test", "model")
         )
 
+    def logit(self, out: str, rows: str, weight: str = "1", keep=None, steps: int = 12) -> str:
+        """Two classes, two inputs, no intercept: the weights ``w0``, ``w1`` of class 1 for every
+        ``g`` of ``rows``, by Newton steps over whole sums. ``keep[g]`` says which inputs count."""
+        seen = "true" if keep is None else None
+        parts = [f"""
+{out}_rows AS (SELECT g, label, ({weight})::double AS w, """]
+        for j in range(2):
+            if seen:
+                parts.append(f"f{j} AS x{j}" + (", " if j == 0 else ""))
+            else:
+                cases = " ".join(f"WHEN {g} THEN CASE WHEN {k[j]} THEN f{j} ELSE 0.0 END" for g, k in keep.items())
+                parts.append(f"CASE g {cases} END AS x{j}" + (", " if j == 0 else ""))
+        parts.append(f""" FROM {rows} WHERE ({weight}) > 0),
+{out}_0 AS (SELECT DISTINCT g, 0.0::double AS w0, 0.0::double AS w1 FROM {out}_rows)""")
+        for t in range(steps):
+            parts.append(f""",
+{out}_s{t} AS (SELECT g, w0, w1, sum(w * (p - label) * x0) AS a, sum(w * (p - label) * x1) AS b,
+    sum(w * p * (1 - p) * x0 * x0) AS h00, sum(w * p * (1 - p) * x0 * x1) AS h01, sum(w * p * (1 - p) * x1 * x1) AS h11
+    FROM (SELECT r.*, w0, w1, 1 / (1 + exp(-(w0 * x0 + w1 * x1))) AS p FROM {out}_rows r JOIN {out}_{t} m USING (g))
+    GROUP BY g, w0, w1),
+{out}_{t + 1} AS (SELECT g,
+    CASE WHEN h00 = 0 THEN 0.0 WHEN h11 = 0 THEN w0 - a / h00 ELSE w0 - (h11 * a - h01 * b) / (h00 * h11 - h01 * h01) END AS w0,
+    CASE WHEN h11 = 0 THEN 0.0 WHEN h00 = 0 THEN w1 - b / h11 ELSE w1 - (h00 * b - h01 * a) / (h00 * h11 - h01 * h01) END AS w1
+    FROM {out}_s{t})""")
+        parts.append(f""",
+{out} AS (SELECT * FROM {out}_{steps})""")
+        return "".join(parts)
+
+    def logit_guess(self, out: str, rows: str, model: str) -> str:
+        """Class 1 where its score is over 0, for every row of ``rows``, which name the model in ``g``."""
+        return f"""
+{out} AS (SELECT r.*, (w0 * f0 + w1 * f1 > 0)::int::double AS prediction FROM {rows} r JOIN {model} m USING (g))"""
+
+    def single_logit(self) -> str:
+        return (
+            self.base
+            + ","
+            + self.logit("lr", "(SELECT 0 AS g, * FROM train)")
+            + ","
+            + self.logit_guess("scored", "(SELECT 0 AS g, * FROM test)", "lr")
+        )
+
+    def bag_logits(self) -> str:
+        """A regression per bag."""
+        bags = " UNION ALL ".join(f"SELECT {b} AS g, {bag_weight(b, self.key)} AS bw, * FROM train" for b in range(BAGS))
+        keep = {b: [kept_input(b, j) for j in range(self.d)] for b in range(BAGS)}
+        return self.base + f",\nbags AS ({bags})," + self.logit("lr", "bags", "bw", keep)
+
+    def fold_logits(self) -> str:
+        """A regression for every fold left out."""
+        return self.base + "," + self.logit("lr", "(SELECT k.k AS g, t.* FROM train t JOIN range(0, 10) k(k) ON t.fold <> k.k)")
+
+    def bagging_trio(self) -> str:
+        """Bag 0 is Bayes, bag 1 a logistic regression, bag 2 a tree."""
+        masked = lambda b: ", ".join(
+            f"CASE WHEN {kept_input(b, j)} THEN f{j} ELSE 0.0 END AS f{j}" for j in range(self.d)
+        )
+        counts = ", ".join(
+            f"(p0 = {c})::int + (p1 = {c})::int + (p2 = {c})::int AS v{c}" for c in range(self.n_classes)
+        )
+        return (
+            self.base
+            + f""",
+drawn AS (SELECT {bag_weight(0, self.key)} AS w, * FROM train),
+bag1 AS (SELECT 1 AS g, rid, f0, f1, label, {bag_weight(1, self.key)} AS bw FROM train),
+bag2 AS (SELECT 0 AS g, rid, {masked(2)}, label, {bag_weight(2, self.key)} AS bw FROM train),"""
+            + self.fit("model", "(SELECT * FROM drawn WHERE w > 0)", "0", "w", {0: [kept_input(0, j) for j in range(self.d)]})
+            + ","
+            + self.guess("by_bayes", "test", "model")
+            + ","
+            + self.logit("lr", "bag1", "bw", {1: [kept_input(1, j) for j in range(self.d)]})
+            + ","
+            + self.logit_guess("by_logit", "(SELECT 1 AS g, * FROM test)", "lr")
+            + ","
+            + self.tree("tree", "bag2", weight="bw")
+            + ","
+            + self.tree_guess("by_tree", "(SELECT 0 AS g, * FROM test)", "tree")
+            + f""",
+both_ AS (SELECT b.rid, {', '.join('b.' + k for k in self.key)}, b.label, b.prediction AS p0, l.prediction AS p1,
+                 t.prediction AS p2
+          FROM by_bayes b JOIN by_logit l USING (rid) JOIN by_tree t USING (rid)),
+scored AS (SELECT *, {self.winner([f'v{c}' for c in range(self.n_classes)])} AS prediction
+           FROM (SELECT *, {counts} FROM both_))"""
+        )
+
+    def stacking_trio(self) -> str:
+        """Level 0: Bayes, a logistic regression and a tree, out of fold; level 1: a logistic
+        regression on the three copies."""
+        others = "(SELECT k.k AS g, t.* FROM train t JOIN range(0, 10) k(k) ON t.fold <> k.k)"
+        return (
+            self.base
+            + ","
+            + self.fit("level0", others, "g")
+            + ","
+            + self.guess("by_bayes", "train", "level0", "m.g = x.fold")
+            + ","
+            + self.logit("lr", others)
+            + ","
+            + self.logit_guess("by_logit", "(SELECT fold AS g, * FROM train)", "lr")
+            + ","
+            + self.tree("tree", others)
+            + ","
+            + self.tree_guess("by_tree", "(SELECT fold AS g, * FROM train)", "tree")
+            + """,
+copies AS ("""
+            + " UNION ALL ".join(
+                f"SELECT 0 AS g, f0, f1, prediction AS label FROM {c}" for c in ("by_bayes", "by_logit", "by_tree")
+            )
+            + "),"
+            + self.logit("top", "copies")
+            + ","
+            + self.logit_guess("scored", "(SELECT 0 AS g, * FROM test)", "top")
+        )
+
     def single(self) -> str:
         return self.base + "," + self.fit("model", "train") + "," + self.guess("scored", "test", "model")
 
@@ -307,6 +421,14 @@ DISCRETE = LabelledSet(
     "CASE WHEN f0 >= f1 AND f0 >= f2 THEN 0.0 WHEN f1 >= f2 THEN 1.0 ELSE 2.0 END::double",
     3,
 )
+_PRICE, _DISCOUNT = sets.LINEITEM_REALS[1:3]
+OVERLAP = LabelledSet(
+    "lineitem",
+    sets.LINEITEM_KEY,
+    [scaled(a.name, a.range_min, a.range_max) for a in (sets.LINEITEM_REALS[0], _DISCOUNT)],
+    f"({scaled(_PRICE.name, _PRICE.range_min, _PRICE.range_max)} >= f1)::int::double",
+    2,
+)
 DOCUMENTS = LabelledSet(
     "documents",
     ("doc_id",),
@@ -334,6 +456,14 @@ DOMAINS = f"""domains AS (
          string_agg(DISTINCT o_orderstatus, ', ' ORDER BY o_orderstatus) AS s,
          count(DISTINCT o_orderpriority) AS np, count(DISTINCT o_orderstatus) AS ns FROM orders)"""
 
+HEADER = """SELECT 0 AS position, '@relation orders' AS value FROM domains
+UNION ALL SELECT 1, '@attribute o_totalprice real [1000, 500000]' FROM domains
+UNION ALL SELECT 2, '@attribute o_orderpriority {' || p || '}' FROM domains
+UNION ALL SELECT 3, '@attribute o_orderstatus {' || s || '}' FROM domains
+UNION ALL SELECT 4, '@inputs o_totalprice, o_orderpriority' FROM domains
+UNION ALL SELECT 5, '@outputs o_orderstatus' FROM domains
+UNION ALL SELECT 6, '@data' FROM domains"""
+
 PRIORITY_CODE = f"(dense_rank() OVER (ORDER BY {PRIORITY}) - 1)::double"
 STATUS_CODE = "(dense_rank() OVER (ORDER BY o_orderstatus) - 1)::double"
 
@@ -354,17 +484,7 @@ LEFT JOIN (SELECT {value} AS v, {by} AS c FROM {table}) t ON t.v = d.value AND t
 STATUS_LABEL = position("l_linestatus", sets.LINE_STATUS)
 
 ORACLE: dict[str, str] = {
-    "keel_header": with_(
-        DOMAINS,
-        """SELECT position::int AS position, value FROM (
-SELECT 0 AS position, '@relation orders' AS value FROM domains
-UNION ALL SELECT 1, '@attribute o_totalprice real [1000, 500000]' FROM domains
-UNION ALL SELECT 2, '@attribute o_orderpriority {' || p || '}' FROM domains
-UNION ALL SELECT 3, '@attribute o_orderstatus {' || s || '}' FROM domains
-UNION ALL SELECT 4, '@inputs o_totalprice, o_orderpriority' FROM domains
-UNION ALL SELECT 5, '@outputs o_orderstatus' FROM domains
-UNION ALL SELECT 6, '@data' FROM domains)""",
-    ),
+    "keel_header": with_(DOMAINS, f"SELECT position::int AS position, value FROM ({HEADER})"),
     "keel_attributes": with_(
         DOMAINS,
         """SELECT 0::int AS position, 'o_totalprice' AS name, 'r' AS kind, 'i' AS io,
@@ -382,6 +502,16 @@ FROM (SELECT DISTINCT o_orderstatus FROM orders)""",
 {scaled('o_totalprice', 1000, 500000)} AS f0, {PRIORITY_CODE} AS f1,
 ({STATUS_CODE} = 0)::int::double AS c0, ({STATUS_CODE} = 1)::int::double AS c1,
 ({STATUS_CODE} = 2)::int::double AS c2, {STATUS_CODE} AS label FROM orders""",
+    "keel_text_load": f"""SELECT o_totalprice AS x0, {PRIORITY_CODE} AS x1,
+{scaled('o_totalprice', 1000, 500000)} AS f0, {PRIORITY_CODE} AS f1, {STATUS_CODE} AS label FROM orders""",
+    "keel_file_headers": with_(DOMAINS, f"""SELECT part::int AS part, position::int AS position, value
+FROM ({HEADER}), range(0, {sets.ORDERS_FILES}) r(part)"""),
+    "keel_declarations": with_(
+        DOMAINS,
+        f"""SELECT {sets.ORDERS_FILES}::bigint AS files, '@attribute o_totalprice real[1000,500000]; @attribute o_orderpriority{{'
+|| replace(p, ', ', ',') || '}}; @attribute o_orderstatus{{' || replace(s, ', ', ',')
+|| '}}; @inputs o_totalprice,o_orderpriority; @outputs o_orderstatus' AS declaration FROM domains""",
+    ),
     "keel_count": "SELECT count(*) AS n FROM orders",
     "keel_load_report": f"""SELECT count(*) AS "rows", 0::bigint AS wrong_field_count, 0::bigint AS bad_number,
 count(*) FILTER (p = lp) AS unknown_nominal, count(*) FILTER (s = ls) AS unknown_class,
@@ -459,10 +589,32 @@ FROM train, range(0, 10) r(k) GROUP BY k""",
         f"""SELECT label, {rounded("count(*) FILTER (prediction = label)::double / count(*)")} AS accuracy_rounded
 FROM scored GROUP BY label""",
     ),
-    "lr_predict": with_(DOMINANT.base, f"SELECT {LINEITEM_KEY}, label AS prediction FROM test"),
-    "single_lr": with_(
-        DOMINANT.base, 'SELECT count(*) AS "right", count(*) AS total, 1.0::double AS accuracy FROM test'
+    "lr_predict": with_(OVERLAP.single_logit(), f"SELECT {LINEITEM_KEY}, label, prediction FROM scored"),
+    "single_lr": with_(OVERLAP.single_logit(), score(full=False)),
+    "lr_bag_weights": with_(
+        OVERLAP.bag_logits(), "SELECT g::int AS bag, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM lr"
+    ),
+    "lr_fold_weights": with_(
+        OVERLAP.fold_logits(), "SELECT g::int AS fold, round(w0, 6) AS w0, round(w1, 6) AS w1 FROM lr"
+    ),
+    "lr_gradients": with_(
+        OVERLAP.base
+        + """,
+members AS ("""
+        + " UNION ALL ".join(
+            f"SELECT {b} AS member, {bag_weight(b, sets.LINEITEM_KEY)} AS w, * FROM train" for b in range(BAGS)
+        )
+        + f""" UNION ALL SELECT {BAGS} + k.k, (fold <> k.k)::int, t.* FROM train t, range(0, 10) k(k)),
+guessed AS (SELECT *, 1 / (1 + exp(-(0.5 * (1 + member) * f0 - 0.25 * member * f1))) AS p FROM members)""",
+        "SELECT member::int AS member, round(sum(w)::double, 6) AS weight, "
+        "round(sum(w * (p - label) * f0) / sum(w), 9) AS g0, round(sum(w * (p - label) * f1) / sum(w), 9) AS g1, "
+        "round(-sum(w * CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END) / sum(w), 9) AS loss "
+        "FROM guessed GROUP BY member",
+    ),
+    "bagging_trio": with_(
+        OVERLAP.bagging_trio(), f"SELECT {LINEITEM_KEY}, label, p0, p1, p2, prediction FROM scored"
     ),
+    "stacking_trio": with_(OVERLAP.stacking_trio(), f"SELECT {LINEITEM_KEY}, label, prediction FROM scored"),
     "lr_moments": with_(
         ORDERS.base,
         "SELECT c.c::double AS label, j.j::int AS feature, "

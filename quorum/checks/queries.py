@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,26 @@ from quorum.functions.encode import (
 )
 from quorum.functions.vote import plurality_vote, vote_counts
 from quorum.operators import prepare, sampling
+from quorum.operators.logistic import member_sums
 from quorum.operators.models import TreeModel
 from quorum.operators.naive_bayes import grouped_sums
 from quorum.plans.report import run_report
 from quorum.plans.runs import RunResult, bagging, single_model, stacking
 from quorum.schema import Dataset, DatasetMeta, ModelSpec, nominal
-from quorum.sources.keel import data_lines, header_lines, load_report, parse_header, parse_keel
+from quorum.sources.keel import (
+    data_lines,
+    declarations,
+    file_headers,
+    header_lines,
+    load_keel,
+    load_report,
+    parse_header,
+    parse_keel,
+)
 
 NB = ModelSpec.of("NB", 1.0)
 LR = ModelSpec.of("LR", 3)
+LR2 = ModelSpec.of("LR", 2)
 DT = ModelSpec.of("DT", 3, 5, 32)
 #: More bins than any input of the set has values.
 TREE = ModelSpec.of("DT", 3, 3, 64)
@@ -66,6 +78,23 @@ def keel_load(spark, sf_dir):
     )
 
 
+def keel_text_load(spark, sf_dir):
+    """Several headed text files, loaded from their folder."""
+    ds = load_keel(spark, sets.orders_files(spark, sf_dir), headers="same", name="orders_files")
+    return ds.frame.select(*_slots("inputs", 2, "x"), *_slots("features", 2, "f"), "label")
+
+
+def keel_file_headers(spark, sf_dir):
+    headers = file_headers(spark, sets.orders_files(spark, sf_dir))
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("int")
+    return headers.select(part.alias("part"), "position", "value")
+
+
+def keel_declarations(spark, sf_dir):
+    found = declarations(spark, sets.orders_files(spark, sf_dir))
+    return found.select("files", F.array_join("declaration", "; ").alias("declaration"))
+
+
 def keel_count(spark, sf_dir):
     lines = sets.orders_lines(spark, sf_dir)
     return data_lines(lines).agg(F.count("*").alias("n"))
@@ -227,16 +256,49 @@ def accuracy_rounded(spark, sf_dir):
     return per_label.select("label", round_half_even(ratio).alias("accuracy_rounded"))
 
 
-def _single(spark, sf_dir, spec: ModelSpec) -> RunResult:
-    return single_model(sets.lineitem_dominant(spark, sf_dir), spec)
-
-
 def lr_predict(spark, sf_dir):
-    return _single(spark, sf_dir, LR).predictions.select(*sets.LINEITEM_KEY, "prediction")
+    return single_model(sets.lineitem_overlap(spark, sf_dir), LR2).predictions
 
 
 def single_lr(spark, sf_dir):
-    return _single(spark, sf_dir, LR).accuracy().select("right", "total", "accuracy")
+    return single_model(sets.lineitem_overlap(spark, sf_dir), LR2).accuracy().select("right", "total", "accuracy")
+
+
+def _weights_table(spark, member: str, models) -> DataFrame:
+    """The weights of class 1 of models with two inputs, one row per model."""
+    rows = [(i, *[float(w) for w in m.weights[1]]) for i, m in enumerate(models)]
+    table = spark.createDataFrame(rows, f"{member} int, w0 double, w1 double")
+    return table.select(member, F.round("w0", 6).alias("w0"), F.round("w1", 6).alias("w1"))
+
+
+def lr_bag_weights(spark, sf_dir):
+    result = bagging(sets.lineitem_overlap(spark, sf_dir), [LR2] * BAGS)
+    return _weights_table(spark, "bag", result.details["models"])
+
+
+def lr_fold_weights(spark, sf_dir):
+    result = stacking(sets.lineitem_overlap(spark, sf_dir), [LR2] * 2, NB)
+    return _weights_table(spark, "fold", result.details["level0"][0])
+
+
+def lr_gradients(spark, sf_dir):
+    """Loss and gradient of all bags and all folds at given weights, from one scan."""
+    ds = sets.lineitem_overlap(spark, sf_dir)
+    train, _ = sampling.train_test(ds.frame, ds.key)
+    train = sampling.with_bag_weights(train, ds.key, BAGS)
+    fold = sampling.fold_column(ds.key)
+    weights = [F.col(sampling.bag_column(b)).cast("double") for b in range(BAGS)]
+    weights += [(fold != k).cast("double") for k in range(sampling.FOLDS)]
+    rows = train.select("features", "label", F.array(*weights).alias("weights"))
+    at = {m: np.array([[0.0, 0.0], [0.5 * (1 + m), -0.25 * m]]) for m in range(len(weights))}
+    sums = member_sums(rows, at).filter("position < 8").groupBy("member").pivot("position", list(range(8))).sum("value")
+    return sums.select(
+        "member",
+        F.round("0", 6).alias("weight"),
+        F.round(F.col("6") / F.col("0"), 9).alias("g0"),
+        F.round(F.col("7") / F.col("0"), 9).alias("g1"),
+        F.round(F.col("1") / F.col("0"), 9).alias("loss"),
+    )
 
 
 def lr_moments(spark, sf_dir):
@@ -376,15 +438,15 @@ def stacking_mixed(spark, sf_dir):
 
 
 def bagging_trio(spark, sf_dir):
-    """All three kinds of model; an iterative fit has no SQL counterpart."""
-    ds = sets.lineitem_dominant(spark, sf_dir)
-    scored = bagging(ds, [NB, LR, DT], parallelism=FIT_PARALLELISM).predictions
+    """All three kinds of model."""
+    ds = sets.lineitem_overlap(spark, sf_dir)
+    scored = bagging(ds, [NB, LR2, TREE], parallelism=FIT_PARALLELISM).predictions
     return scored.select(*ds.key, "label", *_slots("predictions", 3, "p"), "prediction")
 
 
 def stacking_trio(spark, sf_dir):
-    ds = sets.lineitem_dominant(spark, sf_dir)
-    return stacking(ds, [NB, LR, DT], LR, parallelism=FIT_PARALLELISM).predictions
+    ds = sets.lineitem_overlap(spark, sf_dir)
+    return stacking(ds, [NB, LR2, TREE], LR2, parallelism=FIT_PARALLELISM).predictions
 
 
 def run_report_query(spark, sf_dir):
@@ -397,6 +459,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keel_attributes": keel_attributes,
     "dataset_summary": dataset_summary,
     "keel_load": keel_load,
+    "keel_text_load": keel_text_load,
+    "keel_file_headers": keel_file_headers,
+    "keel_declarations": keel_declarations,
     "keel_count": keel_count,
     "keel_load_report": keel_load_report,
     "nominal_encode": nominal_encode,
@@ -422,6 +487,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accuracy_rounded": accuracy_rounded,
     "lr_predict": lr_predict,
     "single_lr": single_lr,
+    "lr_bag_weights": lr_bag_weights,
+    "lr_fold_weights": lr_fold_weights,
+    "lr_gradients": lr_gradients,
     "lr_moments": lr_moments,
     "dt_predict": dt_predict,
     "single_dt": single_dt,

@@ -26,6 +26,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder and cut its lineage. What reads it may be lazy,
     so its files stay until Spark's cleaner removes them
@@ -47,7 +52,7 @@ def kept(df: DataFrame, keep, passes: int):
         raise ValueError(f"cache must be one of {KEEP_MODES}")
     if keep == "checkpoint":
         spark = df.sparkSession
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        path = shared_folder(spark, "kept")
         df.write.parquet(path)
         try:
             yield spark.read.schema(df.schema).parquet(path)

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorum.operators import logistic
 from quorum.operators.linear import LinearModel
 from quorum.schema import ModelSpec
 
@@ -98,6 +99,17 @@ def fit(
 ):
     """Fit one model on ``features``/``label`` (and a weight column)."""
     told = class_count(spec, n_classes)
+    if spec.code == "LR":
+        n_input = df.select(F.size("features")).head()
+        if n_input is None:
+            raise ValueError("logistic regression was given no rows")
+        if logistic.suits(told, n_input[0]):
+            rows = df.select(
+                "features",
+                F.col(label).alias("label"),
+                F.array(F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("weights"),
+            )
+            return logistic.fit_members(rows, [0], told, n_input[0])[0]
     points = training_points(df, told, weight, label)
     model = make_estimator(spec, n_classes, weight, fixed_smoothing).fit(points)
     if spec.code == "DT":

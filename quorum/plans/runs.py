@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quorum.functions.encode import mask_features
 from quorum.functions.vote import plurality_vote
+from quorum.operators import logistic, sampling
 from quorum.operators import naive_bayes as bayes
-from quorum.operators import sampling
 from quorum.operators.durable import checkpointed, kept
 from quorum.operators.evaluate import accuracy
 from quorum.operators.models import class_count, fit, run_parallel
@@ -84,6 +84,11 @@ def _iterative(specs: Sequence[ModelSpec]) -> bool:
     return any(s.code != "NB" for s in specs)
 
 
+def _joint(spec: ModelSpec, n_classes: int, n_input: int) -> bool:
+    """Whether all models of the specification are fitted together."""
+    return spec.code == "LR" and logistic.suits(class_count(spec, n_classes), n_input)
+
+
 def _smoothing(spec: ModelSpec, fixed: float | None) -> float:
     return spec.smoothing if fixed is None else fixed
 
@@ -152,8 +157,8 @@ def bagging(
     """Plurality vote over models that each saw a bootstrap sample with masked attributes.
 
     A sample is a weight column and a mask is a set of literals, so the samples of all
-    Bayes members are summed in one pass; the other members are fitted side by side. Test
-    rows are predicted unmasked.
+    Bayes members are summed in one pass, and those of all logistic regressions in one pass
+    per step; trees are fitted side by side. Test rows are predicted unmasked.
     """
     specs = tuple(specs)
     require_specs(specs)
@@ -172,9 +177,10 @@ def bagging(
     bags = [sampling.bag_column(b) for b in range(len(specs))]
     rows = _spread(weighted.select("features", "label", *bags), num_partitions)
     bayes_bags = [b for b, s in enumerate(specs) if s.code == "NB"]
-    other_bags = [b for b, s in enumerate(specs) if s.code != "NB"]
+    joint_bags = [b for b, s in enumerate(specs) if _joint(s, n_classes, n_input)]
+    other_bags = [b for b in range(len(specs)) if b not in (*bayes_bags, *joint_bags)]
 
-    with kept(rows, cache, passes=2 * len(other_bags) + bool(bayes_bags)) as training:
+    with kept(rows, cache, passes=2 * len(other_bags + joint_bags) + bool(bayes_bags)) as training:
 
         def fit_bayes() -> dict:
             drawn = bayes.bag_sums(training, n_input, [bags[b] for b in bayes_bags])
@@ -186,6 +192,11 @@ def bagging(
                 for i, b in enumerate(bayes_bags)
             }
 
+        def fit_joint() -> dict:
+            weights = F.array(*[F.col(bag).cast("double") for bag in bags])
+            sample = training.select("features", "label", weights.alias("weights"))
+            return logistic.fit_members(sample, joint_bags, n_classes, n_input, masks)
+
         def fit_other(b: int) -> dict:
             sample = training.select(
                 mask_features(F.col("features"), masks[b]).alias("features"),
@@ -194,7 +205,7 @@ def bagging(
             )
             return {b: fit(sample, specs[b], n_classes, weight="weight")}
 
-        tasks = [fit_bayes] if bayes_bags else []
+        tasks = ([fit_bayes] if bayes_bags else []) + ([fit_joint] if joint_bags else [])
         tasks += [lambda b=b: fit_other(b) for b in other_bags]
         fitted: dict = {}
         for part in run_parallel(ds.spark, tasks, parallelism):
@@ -268,6 +279,9 @@ def stacking(
     used_folds = folds - 1 if drop else folds
 
     def same_fit(spec: ModelSpec):
+        if _joint(spec, n_classes, n_input):
+            # The number of classes it is told changes nothing.
+            return "LR"
         return ("NB", _smoothing(spec, fixed)) if spec.code == "NB" else spec
 
     distinct = list(dict.fromkeys(same_fit(s) for s in specs))
@@ -288,17 +302,22 @@ def stacking(
                 for k in range(used_folds)
             }
 
+        def fit_joint(i: int) -> dict:
+            weights = F.array(*[(F.col("fold") != k).cast("double") for k in range(used_folds)])
+            sample = training.select("features", "label", weights.alias("weights"))
+            models = logistic.fit_members(sample, range(used_folds), n_classes, n_input)
+            return {(i, k): model for k, model in models.items()}
+
         def fit_fold(i: int, k: int) -> dict:
             sample = training.filter(F.col("fold") != k)
             return {(i, k): fit(sample, spec_of[distinct[i]], n_classes)}
 
         tasks = [fit_bayes] if any(s.code == "NB" for s in specs) else []
-        tasks += [
-            lambda i=i, k=k: fit_fold(i, k)
-            for i, d in enumerate(distinct)
-            if spec_of[d].code != "NB"
-            for k in range(used_folds)
-        ]
+        for i, d in enumerate(distinct):
+            if d == "LR":
+                tasks.append(lambda i=i: fit_joint(i))
+            elif spec_of[d].code != "NB":
+                tasks += [lambda i=i, k=k: fit_fold(i, k) for k in range(used_folds)]
         fitted: dict = {}
         for part in run_parallel(ds.spark, tasks, parallelism):
             fitted.update(part)

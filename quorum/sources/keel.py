@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from itertools import zip_longest
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -294,6 +295,44 @@ def read_header(spark: SparkSession, path: str, header_path: str | None = None)
     return [row.value for row in in_order.orderBy("_at").collect()]
 
 
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The header lines of every file under ``path``: ``file``, ``position`` (in the file's
+    header), ``value``. Files without header lines have no row."""
+    marked = F.lit(False)
+    for mark in HEADER_MARKS:
+        marked = marked | F.col("value").startswith(mark)
+    lines = spark.read.text(path).filter(marked)
+    # A block of a file is read by one task in order; blocks are told apart by their start.
+    place = F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    headers = placed.groupBy("file").agg(F.sort_array(F.collect_list("place")).alias("header"))
+    return headers.select("file", F.posexplode("header.value").alias("position", "value"))
+
+
+def declarations(spark: SparkSession, path: str) -> DataFrame:
+    """The different declarations under ``path``: ``declaration`` (its attribute, input and
+    output lines, blanks made alike), ``files`` that hold it, and the first of them as ``example``."""
+    declared = file_headers(spark, path).filter(~F.col("value").startswith("@relation") & ~F.col("value").startswith("@data"))
+    line = F.trim(F.regexp_replace(F.regexp_replace("value", r" *([{}\[\],]) *", "$1"), " +", " "))
+    whole = declared.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("position", line.alias("line")))).alias("d"))
+    return (
+        whole.select("file", F.col("d.line").alias("declaration"))
+        .groupBy("declaration")
+        .agg(F.count("*").alias("files"), F.min("file").alias("example"))
+    )
+
+
+def require_one_declaration(spark: SparkSession, path: str) -> None:
+    """Raise if files under ``path`` declare different attributes."""
+    found = declarations(spark, path).orderBy("example").limit(2).collect()
+    if len(found) > 1:
+        a, b = found
+        differ = next((x, y) for x, y in zip_longest(a.declaration, b.declaration) if x != y)
+        raise ValueError(f"{b.example} declares {differ[1]!r} where {a.example} declares {differ[0]!r}")
+
+
 def load_keel(
     spark: SparkSession,
     path: str,
@@ -301,13 +340,20 @@ def load_keel(
     header_path: str | None = None,
     compat: bool = True,
     accept_real_output: bool | None = None,
+    headers: str = "first",
     **options,
 ) -> Dataset:
     """Header, rows and rescale of a text file, directory or glob.
 
+    The first file's header rules; with ``headers="same"`` every file is read for its header
+    first, and one that declares anything else raises. Files without a header always may follow.
     ``options`` are those of :func:`parse_keel`. ``num_partitions`` asks for a shuffle of
     the lines and is for one small or unsplittable file.
     """
+    if headers not in ("first", "same"):
+        raise ValueError("headers must be 'first' or 'same'")
+    if headers == "same":
+        require_one_declaration(spark, path)
     accept = compat if accept_real_output is None else accept_real_output
     meta = parse_header(read_header(spark, path, header_path), accept)
     lines = spark.read.text(path)

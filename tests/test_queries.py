@@ -18,16 +18,13 @@ def test_query_equals_sql(spark, con, name):
     assert difference(QUERIES[name](spark, SF_SMALL), con, ORACLE[name]) is None
 
 
-def test_only_iterative_ensembles_lack_sql():
-    assert set(QUERIES) - set(ORACLE) == {"bagging_trio", "stacking_trio"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
-def test_trios_predict_every_test_row_once(spark):
-    expected = QUERIES["lr_predict"](spark, SF_SMALL).count()
-    for name in ("bagging_trio", "stacking_trio"):
+def test_regressions_tell_more_than_the_commoner_class(spark):
+    for name in ("lr_predict", "bagging_trio", "stacking_trio"):
         scored = QUERIES[name](spark, SF_SMALL).cache()
-        assert scored.count() == expected
-        right = scored.filter("prediction = label").count() / expected
-        assert right > 0.6
-        assert {r[0] for r in scored.select("prediction").distinct().collect()} <= {0.0, 1.0, 2.0}
+        right = scored.filter("prediction = label").count() / scored.count()
+        assert right > 0.7 and scored.select("prediction").distinct().count() == 2
         scored.unpersist()
