@@ -19,6 +19,7 @@ from quorum.functions.encode import (
 )
 from quorum.functions.vote import plurality_vote, vote_counts
 from quorum.operators import prepare, sampling
+from quorum.operators.blocks import pack
 from quorum.operators.logistic import member_sums
 from quorum.operators.models import TreeModel
 from quorum.operators.naive_bayes import grouped_sums
@@ -291,7 +292,7 @@ def lr_gradients(spark, sf_dir):
     weights += [(fold != k).cast("double") for k in range(sampling.FOLDS)]
     rows = train.select("features", "label", F.array(*weights).alias("weights"))
     at = {m: np.array([[0.0, 0.0], [0.5 * (1 + m), -0.25 * m]]) for m in range(len(weights))}
-    sums = member_sums(rows, at).filter("position < 8").groupBy("member").pivot("position", list(range(8))).sum("value")
+    sums = member_sums(pack(rows, 2, 2), at).filter("position < 8").groupBy("member").pivot("position", list(range(8))).sum("value")
     return sums.select(
         "member",
         F.round("0", 6).alias("weight"),

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorum.operators.blocks import pack, unpack
+from quorum.operators.durable import kept
 from quorum.operators.linear import LinearModel
 
 #: Up to this many weights per member the curvature is summed; larger models are left to
@@ -26,8 +28,10 @@ WEIGHT_LIMIT = 64
 #: Largest mean gradient that counts as converged.
 TOLERANCE = 1e-9
 #: Mean loss under which the classes count as separated.
-SEPARATED = 1e-6
+SEPARATED = 1e-5
 MAX_STEPS = 100
+#: Scores further below the best count as this; e to it is nothing beside 1.
+LEAST_SCORE = -200.0
 
 
 def _layout(k: int, d: int) -> dict[str, slice]:
@@ -49,7 +53,8 @@ def _sums(x, is_class, w, coefficients, allowed) -> np.ndarray:
     scores = coefficients[some] @ x
     scores -= scores.max(axis=0)
     own = (scores * is_class[some]).sum(axis=0)
-    p = np.exp(scores, out=scores)
+    # Lower ones would give numbers that the processor handles many times slower.
+    p = np.exp(np.maximum(scores, LEAST_SCORE, out=scores), out=scores)
     total = p.sum(axis=0)
     p /= total
     out[at["weight"]] = w.sum()
@@ -66,41 +71,28 @@ def _sums(x, is_class, w, coefficients, allowed) -> np.ndarray:
 
 
 def member_sums(
-    rows: DataFrame, coefficients: dict[int, np.ndarray], allowed: dict[int, np.ndarray] | None = None
+    blocks: DataFrame, coefficients: dict[int, np.ndarray], allowed: dict[int, np.ndarray] | None = None
 ) -> DataFrame:
-    """``member``, ``position``, ``value``: the sums of every member over ``rows(features,
-    label, weights)``, ``weights`` holding a weight per member. Members without coefficients
-    take no part; ``allowed`` names the classes of a member, all by default."""
+    """``member``, ``position``, ``value``: the sums of every member over packed rows. Members
+    without coefficients take no part; ``allowed`` names the classes of a member, all by default."""
     k, d = next(iter(coefficients.values())).shape
     size = _layout(k, d)["curvature"].stop
 
     def run(batches):
         held = {m: np.zeros(size) for m in coefficients}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            features, label, weights = batch.columns
-            x = features.flatten().to_numpy(zero_copy_only=False)
-            if len(x) != d * batch.num_rows or set(features.value_lengths().unique().to_pylist()) != {d}:
-                raise ValueError(f"a row must hold {d} features")
-            x = np.ascontiguousarray(x.reshape(-1, d).T)
-            given = label.to_numpy(zero_copy_only=False)
-            y = given.astype(np.int64)
-            if (y != given).any() or y.min() < 0 or y.max() >= k:
-                raise ValueError(f"labels must be whole numbers from 0 to {k - 1}")
+        for x, y, w in unpack(batches):
             is_class = (y == np.arange(k)[:, None]).astype(float)
-            w = weights.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             for m, c in coefficients.items():
                 may = np.ones(k, bool) if allowed is None else allowed[m]
-                if w[:, m].any():
-                    held[m] += _sums(x, is_class, np.ascontiguousarray(w[:, m]), c, may)
+                if w[m].any():
+                    held[m] += _sums(x, is_class, w[m], c, may)
         members = [m for m in held if held[m][0] > 0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(members, pa.int32()), pa.array([held[m] for m in members], pa.list_(pa.float64()))],
             ["member", "sums"],
         )
 
-    parts = rows.select("features", "label", "weights").mapInArrow(run, "member int, sums array<double>")
+    parts = blocks.mapInArrow(run, "member int, sums array<double>")
     values = parts.select("member", F.posexplode("sums").alias("position", "value"))
     return values.groupBy("member", "position").agg(F.sum("value").alias("value"))
 
@@ -131,27 +123,13 @@ def suits(n_classes: int, n_input: int) -> bool:
     return n_classes * n_input <= WEIGHT_LIMIT
 
 
-def fit_members(
-    rows: DataFrame,
-    members: Sequence[int],
-    n_classes: int,
-    n_input: int,
-    masks: Sequence[Sequence[bool]] | None = None,
-    tolerance: float = TOLERANCE,
-    max_steps: int = MAX_STEPS,
-) -> dict[int, LinearModel]:
-    """A model for each of ``members``, positions in the ``weights`` of ``rows(features, label,
-    weights)``. ``rows`` is read once per step and should be stored.
-
-    ``masks`` names, by member, the features it sees. Two classes share one weight per feature,
-    that of class 1. A class without rows is never predicted. A member without rows raises.
-    """
-    k, d = n_classes, n_input
+def _descended(blocks, members, k, d, masks, tolerance, max_steps) -> tuple[dict, dict]:
+    """Newton steps of all members: their weights and the classes they have rows of."""
     now = {m: np.zeros((k, d)) for m in members}
     all_classes = {m: np.ones(k, bool) for m in members}
 
     def sums_of(points, allowed):
-        return _collected(member_sums(rows, points, allowed), k, d)
+        return _collected(member_sums(blocks, points, allowed), k, d)
 
     state = sums_of(now, all_classes)
     empty = [m for m in members if m not in state]
@@ -196,6 +174,28 @@ def fit_members(
                 length[m] /= 2
                 if length[m] < 1e-9:
                     open_.remove(m)
+    return now, allowed
+
+
+def fit_members(
+    rows: DataFrame,
+    members: Sequence[int],
+    n_classes: int,
+    n_input: int,
+    masks: Sequence[Sequence[bool]] | None = None,
+    tolerance: float = TOLERANCE,
+    max_steps: int = MAX_STEPS,
+    cache=None,
+) -> dict[int, LinearModel]:
+    """A model for each of ``members``, positions in the ``weights`` of ``rows(features, label,
+    weights)``. ``rows`` is read once and kept in blocks, which are read once per step.
+
+    ``masks`` names, by member, the features it sees. Two classes share one weight per feature,
+    that of class 1. A class without rows is never predicted. A member without rows raises.
+    """
+    k, d = n_classes, n_input
+    with kept(pack(rows, d, k), cache, passes=2) as blocks:
+        now, allowed = _descended(blocks, members, k, d, masks, tolerance, max_steps)
     models = {}
     for m in members:
         weights = now[m]

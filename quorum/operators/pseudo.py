@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from quorum.functions.vote import vote_counts
 from quorum.operators.linear import LinearModel, predict_many
 from quorum.operators.models import VECTOR
+from quorum.operators.trees import GroupedTree, predict_trees
 
 
 def transform_all(df: DataFrame, models: Sequence, prefix: str = "p") -> DataFrame:
     """Add one prediction column per model (``p0``, ``p1``, ...)."""
     linear = {f"{prefix}{m}": [model] for m, model in enumerate(models) if isinstance(model, LinearModel)}
-    trees = {f"{prefix}{m}": t for m, t in enumerate(models) if f"{prefix}{m}" not in linear}
+    grouped = {f"{prefix}{m}": [model] for m, model in enumerate(models) if isinstance(model, GroupedTree)}
+    trees = {f"{prefix}{m}": t for m, t in enumerate(models) if f"{prefix}{m}" not in linear | grouped}
     if linear:
         df = predict_many(df, list(linear.values()), list(linear))
+    if grouped:
+        df = predict_trees(df, list(grouped.values()), list(grouped))
     if trees:
         df = df.withColumn(VECTOR, array_to_vector("features"))
         for name, tree in trees.items():
@@ -27,28 +31,30 @@ def transform_all(df: DataFrame, models: Sequence, prefix: str = "p") -> DataFra
     return df
 
 
-def _all_linear(models: Sequence) -> bool:
-    return all(isinstance(m, LinearModel) for m in models)
+def _all(models: Sequence, kind: type) -> bool:
+    return all(isinstance(m, kind) for m in models)
 
 
 def out_of_fold(df: DataFrame, models_by_fold: Sequence[Sequence], prefix: str = "p") -> DataFrame:
     """Add one prediction column per model, made by the model of the row's own ``fold``.
 
     ``models_by_fold[m][k]`` is model m fitted without fold k; a row of a fold that has no
-    model gets NULL. Linear models look their
-    coefficients up; trees are branches of one expression. Either way it is one scan.
+    model gets NULL. Linear models look their coefficients up and trees fitted together their
+    cuts; other trees are branches of one expression. Either way it is one scan.
     """
     folds = len(models_by_fold[0])
-    if all(map(_all_linear, models_by_fold)):
-        names = [f"{prefix}{m}" for m in range(len(models_by_fold))]
-        return predict_many(df, models_by_fold, names, chooser="fold")
-    linear = {f"{prefix}{m}": per for m, per in enumerate(models_by_fold) if _all_linear(per)}
-    if linear:
-        df = predict_many(df, list(linear.values()), list(linear), chooser="fold")
+    known: list[str] = []
+    for kind, predict in ((LinearModel, predict_many), (GroupedTree, predict_trees)):
+        sets = {f"{prefix}{m}": per for m, per in enumerate(models_by_fold) if _all(per, kind)}
+        if sets:
+            df = predict(df, list(sets.values()), list(sets), chooser="fold")
+            known += sets
+    if len(known) == len(models_by_fold):
+        return df
     df = df.withColumn(VECTOR, array_to_vector("features"))
     spare: list[str] = []
     for m, per_fold in enumerate(models_by_fold):
-        if f"{prefix}{m}" in linear:
+        if f"{prefix}{m}" in known:
             continue
         # Every column is used once, in a branch, so that only the row's own fold is scored.
         names = [f"_{prefix}{m}_{k}" for k in range(folds)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions.encode import mask_features
 from quorum.functions.vote import plurality_vote
-from quorum.operators import logistic, sampling
+from quorum.operators import logistic, sampling, trees
 from quorum.operators import naive_bayes as bayes
 from quorum.operators.durable import checkpointed, kept
 from quorum.operators.evaluate import accuracy
@@ -85,8 +85,22 @@ def _iterative(specs: Sequence[ModelSpec]) -> bool:
 
 
 def _joint(spec: ModelSpec, n_classes: int, n_input: int) -> bool:
-    """Whether all models of the specification are fitted together."""
-    return spec.code == "LR" and logistic.suits(class_count(spec, n_classes), n_input)
+    """Whether all models of the specification are fitted together, one scan a step or level."""
+    told = class_count(spec, n_classes)
+    if spec.code == "DT":
+        return trees.suits(told, n_input, spec.max_depth, spec.max_bins)
+    return spec.code == "LR" and logistic.suits(told, n_input)
+
+
+def _kind(spec: ModelSpec):
+    """What specifications fitted together have in common; the classes told change nothing."""
+    return spec.code if spec.code == "LR" else (spec.code, spec.max_depth, spec.max_bins)
+
+
+def _fit_joint(rows: DataFrame, spec: ModelSpec, members, n_classes: int, n_input: int, cache, masks=None) -> dict:
+    if spec.code == "LR":
+        return logistic.fit_members(rows, members, n_classes, n_input, masks, cache=cache)
+    return trees.fit_members(rows, members, n_classes, n_input, spec.max_depth, spec.max_bins, masks, cache)
 
 
 def _smoothing(spec: ModelSpec, fixed: float | None) -> float:
@@ -157,8 +171,8 @@ def bagging(
     """Plurality vote over models that each saw a bootstrap sample with masked attributes.
 
     A sample is a weight column and a mask is a set of literals, so the samples of all
-    Bayes members are summed in one pass, and those of all logistic regressions in one pass
-    per step; trees are fitted side by side. Test rows are predicted unmasked.
+    Bayes members are summed in one pass, those of all logistic regressions in one pass per
+    step and those of all trees of a kind in one per level. Test rows are predicted unmasked.
     """
     specs = tuple(specs)
     require_specs(specs)
@@ -180,7 +194,7 @@ def bagging(
     joint_bags = [b for b, s in enumerate(specs) if _joint(s, n_classes, n_input)]
     other_bags = [b for b in range(len(specs)) if b not in (*bayes_bags, *joint_bags)]
 
-    with kept(rows, cache, passes=2 * len(other_bags + joint_bags) + bool(bayes_bags)) as training:
+    with kept(rows, cache, passes=2 * len(other_bags) + len({_kind(specs[b]) for b in joint_bags}) + bool(bayes_bags)) as training:
 
         def fit_bayes() -> dict:
             drawn = bayes.bag_sums(training, n_input, [bags[b] for b in bayes_bags])
@@ -192,10 +206,10 @@ def bagging(
                 for i, b in enumerate(bayes_bags)
             }
 
-        def fit_joint() -> dict:
+        def fit_joint(group: list[int]) -> dict:
             weights = F.array(*[F.col(bag).cast("double") for bag in bags])
             sample = training.select("features", "label", weights.alias("weights"))
-            return logistic.fit_members(sample, joint_bags, n_classes, n_input, masks)
+            return _fit_joint(sample, specs[group[0]], group, n_classes, n_input, cache, masks)
 
         def fit_other(b: int) -> dict:
             sample = training.select(
@@ -205,7 +219,10 @@ def bagging(
             )
             return {b: fit(sample, specs[b], n_classes, weight="weight")}
 
-        tasks = ([fit_bayes] if bayes_bags else []) + ([fit_joint] if joint_bags else [])
+        tasks = [fit_bayes] if bayes_bags else []
+        kinds = dict.fromkeys(_kind(specs[b]) for b in joint_bags)
+        groups = [[b for b in joint_bags if _kind(specs[b]) == kind] for kind in kinds]
+        tasks += [lambda group=group: fit_joint(group) for group in groups]
         tasks += [lambda b=b: fit_other(b) for b in other_bags]
         fitted: dict = {}
         for part in run_parallel(ds.spark, tasks, parallelism):
@@ -280,8 +297,7 @@ def stacking(
 
     def same_fit(spec: ModelSpec):
         if _joint(spec, n_classes, n_input):
-            # The number of classes it is told changes nothing.
-            return "LR"
+            return _kind(spec)
         return ("NB", _smoothing(spec, fixed)) if spec.code == "NB" else spec
 
     distinct = list(dict.fromkeys(same_fit(s) for s in specs))
@@ -305,7 +321,7 @@ def stacking(
         def fit_joint(i: int) -> dict:
             weights = F.array(*[(F.col("fold") != k).cast("double") for k in range(used_folds)])
             sample = training.select("features", "label", weights.alias("weights"))
-            models = logistic.fit_members(sample, range(used_folds), n_classes, n_input)
+            models = _fit_joint(sample, spec_of[distinct[i]], range(used_folds), n_classes, n_input, cache)
             return {(i, k): model for k, model in models.items()}
 
         def fit_fold(i: int, k: int) -> dict:
@@ -314,7 +330,7 @@ def stacking(
 
         tasks = [fit_bayes] if any(s.code == "NB" for s in specs) else []
         for i, d in enumerate(distinct):
-            if d == "LR":
+            if _joint(spec_of[d], n_classes, n_input):
                 tasks.append(lambda i=i: fit_joint(i))
             elif spec_of[d].code != "NB":
                 tasks += [lambda i=i, k=k: fit_fold(i, k) for k in range(used_folds)]

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from quorum import load_keel, load_report, parse_header, parse_keel
-from quorum.sources.keel import read_header
+from quorum.sources.keel import declarations, file_headers, read_header
 
 IRIS = """@relation iris
 @attribute sl real [4.0, 8.0]
@@ -283,3 +283,24 @@ def test_counts_and_narrow_reads_check_the_rows(spark, text_file):
                 read.collect()
         kept = load(spark, text_file, top + "u, p\n" + bad + "\n", on_bad_row="drop")
         assert dataset_summary(kept).first()["n_instances"] == 1
+
+
+def test_files_that_declare_something_else(spark, tmp_path):
+    head = "@relation r\n@attribute x real [0, 1]\n@attribute c {a, b}\n@inputs x\n@outputs c\n@data\n"
+    spaced = head.replace("[0, 1]", "[0,1]").replace("{a, b}", "{a,b}").replace("relation r", "relation other")
+    for name, text in (("1.dat", head + "0.5, a\n"), ("2.dat", spaced + "0.25, b\n"), ("3.dat", "0.75, a\n")):
+        (tmp_path / name).write_text(text)
+    path = str(tmp_path)
+    assert sorted(r.features[0] for r in load_keel(spark, path, headers="same").frame.collect()) == [0.25, 0.5, 0.75]
+    (found,) = declarations(spark, path).collect()
+    assert found.files == 2 and found.declaration[0] == "@attribute x real[0,1]"
+    positions = [r.position for r in file_headers(spark, path).orderBy("file", "position").collect()]
+    assert positions == [0, 1, 2, 3, 4, 5] * 2
+
+    (tmp_path / "4.dat").write_text(head.replace("[0, 1]", "[0, 2]") + "1.5, b\n")
+    with pytest.raises(ValueError, match=r"4\.dat declares '@attribute x real\[0,2\]'"):
+        load_keel(spark, path, headers="same")
+    assert load_keel(spark, path).frame.count() == 4
+    assert declarations(spark, path).count() == 2
+    with pytest.raises(ValueError, match="headers must be"):
+        load_keel(spark, path, headers="any")
