@@ -464,6 +464,12 @@ UNION ALL SELECT 4, '@inputs o_totalprice, o_orderpriority' FROM domains
 UNION ALL SELECT 5, '@outputs o_orderstatus' FROM domains
 UNION ALL SELECT 6, '@data' FROM domains"""
 
+LOAD_REPORT = f"""SELECT count(*) AS "rows", 0::bigint AS wrong_field_count, 0::bigint AS bad_number,
+count(*) FILTER (p = lp) AS unknown_nominal, count(*) FILTER (s = ls) AS unknown_class,
+min(line) FILTER (s = ls) AS example, count(*) FILTER (s <> ls) AS kept
+FROM (SELECT {PRIORITY} AS p, o_orderstatus AS s, max({PRIORITY}) OVER () AS lp, max(o_orderstatus) OVER () AS ls,
+o_totalprice::varchar || ', ' || {PRIORITY} || ', ' || o_orderstatus AS line FROM orders)"""
+
 PRIORITY_CODE = f"(dense_rank() OVER (ORDER BY {PRIORITY}) - 1)::double"
 STATUS_CODE = "(dense_rank() OVER (ORDER BY o_orderstatus) - 1)::double"
 
@@ -513,11 +519,8 @@ FROM ({HEADER}), range(0, {sets.ORDERS_FILES}) r(part)"""),
 || '}}; @inputs o_totalprice,o_orderpriority; @outputs o_orderstatus' AS declaration FROM domains""",
     ),
     "keel_count": "SELECT count(*) AS n FROM orders",
-    "keel_load_report": f"""SELECT count(*) AS "rows", 0::bigint AS wrong_field_count, 0::bigint AS bad_number,
-count(*) FILTER (p = lp) AS unknown_nominal, count(*) FILTER (s = ls) AS unknown_class,
-min(line) FILTER (s = ls) AS example
-FROM (SELECT {PRIORITY} AS p, o_orderstatus AS s, max({PRIORITY}) OVER () AS lp, max(o_orderstatus) OVER () AS ls,
-o_totalprice::varchar || ', ' || {PRIORITY} || ', ' || o_orderstatus AS line FROM orders)""",
+    "keel_load_report": f"SELECT * EXCLUDE (kept) FROM ({LOAD_REPORT})",
+    "keel_load_observed": LOAD_REPORT,
     "nominal_encode": f"SELECT o_orderkey, {position(PRIORITY, sets.PRIORITIES[:4])} AS code FROM orders",
     "class_onehot": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::double AS c0,
 CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END::double AS c1,
@@ -583,6 +586,7 @@ FROM train, range(0, 10) r(k) GROUP BY k""",
         + " FROM train GROUP BY label",
     ),
     "single_nb_accuracy": with_(DOCUMENTS.single(), score(full=False)),
+    "accuracy_observed": with_(DOCUMENTS.single(), score(full=False)),
     "single_nb_lineitem": with_(DOMINANT.single(), score(full=False)),
     "accuracy_rounded": with_(
         DOCUMENTS.single(),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.checks import datasets as sets
@@ -20,6 +20,8 @@ from quorum.functions.encode import (
 from quorum.functions.vote import plurality_vote, vote_counts
 from quorum.operators import prepare, sampling
 from quorum.operators.blocks import pack
+from quorum.operators.durable import shared_folder
+from quorum.operators.evaluate import observe_accuracy, observed_accuracy
 from quorum.operators.logistic import member_sums
 from quorum.operators.models import TreeModel
 from quorum.operators.naive_bayes import grouped_sums
@@ -46,6 +48,8 @@ TREE = ModelSpec.of("DT", 3, 3, 64)
 STUMP = ModelSpec.of("DT", 3, 1, 64)
 BAGS = 3
 FIT_PARALLELISM = 4
+REPORT = ("rows", "wrong_field_count", "bad_number", "unknown_nominal", "unknown_class", "example")
+KEEL_REPORT = ", ".join(f"{c} {'string' if c == 'example' else 'long'}" for c in REPORT)
 
 
 def _slots(array: str, n: int, prefix: str) -> list:
@@ -101,11 +105,26 @@ def keel_count(spark, sf_dir):
     return data_lines(lines).agg(F.count("*").alias("n"))
 
 
-def keel_load_report(spark, sf_dir):
-    meta = _keel_meta(sets.orders_lines(spark, sf_dir))
+def _narrower(meta: DatasetMeta) -> DatasetMeta:
+    """Without the last value and the last class, so that rows are undeclared."""
     price, priority = meta.inputs
-    narrower = DatasetMeta((price, nominal(priority.name, priority.values[:-1])), meta.classes[:-1])
-    return load_report(sets.orders_lines(spark, sf_dir), narrower)
+    return DatasetMeta((price, nominal(priority.name, priority.values[:-1])), meta.classes[:-1])
+
+
+def keel_load_report(spark, sf_dir):
+    lines = sets.orders_lines(spark, sf_dir)
+    return load_report(lines, _narrower(_keel_meta(lines)))
+
+
+def keel_load_observed(spark, sf_dir):
+    """The same counts, taken while the rows that parse are written."""
+    lines = sets.orders_lines(spark, sf_dir)
+    report = Observation("load")
+    ds = parse_keel(lines, _narrower(_keel_meta(lines)), key=["row_id"], on_bad_row="drop", report=report)
+    path = shared_folder(spark, "loaded")
+    ds.frame.write.parquet(path)
+    counted = spark.createDataFrame([tuple(report.get[c] for c in REPORT)], KEEL_REPORT)
+    return counted.withColumn("kept", F.lit(spark.read.parquet(path).count()).cast("long"))
 
 
 def dataset_summary(spark, sf_dir):
@@ -242,6 +261,14 @@ def single_nb_accuracy(spark, sf_dir):
     return _single_nb(spark, sf_dir).accuracy().select("right", "total", "accuracy")
 
 
+def accuracy_observed(spark, sf_dir):
+    """The score from the pass that writes the predictions."""
+    seen = Observation("score")
+    scored = observe_accuracy(_single_nb(spark, sf_dir).predictions, seen)
+    scored.write.parquet(shared_folder(spark, "predictions"))
+    return observed_accuracy(spark, seen).select("right", "total", "accuracy")
+
+
 def single_nb_lineitem(spark, sf_dir):
     result = single_model(sets.lineitem_dominant(spark, sf_dir), NB)
     return result.accuracy().select("right", "total", "accuracy")
@@ -465,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keel_declarations": keel_declarations,
     "keel_count": keel_count,
     "keel_load_report": keel_load_report,
+    "keel_load_observed": keel_load_observed,
     "nominal_encode": nominal_encode,
     "class_onehot": class_one_hot,
     "label_from_onehot": label_from_one_hot,
@@ -484,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wide_nb_predict": wide_nb_predict,
     "wide_nb_sums": wide_nb_sums,
     "single_nb_accuracy": single_nb_accuracy,
+    "accuracy_observed": accuracy_observed,
     "single_nb_lineitem": single_nb_lineitem,
     "accuracy_rounded": accuracy_rounded,
     "lr_predict": lr_predict,

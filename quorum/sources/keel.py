@@ -22,7 +22,7 @@ from collections.abc import Iterable, Sequence
 from itertools import zip_longest
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quorum.functions.encode import (
@@ -193,6 +193,7 @@ def parse_keel(
     compat: bool = True,
     trim_line_ends: bool | None = None,
     name: str = "",
+    report: Observation | None = None,
 ) -> Dataset:
     """Rows of a text set as a :class:`Dataset`.
 
@@ -200,7 +201,8 @@ def parse_keel(
     runs then draw for every row by itself, also where lines are equal, and write the draws
     down once. ``key="content"`` makes ``row_id`` a digest of the line, so that equal lines
     share their draws. ``on_bad_row="drop"`` leaves out rows that do not parse instead of
-    raising (with the line in the message).
+    raising (with the line in the message). ``report`` takes the counts of :func:`load_report`
+    along in the first action on the whole frame, which saves a second read of the lines.
     """
     if on_bad_row not in ("raise", "drop"):
         raise ValueError("on_bad_row must be 'raise' or 'drop'")
@@ -211,6 +213,8 @@ def parse_keel(
         key = ["row_id"]
     key = list(key or ())
     rows = _parsed_fields(lines, meta, key, value, trim_ends)
+    if report is not None:
+        rows = rows.observe(report, *_report_columns(meta, value))
     real_output = meta.output_kind == REAL
     bad_number = F.exists("_x", lambda x: x.isNull())
     bad_class = F.col("_c").isNull() if real_output else F.col("_c") < 0
@@ -249,7 +253,10 @@ def load_report(
     lines: DataFrame, meta: DatasetMeta, value: str = "value", compat: bool = True
 ) -> DataFrame:
     """One row that counts what a load would reject or mark, from one pass."""
-    rows = _parsed_fields(lines, meta, [], value, trim_ends=not compat)
+    return _parsed_fields(lines, meta, [], value, trim_ends=not compat).agg(*_report_columns(meta, value))
+
+
+def _report_columns(meta: DatasetMeta, value: str) -> list[Column]:
     bad_number = F.exists("_x", lambda x: x.isNull())
     flags = literal_array([a.kind != REAL for a in meta.inputs])
     unknown = F.zip_with("_x", flags, lambda x, is_nominal: is_nominal & (x < 0))
@@ -261,14 +268,14 @@ def load_report(
         unknown_class = F.col("_c") < 0
     ok = F.col("_ok")
     bad = ~ok | bad_number | unknown_class
-    return rows.agg(
+    return [
         F.count("*").alias("rows"),
         F.count_if(~ok).alias("wrong_field_count"),
         F.count_if(ok & bad_number).alias("bad_number"),
         F.count_if(ok & unknown_nominal).alias("unknown_nominal"),
         F.count_if(ok & unknown_class).alias("unknown_class"),
         F.min(F.when(bad, F.col(value))).alias("example"),
-    )
+    ]
 
 
 def read_header(spark: SparkSession, path: str, header_path: str | None = None) -> list[str]:
