@@ -72,6 +72,17 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _STORED.remove(path)
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores added until no column of the frame, in any case, is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, everything else as it is. ``lower`` is far cheaper than
     ``translate`` and means the same where the text has nothing beyond ASCII."""

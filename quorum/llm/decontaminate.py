@@ -6,13 +6,14 @@ windows that may be in it, which are then looked up in the set and verified word
 Nothing but those candidates leaves the row, so the scan has no shuffle in proportion to the
 text.
 
-The set is broadcast while it has at most BROADCAST_WINDOWS windows; a larger one is joined by
-shuffling the candidates.
+The set is broadcast while it has at most BROADCAST_WINDOWS windows and BROADCAST_BYTES of words
+and item ids; a larger one is joined by shuffling the candidates.
 
 * null text has no words; a text or item without words is never hit.
 * items with fewer words than a window are one window of their own length.
 * repeated rows (documents or items) are treated one by one; null item ids are not reported.
-* extra columns stay; the result columns replace columns of the same name. Empty tables: an
+* extra columns stay, whatever their names: they travel as one struct. The result columns replace
+  columns of the same name. Empty tables: an
   empty benchmark hits nothing, empty documents give an empty result.
 """
 
@@ -21,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import lower_ascii
+from quorum.llm.common import lower_ascii, unused_names
 
 WINDOW = 10
 #: Fixed value: the characters of a word, after A-Z are in lower case.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS = 500_000
+BROADCAST_BYTES = 256 << 20
 #: The bitmap has at least 32 bits for each window, up to this many in all (1 MB).
 MAX_BITMAP_BITS = 23
 RESULT = ["n_words", "n_hit", "n_items", "item_ids", "hits"]
@@ -84,14 +86,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     ``text`` is not returned. The other columns go through one shuffle with the hits; pass
     only those needed.
     """
-    docs = docs.drop(*RESULT)
+    kept = [c for c in docs.columns if c not in (*RESULT, "text")]
     windows = windows_of(benchmark, window)
-    found = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("length").alias("lengths")).first()
+    size = F.octet_length(F.to_json(F.struct("gram", "items")))
+    found = windows.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.collect_set("length").alias("lengths")
+    ).first()
     lengths = sorted(found["lengths"])  # at most ``window`` numbers
     bits = min(MAX_BITMAP_BITS, max(12, (32 * found["n"]).bit_length()))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", words_of(F.col("text")))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in kept]).alias("own"), words_of(docs["text"]).alias("_w"), F.monotonically_increasing_id().alias("_row")
+    )
     rows = rows.withColumn("_bitmap", _bitmap(windows, bits))
-    kept = [c for c in docs.columns if c != "text"]
 
     def candidates(n: int) -> Column:
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1))
@@ -108,21 +114,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     found_here = F.concat(*[candidates(n) for n in lengths]) if lengths else F.array().cast(
         "array<struct<at:int,length:int,hash:bigint,gram:array<string>>>"
     )
-    rows = rows.select("_row", *kept, F.size("_w").cast("long").alias("n_words"), found_here.alias("_c"))
-    rows = rows.select("_row", *kept, "n_words", F.explode_outer("_c").alias("_c"))
-    rows = rows.select("_row", *kept, "n_words", "_c.*")
-    if found["n"] <= BROADCAST_WINDOWS:
+    rows = rows.select("_row", "own", F.size("_w").cast("long").alias("n_words"), found_here.alias("_c"))
+    rows = rows.select("_row", "own", "n_words", F.explode_outer("_c").alias("_c"))
+    rows = rows.select("_row", "own", "n_words", "_c.*")
+    if found["n"] <= BROADCAST_WINDOWS and found["bytes"] <= BROADCAST_BYTES:
         windows = F.broadcast(windows)
     # The word arrays themselves are compared: equal hashes alone are no hit.
     matched = rows.join(windows, ["hash", "length", "gram"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct((F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("length")).alias("end")))
     per_row = matched.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in [*kept, "n_words"]],
+        F.first("own").alias("own"),
+        F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_set(hit)).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))).cast("array<string>")).alias("item_ids"),
     )
     return per_row.select(
-        *kept,
+        *[F.col("own")[c].alias(c) for c in kept],
         "n_words",
         _covered(F.col("hits")).alias("n_hit"),
         F.size("item_ids").cast("long").alias("n_items"),
@@ -134,18 +141,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 def _leaked(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[Column]]:
     """``docs`` with a hash of the text, the documents with hits by id and that hash, once each,
     and the condition that joins them. Texts stay out of the search: they are not shuffled with it."""
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    found = find_leaks(marked.select("doc_id", "_text_key", "text"), benchmark, window).filter("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"), F.col("hits").alias("_hits"))
-    found = found.dropDuplicates(["_id", "_key"])
-    on = [marked["_text_key"] == found["_key"], marked["doc_id"].eqNullSafe(found["_id"])]
+    key, at, same, hits = unused_names(docs, "_text_key", "_id", "_key", "_hits")
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    found = find_leaks(marked.select("doc_id", key, "text"), benchmark, window).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias(at), F.col(key).alias(same), F.col("hits").alias(hits))
+    found = found.dropDuplicates([at, same])
+    on = [marked[key] == found[same], marked["doc_id"].eqNullSafe(found[at])]
     return marked, found, on
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; columns as they were."""
     marked, found, on = _leaked(docs, benchmark, window)
-    return marked.join(found, on, "left_anti").drop("_text_key")
+    return marked.join(found, on, "left_anti").select(*docs.columns)
 
 
 def cut_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -153,14 +161,15 @@ def cut_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     words stays. Untouched texts are returned as they were."""
     marked, found, on = _leaked(docs, benchmark, window)
     joined = marked.join(found, on, "left")
+    hits = found.columns[-1]
     # The same words in their own case: only A-Z differ, so the pattern takes them as well.
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     words = F.regexp_extract_all("text", F.lit(word), F.lit(0))
     gaps = F.split("text", word, -1)
     number = F.sequence(F.lit(0), F.size(words) - 1)
     kept_words = F.zip_with(
-        words, number, lambda w, i: F.when(F.exists("_hits", lambda h: (h["start"] <= i) & (i < h["end"])), "").otherwise(w)
+        words, number, lambda w, i: F.when(F.exists(hits, lambda h: (h["start"] <= i) & (i < h["end"])), "").otherwise(w)
     )
     tail = F.zip_with(kept_words, F.slice(gaps, 2, F.size(words)), lambda w, g: F.concat(w, g))
-    cut = F.when(F.col("_hits").isNotNull(), F.concat(gaps[0], F.array_join(tail, ""))).otherwise(F.col("text"))
+    cut = F.when(F.col(hits).isNotNull(), F.concat(gaps[0], F.array_join(tail, ""))).otherwise(F.col("text"))
     return joined.withColumn("text", cut).select(*docs.columns)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bitmap_of, map_batches, skew_join, stored
+from quorum.llm.common import bitmap_of, map_batches, skew_join, stored, unused_names
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -185,9 +185,9 @@ def classes(docs: DataFrame, primes=PRIMES, bases=BASES) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text an earlier one has; all columns of the others."""
-    kept = classes(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    digest = F.sha2(normalised(F.col("text")), 256)
-    marked = docs.withColumn("_text_sha", digest)
-    on = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_sha"] == kept["_sha"])
+    sha, at, same = unused_names(docs, "_text_sha", "_id", "_sha")
+    kept = classes(docs).filter("kept").select(F.col("doc_id").alias(at), F.col("text_sha256").alias(same))
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    on = marked["doc_id"].eqNullSafe(kept[at]) & (marked[sha] == kept[same])
     # Rows that repeat both id and text are the same to the join: one of them stays.
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", sha]).select(*docs.columns)

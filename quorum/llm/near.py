@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bitmap_of, connected_components, map_batches, mix, skew_join, stored
+from quorum.llm.common import bitmap_of, connected_components, map_batches, mix, skew_join, stored, unused_names
 
 #: Cells of a block: far more than there are shingles in it, so that unrelated blocks differ.
 #: Sketches are sparse, and only the cells with a bit are ever held.
@@ -474,10 +474,11 @@ def _next_pairs(left: DataFrame, tested: DataFrame):
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the first document (smallest id) of every component; all columns.
     Rows that repeat both id and text count as one."""
-    marked = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = components(marked, shingle, num, den, keep=("_text_key",))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_text_key", "rid"))
-    stays = found.groupBy("component").agg(first.alias("f")).select("f.doc_id", "f._text_key")
-    kept = stays.select(F.col("doc_id").alias("_id"), F.col("_text_key").alias("_key"))
-    on = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_text_key"] == kept["_key"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    key, at, same = unused_names(docs, "_text_key", "_id", "_key")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = components(marked, shingle, num, den, keep=(key,))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", key, "rid"))
+    stays = found.groupBy("component").agg(first.alias("f")).select("f.doc_id", f"f.{key}")
+    kept = stays.select(F.col("doc_id").alias(at), F.col(key).alias(same))
+    on = marked["doc_id"].eqNullSafe(kept[at]) & (marked[key] == kept[same])
+    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)

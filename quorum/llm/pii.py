@@ -1,15 +1,20 @@
 """Personal data by fixed patterns and by contexts learned from what these find.
 
-Fixed patterns find the *base* spans. Their instances seed a bootstrap: the words before an
-instance are a *pattern*; other identifier-like tokens that stand behind the same words are
-instances of it as well. Patterns and instances form a graph that Spark scores in turns:
-
-* a pattern's confidence is the mean score of its distinct instances;
-* an instance's score is the highest confidence of its patterns; seeds keep score 1.
-
-Patterns with at least MIN_SEEDS distinct seeds and a confidence of at least MIN_CONFIDENCE after
-the last turn are trusted: every token behind them is a span of the kind of their seeds, unless
-it overlaps a base span. All rows take part, in counts that combine before they are shuffled.
+Fixed patterns find the *base* spans. Their instances seed a bootstrap, as do long hexadecimal
+tokens that are assigned as quoted values (kind ``secret``): the words before an instance are a
+*pattern*; other identifier-like tokens that stand behind the same words are instances of it as
+well. Patterns and instances form a graph that Spark scores in turns, for each kind by itself:
+
+* a pattern's confidence is the mean score of its distinct instances; it is trusted once that is
+  at least MIN_CONFIDENCE and at least MIN_SEEDS of them have a score;
+* an instance's score is the highest confidence of its trusted patterns, 0 without one; seeds
+  keep 1 for their own kind and 0 for the others.
+
+So what one pattern finds can induce the next in the following turn, and a pattern that isn't
+trusted lends nothing to its instances, and hence nothing to itself. Every token behind a pattern
+that is trusted in the last turn is a span of its most confident kind (ties: the first of
+SEED_KINDS), unless it overlaps a base span. A secret's shape alone is no span; its context has
+to be trusted. All rows take part, in sums that combine before they are shuffled.
 
 DataFrame functions only. Positions come from the lengths of the pieces between matches, and
 are added up by a window over a row's matches, so a text with very many of them stays linear.
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import skew_join, stored
+from quorum.llm.common import release, skew_join, stored, stored_mark, stored_since
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -41,6 +46,11 @@ NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": "\\+"}
 #: Identifier-like: a token of letters, digits and joining marks with a digit in it.
 TOKEN = r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*+[0-9])[A-Za-z0-9._@+-]{5,}+"
 TOKEN_KIND = "token"
+SECRET_KIND = "secret"
+SEED_KINDS = (*KINDS, SECRET_KIND)
+#: Secrets that seed: hexadecimal tokens with letters and digits, assigned as a quoted value.
+SECRET = r"^(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+$"
+ASSIGNED = r"[=:]\s*+[\"']$"
 #: Characters before an instance that may belong to its pattern, and how many words do.
 CONTEXT_CHARS = 60
 #: So many matches before one fill its context, even the shortest: two characters, one between.
@@ -119,42 +129,57 @@ def _pattern(before: Column) -> Column:
     return F.when(words != "", words)
 
 
+def _seed_kind(kind: Column, found: Column, before: Column) -> Column:
+    """The kind an occurrence is a seed of, or null."""
+    secret = found.rlike(SECRET) & before.rlike(ASSIGNED)
+    return F.when(kind != TOKEN_KIND, kind).when(secret, SECRET_KIND)
+
+
 def trusted_patterns(spans: DataFrame) -> DataFrame:
-    """``pattern``, ``as_kind``, ``confidence`` of the contexts that the base spans vouch for."""
+    """``pattern``, ``as_kind``, ``confidence`` of the contexts that seeds, and what these led to,
+    vouch for."""
     seen = spans.filter(F.col("kind").isNotNull()).select(
-        _pattern(F.col("before")).alias("pattern"), F.lower("found").alias("instance"), "kind"
-    )
-    edges = seen.filter(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(
-        F.min(F.when(F.col("kind") != TOKEN_KIND, F.col("kind"))).alias("seed")
+        _pattern(F.col("before")).alias("pattern"),
+        F.lower("found").alias("instance"),
+        _seed_kind(F.col("kind"), F.col("found"), F.col("before")).alias("seed"),
     )
-    edges = stored(edges)
-    vouched = edges.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.mode("seed").alias("as_kind"))
-    # Contexts without enough seeds can never be trusted: the graph is that of the others.
-    vouched = stored(vouched.filter(F.col("seeds") >= MIN_SEEDS))
-    graph = stored(skew_join(edges, vouched, "pattern", "inner"))
-    scores = graph.groupBy("instance").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
-    scores = stored(scores)
+    is_seed = [F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(k) for k in SEED_KINDS]
+    edges = stored(seen.filter(F.col("pattern").isNotNull()).groupBy("pattern", "instance").agg(*is_seed))
+    # A context of fewer instances can never have enough seeds: the graph is that of the others.
+    enough = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_SEEDS)
+    graph = stored(skew_join(edges, stored(enough.select("pattern")), "pattern", "inner"))
+    scores = graph.groupBy("instance").agg(*[F.max(k).alias(k) for k in SEED_KINDS])
+    scores = stored(scores.withColumn("is_seed", F.greatest(*SEED_KINDS) == 1.0))
+    links = graph.select("pattern", "instance")
+    trust = [(F.count_if(F.col(k) > 0) >= MIN_SEEDS) & (F.avg(k) >= MIN_CONFIDENCE) for k in SEED_KINDS]
     for _ in range(TURNS):
-        scored = stored(skew_join(graph, scores, "instance", "inner"))
-        confidence = stored(scored.groupBy("pattern").agg(F.avg("score").alias("confidence")))
-        best = skew_join(scored, confidence, "pattern", "inner").groupBy("instance")
-        scores = best.agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("confidence"))).alias("score"))
-        scores = stored(scores)
-    return vouched.join(confidence, "pattern").filter(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "as_kind", "confidence")
+        scored = stored(skew_join(links, scores, "instance", "inner"))
+        vouched = [F.when(t, F.avg(k)).otherwise(0.0).alias(f"by_{k}") for k, t in zip(SEED_KINDS, trust)]
+        confidence = stored(scored.groupBy("pattern").agg(*vouched))
+        best = skew_join(scored, confidence, "pattern", "inner").groupBy("instance", "is_seed")
+        found = best.agg(*[F.max(k).alias(k) for k in SEED_KINDS], *[F.max(f"by_{k}").alias(f"by_{k}") for k in SEED_KINDS])
+        grown = [F.when(F.col("is_seed"), F.col(k)).otherwise(F.greatest(k, f"by_{k}")).alias(k) for k in SEED_KINDS]
+        scores = stored(found.select("instance", "is_seed", *grown))
+    top = F.greatest(*[f"by_{k}" for k in SEED_KINDS])
+    as_kind = F.coalesce(*[F.when(F.col(f"by_{k}") == F.col("confidence"), k) for k in SEED_KINDS])
+    trusted = confidence.withColumn("confidence", top).filter(F.col("confidence") > 0)
+    return trusted.select("pattern", as_kind.alias("as_kind"), "confidence")
 
 
 def find(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, ``base`` and ``spans``, both sorted arrays of
     (``rank`` of the kind, ``start``, ``end``, ``kind``)."""
     spans = stored(_all_matches(docs, id_column))
+    mark = stored_mark()
     trusted = stored(trusted_patterns(spans).select("pattern", "as_kind"))
+    release(docs.sparkSession, stored_since(mark)[:-1])  # the turns' own tables
     tokens = spans.filter(F.col("kind") == TOKEN_KIND).withColumn("pattern", _pattern(F.col("before")))
     base = spans.filter(F.col("kind").isNull() | (F.col("kind") != TOKEN_KIND))
     found = skew_join(tokens.filter(F.col("pattern").isNotNull()), trusted, "pattern", "inner").select(
         "row", id_column, F.col("as_kind").alias("kind"), "start", "end", F.lit(True).alias("learned")
     )
     rows = base.select("row", id_column, "kind", "start", "end", F.lit(False).alias("learned")).unionByName(found)
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    rank = F.array_position(F.array(*map(F.lit, SEED_KINDS)), F.col("kind")).cast("int")
     span = F.struct(rank.alias("rank"), "start", "end", "kind")
     per_row = rows.groupBy("row").agg(
         F.first(id_column).alias(id_column),

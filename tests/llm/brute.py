@@ -45,6 +45,51 @@ def base_spans(text: str | None) -> list[str]:
     ]
 
 
+SEED_KINDS = (*KINDS, "secret")
+TOKEN = re.compile(r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z._@+-]*[0-9])[A-Za-z0-9._@+-]{5,}")
+
+
+def all_spans(texts: dict, turns=3, least=3, confident=0.8) -> dict:
+    """id: base spans, then those of trusted contexts, by kind and start, spelled out."""
+    seen, edges, tokens = {}, {}, []
+    for d, text in texts.items():
+        text = text or ""
+        matches = [(k, m) for k in KINDS for m in BASE[k].finditer(text) if valid(k, m.group())]
+        seen[d] = sorted((SEED_KINDS.index(k), m.start(), m.end()) for k, m in matches)
+        for kind, m in [*matches, *((None, m) for m in TOKEN.finditer(text))]:
+            before = text[max(0, m.start() - 60) : m.start()]
+            words = re.search(r"(?:^|\s)(\S+\s+\S+?)\s*[\"'(:=]*$", before.lower())
+            pattern = words and re.sub("[0-9]", "0", re.sub(r"\s+", " ", words[1]))
+            if not pattern:
+                continue
+            if kind is None:
+                tokens.append((d, m.start(), m.end(), pattern))
+                hexadecimal = re.fullmatch("[0-9A-Fa-f]{32,}", m.group()) and re.search("[A-Fa-f]", m.group())
+                kind = "secret" if hexadecimal and re.search(r"[=:]\s*[\"']$", before) else None
+            edges.setdefault(pattern, {}).setdefault(m.group().lower(), set()).add(kind)
+    edges = {p: found for p, found in edges.items() if len(found) >= least}
+    seeds = {}
+    for found in edges.values():
+        for instance, kinds in found.items():
+            seeds.setdefault(instance, set()).update(kinds - {None})
+    scores = {i: {k: float(k in kinds) for k in SEED_KINDS} for i, kinds in seeds.items()}
+    for _ in range(turns):
+        confidence = {}
+        for p, found in edges.items():
+            for k in SEED_KINDS:
+                of_kind = [scores[i][k] for i in found]
+                mean = sum(of_kind) / len(of_kind)
+                confidence[p, k] = mean if mean >= confident and sum(s > 0 for s in of_kind) >= least else 0.0
+        for i in (i for i, kinds in seeds.items() if not kinds):
+            scores[i] = {k: max(confidence[p, k] for p in edges if i in edges[p]) for k in SEED_KINDS}
+    for d, start, end, p in tokens:
+        kind = max(SEED_KINDS, key=lambda k: confidence.get((p, k), 0.0))
+        taken = any(a < end and start < b for r, a, b in seen[d] if r < len(KINDS))
+        if confidence.get((p, kind), 0.0) and not taken:
+            seen[d].append((SEED_KINDS.index(kind), start, end))
+    return {d: [f"{SEED_KINDS[r]}:{a}:{b}" for r, a, b in sorted(spans)] for d, spans in seen.items()}
+
+
 def shingle_set(text: str | None, size: int) -> frozenset:
     words = [w for w in SPACES.split((text or "").translate(UPPER)) if w]
     if len(words) < size:

@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 import corpus_pipeline
 from quorum.llm import bpe, chat, decontaminate, exact, html_text, idfiles, language, near, pii, quality
 from quorum.llm.common import shared_path
@@ -26,6 +27,8 @@ ROWS = [
 ]
 #: Columns with the names that operators make.
 CLASH = ["score", "tokens", "decoded", "n_hit", "hits", "lang_pred", "rid", "node", "kept", "_row", "n_words", "predicted"]
+#: Working names of the leak search.
+CLASH += ["_c", "_w", "_bitmap", "_text_key", "_text_sha", "_key", "_id", "hash", "length", "at", "items", "gram", "own"]
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +38,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def wide(docs):
-    return docs.withColumns({c: F.lit("mine") for c in CLASH if c != "_row"})
+    return docs.withColumns({c: F.lit("mine") for c in CLASH})
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +107,7 @@ def test_exact(spark, docs, wide, empty):
     assert (False, 1, 1, 3, True) in got and (False, 1, 1, 3, False) in got and (False, 2, 1, 3, False) in got
     empties = [r for r in rows if r["keep_id"] == 3]
     assert len(empties) == 3 and sum(r["kept"] for r in empties) == 1
+    assert {r[c] for r in exact.drop_duplicates(wide).collect() for c in CLASH} == {"mine"}
     kept = exact.drop_duplicates(docs)
     assert kept.columns == docs.columns and ids(kept) == [1, 3, 5, 6, 7, None]
     assert exact.classes(empty).count() == 0 and exact.drop_duplicates(empty).count() == 0
@@ -122,6 +126,7 @@ def test_near(spark, docs, wide, empty):
     assert ids(near.components(docs, 4, 85, 100)) == ALL_IDS
     assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert all(r["component_id"] == r["doc_id"] for r in rows if r["n_shingles"] == 0)
+    assert {r[c] for r in near.drop_near_duplicates(wide).collect() for c in CLASH} == {"mine"}
     kept = near.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and ids(kept) == [1, 3, 4, 5, 6, 7, None, None]
     assert near.components(empty).count() == 0 and near.drop_near_duplicates(empty).count() == 0
@@ -132,6 +137,11 @@ def test_decontaminate(spark, docs, wide, empty):
     rows = decontaminate.find_leaks(wide, bench).collect()
     assert sorted((r["n_hit"], r["n_items"]) for r in rows)[-4:] == [(1, 0), (6, 1), (6, 1), (6, 1)]
     assert {r["score"] for r in rows} == {"mine"}
+    assert {r[c] for r in rows for c in CLASH if c not in decontaminate.RESULT} == {"mine"}
+    kept = decontaminate.drop_leaked(wide, bench)
+    assert kept.columns == wide.columns and {r[c] for r in kept.collect() for c in CLASH} == {"mine"}
+    cut = decontaminate.cut_leaked(wide, bench)
+    assert cut.columns == wide.columns and {r[c] for r in cut.collect() for c in CLASH} == {"mine"}
     assert ids(decontaminate.drop_leaked(docs, bench)) == [3, 4, 5, 6, 7, None]
     assert decontaminate.find_leaks(empty, bench).count() == 0
     nothing = benchmark_of(spark, ())
@@ -202,19 +212,43 @@ def test_pii_learns_in_records(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in rows[100]["spans"]] == [("phone", 17, 26)]
 
 
+def spelled(rows):
+    return {r["doc_id"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]] for r in rows}
+
+
 def test_pii_learns_contexts(spark):
-    seeds = [(i, f"reach me by mail: user{i}@mail.example.org thanks") for i in range(8)]
-    new = [(100 + i, f"reach me by mail: user{i}-at-home{i} thanks") for i in range(3)]
-    other = [(200 + i, f"the model number: x{i}00-{i} is out") for i in range(9)]
-    df = spark.createDataFrame(seeds + new + other, "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pii.find(df).collect()}
-    assert all(len(rows[d]["base"]) == 1 == len(rows[d]["spans"]) for d, _ in seeds)
-    assert all(not rows[d]["base"] and not rows[d]["spans"] for d, _ in other)
-    text = dict(new)
-    if len(seeds) / (len(seeds) + len(new)) >= pii.MIN_CONFIDENCE or any(rows[d]["spans"] for d, _ in new):
-        for d, _ in new:
-            (span,) = rows[d]["spans"]
-            assert span["kind"] == "email" and text[d][span["start"] : span["end"]].startswith("user")
+    """14 of 17 instances are seeds, enough to trust the context; 8 of 11 are not."""
+    where = ((14, "reach me by mail: {} thanks"), (8, "he wrote to: {} once"))
+    seeds = [(1000 * k + i, f.format(f"user{i}@mail.example.org")) for k, (n, f) in enumerate(where) for i in range(n)]
+    new = [(1000 * k + 100 + i, f.format(f"user{i}-at-home{k}")) for k, (_, f) in enumerate(where) for i in range(3)]
+    other = [(2000 + i, f"the model number: x{i}00-{i} is out") for i in range(9)]
+    rows = pii.find(spark.createDataFrame(seeds + new + other, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows if r["base"]} == {d for d, _ in seeds}
+    found = spelled(rows)
+    assert all(found[d] == ([f"email:18:{len(text) - 7}"] if d < 1000 else []) for d, text in new)
+    assert all(not found[d] for d, _ in other)
+    assert found == brute.all_spans(dict(seeds + new + other))
+
+
+def test_pii_bootstraps_in_turns(spark):
+    """Secrets of the seeds' shape induce a context, its other secrets the next one; a context that
+    holds as many other things induces none, nor does a hexadecimal number that is not assigned."""
+    digits = [f"{i:04x}" * 2 + "0123456789abcdef0123456789abcdef" for i in range(50)]
+    texts = [f'set token = "{d}" here' for d in digits]
+    hops = [*(f"key-{i}-hop" for i in range(5)), *(f"AKIA{i}XY" for i in range(5))]
+    hop = [f"set token = {t}" for t in hops]
+    hop += [f"signed in as {t}" for t in (*hops, "qq-77-zz")]
+    hop += ["renewed after expiry qq-77-zz"]
+    mixed = [f"the checksum is {d[::-1]}" for d in digits] + [f"build of {i}.{i}.{i}.{i} and build of host-{i}-{i}" for i in range(9)]
+    docs = dict(enumerate(texts + hop + mixed + ["", None]))
+    rows = pii.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    found = spelled(rows)
+    assert found == brute.all_spans(docs)
+    by_text = {docs[d]: [s.split(":")[0] for s in spans] for d, spans in found.items() if docs[d]}
+    assert by_text[texts[0]] == by_text["set token = key-0-hop"] == by_text["signed in as AKIA0XY"] == ["secret"]
+    assert by_text["signed in as qq-77-zz"] == ["secret"]
+    assert by_text["renewed after expiry qq-77-zz"] == by_text[mixed[0]] == []
+    assert by_text[mixed[-1]] == ["ip"]
 
 
 def test_html(spark):

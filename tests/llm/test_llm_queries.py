@@ -1,6 +1,7 @@
 """Every query of the folder against SQL or a plain version, at the smallest scale."""
 
 import hashlib
+import re
 import zlib
 
 import brute
@@ -83,6 +84,18 @@ def test_base_spans_equal_the_plain_patterns(spark):
         assert set(expected) <= set(r["spans"].split(",")) or not expected
 
 
+def test_secrets_are_learned(spark):
+    """Every assigned secret of the table is found through its context, and nothing else is learned."""
+    texts = dict(duck(SF).sql("SELECT doc_id, text FROM documents").fetchall())
+    rows = {r["doc_id"]: [s for s in r["spans"].split(",") if s] for r in QUERIES["op6_bootstrapped_pii"](spark, SF).collect()}
+    assert rows == brute.all_spans(texts)
+    learned = {(d, s) for d, spans in rows.items() for s in spans if s.startswith("secret:")}
+    planted = {
+        (d, f"secret:{m.start(1)}:{m.end(1)}") for d, t in texts.items() for m in re.finditer(r'\btoken = "(\w+)"', t or "", re.I)
+    }
+    assert planted and learned == planted
+
+
 def test_quality_of_held_out_documents(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op7_quality_classifier"](spark, SF).collect()}
     labels = duck(SF).sql("SELECT doc_id, quality FROM labels").fetchall()
