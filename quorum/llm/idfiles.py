@@ -20,11 +20,11 @@ order (null ids first, texts of one id in the order of a hash).
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -118,12 +118,12 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)")
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)").search
         merge = self.tokenizer.model.tokenize
         self.words = Remembered(lambda word: id_bytes([t.id for t in merge(word)]))
 
     def __call__(self, piece: str) -> bytes:
-        if (not piece.isascii() and max(piece) >= LATIN_END) or self.special.search(piece):
+        if (not piece.isascii() and max(piece) >= LATIN_END) or self.special(piece):
             return id_bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         self.words.turn()
         return b"".join(map(self.words.__getitem__, latin_words(piece)))

@@ -277,3 +277,14 @@ def test_stored_tables_can_be_released(spark):
     assert common.stored_mark() == mark
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0]).count()
+
+
+def test_ascii_words_are_the_tokenizers_words():
+    """The plain module's pattern cuts ASCII text as the tokenizer's own does."""
+    random = np.random.default_rng(5)
+    for n in (1, 3, 40, 2000):
+        for _ in range(300):
+            text = bytes(random.integers(0, 128, n, np.uint8)).decode().lower()
+            assert bpe.ASCII_WORDS(text) == bpe.WORD.findall(text)
+    for text in ("it's we'll o'd 'S'T a'lll 12ab3", "\x00\x1c\x1f\x7f a\x0bb"):
+        assert bpe.ASCII_WORDS(text) == bpe.WORD.findall(text)
