@@ -286,5 +286,5 @@ def test_ascii_words_are_the_tokenizers_words():
         for _ in range(300):
             text = bytes(random.integers(0, 128, n, np.uint8)).decode().lower()
             assert bpe.ASCII_WORDS(text) == bpe.WORD.findall(text)
-    for text in ("it's we'll o'd 'S'T a'lll 12ab3", "\x00\x1c\x1f\x7f a\x0bb"):
+    for text in ("it's we'll o'd 's't a'lll 12ab3", "\x00\x1c\x1f\x7f a\x0bb"):
         assert bpe.ASCII_WORDS(text) == bpe.WORD.findall(text)
