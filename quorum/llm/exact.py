@@ -2,8 +2,9 @@
 
 A text's bytes are coefficients of a polynomial, evaluated at a fixed point modulo two primes.
 A chunk's value is one vector product; two neighbours combine by shifting the left value by
-the right one's length (``combine``), so chunks of a huge text are hashed independently and in
-parallel. Texts whose fingerprints are equal are then compared chunk by chunk: the copies of a
+the right one's length (``combine``). A text of up to LONG_BYTES is folded where it stands; the
+chunks of a longer one are dealt to the tasks by themselves, hashed there and shifted by the
+bytes behind them, and meet in a grouped sum. Texts whose fingerprints are equal are then compared chunk by chunk: the copies of a
 chunk meet in a grouped minimum and maximum, which combine before the shuffle, so no task ever
 holds a group or even two whole texts.
 
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quorum.llm.common import bitmap_of, map_batches, skew_join, stored, unused_names
 
@@ -26,6 +28,8 @@ PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
 #: Bytes of a chunk. A product of a byte and a power is below 2**39, so a chunk sums exactly.
 CHUNK_BYTES = 1 << 14
+#: Texts of more bytes are hashed by many tasks. A matter of work alone: both ways give one value.
+LONG_BYTES = 1 << 20
 
 KEY = ["n_bytes", "fp"]
 
@@ -91,6 +95,48 @@ def _fingerprints(primes, bases):
     return run
 
 
+def _shifted(primes, bases):
+    """The values of chunks of long texts, each shifted by the bytes of its text behind it."""
+
+    def run(batches):
+        powers = [_powers(b, p) for b, p in zip(bases, primes)]
+        for batch in batches:
+            at = {name: batch.column(name) for name in ("data", "chunk", "n_bytes")}
+            values: list[list[int]] = [[] for _ in primes]
+            for data, chunk, n_bytes in zip(at["data"], at["chunk"].to_pylist(), at["n_bytes"].to_pylist()):
+                array = np.frombuffer(data.as_py(), np.uint8)
+                behind = n_bytes - chunk * CHUNK_BYTES - len(array)
+                for out, power, prime, base in zip(values, powers, primes, bases):
+                    out.append(combine(int(chunk_hashes(array, power, prime)[0]), 0, behind, base, prime))
+            columns = [pa.array(v, pa.int64()) for v in values]
+            names = [f"v{i}" for i in range(len(primes))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    return run
+
+
+def _long_chunks(rows: DataFrame, primes, bases) -> DataFrame:
+    """The chunks of ``rows(rid, doc_id, text_sha256, _norm)`` with their shifted values, stored."""
+    n_bytes = F.octet_length("_norm").cast("long").alias("n_bytes")
+    last = F.floor((F.octet_length("_norm") - 1) / CHUNK_BYTES).cast("int")
+    cut = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.substring(F.col("_norm"), i * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)),
+    )
+    pieces = rows.select("rid", "doc_id", "text_sha256", n_bytes, F.posexplode(cut).alias("chunk", "data"))
+    pieces = pieces.withColumn("chunk", F.col("chunk").cast("long")).repartition("rid", "chunk")
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(f"v{i}", T.LongType()) for i in range(len(primes)))])
+    return stored(map_batches(pieces, _shifted(primes, bases), schema))
+
+
+def _summed(chunks: DataFrame, primes) -> DataFrame:
+    """``rid, doc_id, text_sha256, n_bytes, fp`` of the texts that ``_long_chunks`` has cut."""
+    fp = F.lit(0).cast("long")
+    for i, prime in enumerate(primes):
+        fp = F.shiftleft(fp, 31).bitwiseOR(F.sum(f"v{i}") % prime)
+    return chunks.groupBy("rid", "doc_id", "text_sha256", "n_bytes").agg(fp.alias("fp"))
+
+
 def _chunks(primes, bases, candidates):
     """Chunks of the texts whose fingerprint may be that of a group."""
 
@@ -131,39 +177,52 @@ def _chunk_batch(rows):
     return pa.RecordBatch.from_arrays(arrays, [name for name, _ in _CHUNK_FIELDS])
 
 
-def _mixed(docs: DataFrame, groups: DataFrame, key: list[str], primes, bases) -> DataFrame:
-    """Those keys of ``groups`` under which texts differ in some chunk."""
-    candidates = docs.sparkSession.sparkContext.broadcast(bitmap_of(groups, "fp"))
+def _mixed(short: DataFrame, summed: DataFrame, cut: DataFrame, groups: DataFrame, key: list[str], primes, bases) -> DataFrame:
+    """Those keys of ``groups`` under which texts differ in some chunk. Long texts are ``cut``
+    already, their fingerprints are in ``summed``."""
+    candidates = short.sparkSession.sparkContext.broadcast(bitmap_of(groups, "fp"))
     norm = normalised(F.col("text"))
-    texts = docs.select(norm.cast("binary").alias("_norm"), F.sha2(norm, 256).alias("text_sha256"))
+    texts = short.select(norm.cast("binary").alias("_norm"), F.sha2(norm, 256).alias("text_sha256"))
     schema = "n_bytes long, fp long, text_sha256 string, chunk long, data binary"
     chunks = map_batches(texts, _chunks(primes, bases, candidates), schema)
+    suspects = stored(skew_join(summed, groups, KEY, "inner").select("rid", "fp"))
+    known = skew_join(cut, suspects, "rid", "inner")
+    chunks = chunks.unionByName(known.select(*KEY, "text_sha256", "chunk", "data"))
     compared = chunks.groupBy(*key, "chunk").agg(F.min("data").alias("a"), F.max("data").alias("b"))
     return compared.filter("a <> b").select(*key).distinct()
 
 
-def classes(docs: DataFrame, primes=PRIMES, bases=BASES) -> DataFrame:
+def classes(docs: DataFrame, primes=PRIMES, bases=BASES, long_bytes: int = LONG_BYTES) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``rid`` (a number of the row), ``doc_id``,
     ``text_sha256`` (of the normalised text), ``keep_id``, ``keep_rid``, ``group_size``, ``kept``."""
+    is_long = F.coalesce(F.octet_length("text") > long_bytes, F.lit(False))
+    short, long = docs.filter(~is_long), docs.filter(is_long)
     norm = normalised(F.col("text"))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
-        "doc_id",
-        F.sha2(norm, 256).alias("text_sha256"),
-        norm.cast("binary").alias("_norm"),
-    )
+
+    def numbered(part: DataFrame, odd: int) -> DataFrame:
+        """Even and odd numbers, so that the two parts share none."""
+        return part.select(
+            (F.monotonically_increasing_id() * 2 + odd).alias("rid"),
+            "doc_id",
+            F.sha2(norm, 256).alias("text_sha256"),
+            norm.cast("binary").alias("_norm"),
+        )
+
     schema = f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_sha256 string, n_bytes long, fp long"
-    rows = stored(map_batches(rows, _fingerprints(primes, bases), schema))
+    folded = map_batches(numbered(short, 0), _fingerprints(primes, bases), schema)
+    cut = _long_chunks(numbered(long, 1), primes, bases)
+    summed = stored(_summed(cut, primes))
+    rows = stored(folded.unionByName(summed))
 
     counted = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY)
-    mixed = stored(_mixed(docs, stored(counted), KEY, primes, bases))
+    mixed = stored(_mixed(short, summed, cut, stored(counted), KEY, primes, bases))
     # Fingerprints that different texts share: their rows are told apart by digest as well,
     # and compared again under it.
     rows = rows.join(mixed.withColumn("_m", F.lit(True)), KEY, "left")
     rows = rows.withColumn("_split", F.when(F.col("_m"), F.col("text_sha256")).otherwise("")).drop("_m")
     if not mixed.isEmpty():
         fine = [*KEY, "text_sha256"]
-        if not _mixed(docs, mixed, fine, primes, bases).join(mixed, KEY, "left_semi").isEmpty():
+        if not _mixed(short, summed, cut, mixed, fine, primes, bases).join(mixed, KEY, "left_semi").isEmpty():
             raise ValueError("different texts share length, fingerprint and digest")
     key = [*KEY, "_split"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid"))

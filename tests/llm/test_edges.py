@@ -113,6 +113,28 @@ def test_exact(spark, docs, wide, empty):
     assert exact.classes(empty).count() == 0 and exact.drop_duplicates(empty).count() == 0
 
 
+def test_chunks_of_long_texts_are_hashed_by_many_tasks(spark, docs):
+    """One huge text lies in many partitions, and its fingerprint is that of the local fold."""
+    data = "".join(chr(97 + i * i % 26) for i in range(40 * exact.CHUNK_BYTES + 5))
+    huge = [(10, data), (11, data), (12, data[:-1] + "!"), (13, data.replace("a", "\t ")), (14, data.replace("a", " \n ")), (15, None)]
+    df = spark.createDataFrame(huge, "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    norm = exact.normalised(F.col("text")).cast("binary").alias("_norm")
+    rows = df.filter("doc_id = 10").select(F.lit(0).cast("long").alias("rid"), "doc_id", F.lit("").alias("text_sha256"), norm)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # of partitions under a megabyte, as all are here
+    spark.conf.set(merging, "false")
+    cut = exact._long_chunks(rows, exact.PRIMES, exact.BASES)
+    spark.conf.unset(merging)
+    assert len(cut.inputFiles()) > 4
+    powers = [exact._powers(b, p) for b, p in zip(exact.BASES, exact.PRIMES)]
+    (one,) = exact._summed(cut, exact.PRIMES).collect()
+    assert (one["n_bytes"], one["fp"]) == (len(data), exact.fingerprint(data.encode(), powers))
+    shown = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    order = lambda frame: sorted(map(str, frame.select(*shown).collect()))
+    expected = order(exact.classes(df))
+    assert order(exact.classes(df, long_bytes=0)) == expected
+    assert order(exact.classes(df, primes=(3, 5), bases=(2, 3), long_bytes=20)) == expected
+
+
 def test_exact_with_colliding_fingerprints(spark):
     """Tiny primes: most texts of one length share a fingerprint, and are told apart all the same."""
     texts = [(i, f"text {i % 40:02d}") for i in range(200)]
