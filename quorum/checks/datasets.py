@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorum.functions.encode import rescale
 from quorum.operators.durable import shared_folder
-from quorum.schema import Dataset, nominal, real
+from quorum.schema import Dataset, DatasetMeta, nominal, real
 from quorum.sources.tables import from_array_table, from_table
 
 LINEITEM_KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -167,6 +167,17 @@ def orders_lines(spark, sf_dir) -> DataFrame:
     return header.unionByName(rows)
 
 
+def lineitem_lines(spark, sf_dir) -> DataFrame:
+    """``lineitem`` as lines of few different values, ``value`` alone: most have many copies."""
+    df = table(spark, sf_dir, "lineitem")
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    return df.select(F.concat_ws(", ", quantity, "l_returnflag", "l_linestatus").alias("value"))
+
+
+#: What these lines hold.
+LINE_META = DatasetMeta((real("l_quantity", 0, 50), nominal("l_returnflag", RETURN_FLAGS)), LINE_STATUS)
+
+
 def orders_files(spark, sf_dir) -> str:
     """``orders_lines`` written as ORDERS_FILES text files, each under the same header; their folder."""
     lines = orders_lines(spark, sf_dir)

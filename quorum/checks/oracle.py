@@ -550,6 +550,13 @@ FROM embeddings, range(1, 65) r(i)""",
     ),
     "train_test_split": with_(LINEITEM.base, f"SELECT {LINEITEM_KEY}, part FROM base"),
     "fold_assign": with_(LINEITEM.base, f"SELECT {LINEITEM_KEY}, fold FROM train"),
+    "keyless_draws": f"""WITH lines AS (SELECT l_quantity::int || ', ' || l_returnflag || ', ' || l_linestatus AS value,
+l_quantity::int::double AS x0, {position('l_returnflag', sets.RETURN_FLAGS)} AS x1,
+{position('l_linestatus', sets.LINE_STATUS)} AS label FROM lineitem),
+keyed AS (SELECT *, md5((row_number() OVER (PARTITION BY value) - 1)::varchar || '|' || value) AS row_id FROM lines)
+SELECT row_id, x0, x1, label, CASE WHEN {draw('split', ['row_id'])} < 0.6 THEN 'train' ELSE 'test' END AS part,
+floor({draw('fold', ['row_id'])} * 10)::int AS fold, {bag_weight(0, ['row_id'])} AS bag0, {bag_weight(1, ['row_id'])} AS bag1
+FROM keyed""",
     "fold_complement_counts": with_(
         LINEITEM.base,
         """SELECT k::int AS fold, count(*) FILTER (fold = k) AS held_out, count(*) FILTER (fold <> k) AS trained_on

@@ -203,6 +203,14 @@ def fold_assign(spark, sf_dir):
     return train.select(*sets.LINEITEM_KEY, sampling.fold_column(sets.LINEITEM_KEY).alias("fold"))
 
 
+def keyless_draws(spark, sf_dir):
+    """Equal lines without a key: each draws its own part, fold and weights."""
+    ds = parse_keel(sets.lineitem_lines(spark, sf_dir), sets.LINE_META, key="copy", name="lineitem_lines")
+    drawn = sampling.with_part(ds.frame, ds.key).withColumn("fold", sampling.fold_column(ds.key))
+    drawn = sampling.with_bag_weights(drawn, ds.key, 2)
+    return drawn.select("row_id", *_slots("inputs", 2, "x"), "label", "part", "fold", "bag0", "bag1")
+
+
 def fold_complement_counts(spark, sf_dir):
     return sampling.fold_complement_counts(fold_assign(spark, sf_dir))
 
@@ -504,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nominal_value_class_counts": nominal_value_class_counts,
     "train_test_split": train_test_split,
     "fold_assign": fold_assign,
+    "keyless_draws": keyless_draws,
     "fold_complement_counts": fold_complement_counts,
     "bootstrap_weights": bootstrap_weights,
     "attribute_mask": attribute_mask,

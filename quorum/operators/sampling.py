@@ -20,6 +20,24 @@ BAG_RATE = 0.66
 KEEP_PROBABILITY = 0.85
 # exp(-rate) and the sums after it keep their precision up to here.
 MAX_RATE = 500.0
+#: Copies of one row that a task writes out at a time.
+COPY_BLOCK = 1 << 16
+
+
+def numbered_copies(df: DataFrame, copy: str = "copy") -> DataFrame:
+    """``df`` with ``copy``: 0, 1, 2, ... among rows that are equal in all columns.
+
+    Which of them gets which number makes no difference, as they are equal: a row and its number
+    identify it whatever the order, files, partitions or retries, and nothing is stored. Rows
+    are counted, partly before the shuffle, and written out again from their counts; a row that
+    makes up much of the table is dealt to the tasks in blocks of COPY_BLOCK.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPY_BLOCK).cast("long")))
+    many = counted.filter(F.col("_n") > COPY_BLOCK).withColumn("_first", first).repartition(*df.columns, "_first")
+    few = counted.filter(F.col("_n") <= COPY_BLOCK).withColumn("_first", F.lit(0).cast("long"))
+    last = F.least(F.col("_first") + COPY_BLOCK, F.col("_n")) - 1
+    return few.unionByName(many).select(*df.columns, F.explode(F.sequence(F.col("_first"), last)).alias(copy))
 
 
 def part_column(key, fraction=TRAIN_FRACTION, seed=None, method="md5") -> Column:

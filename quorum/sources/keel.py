@@ -33,6 +33,7 @@ from quorum.functions.encode import (
     nominal_code,
     rescale_array,
 )
+from quorum.operators.sampling import numbered_copies
 from quorum.schema import NOMINAL, REAL, Attribute, Dataset, DatasetMeta, nominal, real
 
 # Fixed values of the file format.
@@ -200,7 +201,8 @@ def parse_keel(
     ``key`` names columns of ``lines`` that identify a row. Without it the set has no key:
     runs then draw for every row by itself, also where lines are equal, and write the draws
     down once. ``key="content"`` makes ``row_id`` a digest of the line, so that equal lines
-    share their draws. ``on_bad_row="drop"`` leaves out rows that do not parse instead of
+    share their draws; ``key="copy"`` digests the line's number among equal lines as well, so that
+    they draw apart and nothing is written down, at the price of one shuffle of the lines. ``on_bad_row="drop"`` leaves out rows that do not parse instead of
     raising (with the line in the message). ``report`` takes the counts of :func:`load_report`
     along in the first action on the whole frame, which saves a second read of the lines.
     """
@@ -211,6 +213,10 @@ def parse_keel(
     if key == "content":
         lines = lines.withColumn("row_id", F.md5(F.col(value)))
         key = ["row_id"]
+    elif key == "copy":
+        lines = numbered_copies(data_lines(lines, value).select(value))
+        lines = lines.withColumn("row_id", F.md5(F.concat_ws("|", "copy", value)))
+        key = ["row_id"]
     key = list(key or ())
     rows = _parsed_fields(lines, meta, key, value, trim_ends)
     if report is not None:

@@ -272,6 +272,41 @@ def test_equal_lines_draw_apart(spark, text_file):
     assert same.key == ("row_id",) and same.frame.select("row_id").distinct().count() == 4
 
 
+def test_copies_draw_apart_and_alike_in_any_order(spark, tmp_path, monkeypatch):
+    """Equal lines in one file, in many, shuffled, and with a line in several blocks."""
+    from quorum import ModelSpec, bagging
+    from quorum.operators import sampling
+    from quorum.plans import runs
+
+    top = head("@attribute a integer [0, 1]\n@attribute y {a, b}")
+    lines = [f"{x}, {n}\n" for x in (0, 1) for n in "ab" for _ in range(600 if x else 50)] + ["1,a\n"]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.dat").write_text(top + "".join(lines))
+    (tmp_path / "many").mkdir()
+    for i in range(5):
+        (tmp_path / "many" / f"{i}.dat").write_text(top + "".join(reversed(lines[i::5])))
+
+    def drawn(path, **options):
+        ds = load_keel(spark, str(tmp_path / path), key="copy", **options)
+        rows = sampling.with_bag_weights(sampling.with_part(ds.frame, ds.key), ds.key, 1)
+        return sorted(map(str, rows.withColumn("fold", sampling.fold_column(ds.key)).collect()))
+
+    expected = drawn("one")
+    assert len(expected) == len(lines) and len({r.split("row_id='")[1][:32] for r in expected}) == len(lines)
+    monkeypatch.setattr(sampling, "COPY_BLOCK", 7)
+    assert drawn("many") == expected and drawn("one", num_partitions=3) == expected
+
+    def stored(*_):
+        raise AssertionError("rows with a key of their own are written down")
+
+    monkeypatch.setattr(runs, "checkpointed", stored)
+    nb = ModelSpec.of("NB", 1.0)
+    result = bagging(load_keel(spark, str(tmp_path / "many"), key="copy"), [nb, nb])
+    assert abs(result.predictions.count() / len(lines) - 0.4) < 0.05
+    folds = {r.split("fold=")[1] for r in expected}
+    assert len(folds) == 10
+
+
 def test_counts_and_narrow_reads_check_the_rows(spark, text_file):
     from quorum.operators.prepare import dataset_summary, nominal_value_counts
 
