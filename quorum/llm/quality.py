@@ -3,8 +3,10 @@ labelled text; the better one of them compresses a text, the likelier its label.
 compressed in blocks that each start afresh from the dictionary, so that its end counts as much
 as its beginning.
 
-``fit`` learns from a bounded sample of labelled rows: stretches of at most STRETCH_CHARS
-characters make the dictionaries on the driver, whole texts calibrate the score on the executors.
+``fit`` learns from a bounded sample of labelled rows, of which it reads the whole texts: two
+thirds make the dictionaries, the others calibrate the score. The pieces of the texts are dealt to
+parts of about PART_BYTES; a task builds the dictionary of a part, and the dictionary of a label's
+parts is built from theirs. The driver holds dictionaries and numbers, and no text.
 ``score`` reads every whole text.
 
 * null or empty text: both sizes are equal up to a constant; the calibrated score of that.
@@ -17,6 +19,7 @@ characters make the dictionaries on the driver, whole texts calibrate the score
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +33,8 @@ from quorum.llm.common import map_batches, stored
 
 #: Labelled rows of each class that may enter the sample.
 SAMPLE_ROWS = 3000
-#: Of longer texts, a stretch of this length enters the dictionaries, from a place that a hash picks.
-STRETCH_CHARS = 40_000
+#: Text that one task builds a dictionary from. Longer texts make more parts.
+PART_BYTES = 1 << 23
 DICTIONARY_BYTES = 112_640
 #: Texts are cut into pieces of this size for the dictionary builder.
 PIECE_BYTES = 512
@@ -74,12 +77,66 @@ def size_difference(compressors, data: bytes) -> float:
     return (bad - good) / (bad + good)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    pieces = [t[i : i + PIECE_BYTES] for t in texts for i in range(0, len(t), PIECE_BYTES)]
+def _dictionary(pieces: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
-        return b"".join(texts)[:DICTIONARY_BYTES]
+        return b"".join(dict.fromkeys(pieces))
+
+
+def _cut(data: bytes) -> list[bytes]:
+    return [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+
+
+def _dealt(shared):
+    """The pieces of the texts that make dictionaries, each with its label's part it belongs to."""
+    names = ["label", "part", "turn", "at", "piece"]
+
+    def batch_of(rows):
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches):
+        turns, parts = shared.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for label, turn, text in zip(*batch.columns):
+                label, turn = label.as_py(), turn.as_py()
+                if turn not in turns:
+                    continue
+                for at, piece in enumerate(_cut(text.as_py().encode())):
+                    part = zlib.crc32(f"{turn}:{at}".encode()) % parts[label]
+                    rows.append((label, part, turn, at, piece))
+                    if len(rows) == 10_000:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
+
+    return run
+
+
+def _of_part(group: pa.Table) -> pa.Table:
+    """The dictionary of one part."""
+    ordered = group.sort_by([("turn", "ascending"), ("at", "ascending"), ("piece", "ascending")])
+    made = _dictionary(ordered["piece"].to_pylist())
+    first = [ordered[name].slice(0, 1).cast(pa.int32()) for name in ("label", "part")]
+    return pa.table([*first, pa.array([made], pa.binary())], ["label", "part", "made"])
+
+
+def dictionaries(picked: DataFrame, turns: frozenset[int], n_bytes: dict[int, int], part_bytes: int = PART_BYTES) -> dict[int, bytes]:
+    """The dictionary of each label, from all of the texts of ``picked(label, turn, text)`` whose
+    turn is in ``turns``; ``n_bytes`` is the size of these by label."""
+    parts = {label: -(-n // part_bytes) for label, n in n_bytes.items()}
+    shared = picked.sparkSession.sparkContext.broadcast((turns, parts))  # a number per sampled row
+    schema = "label int, part int, turn long, at long, piece binary"
+    dealt = map_batches(picked.select("label", "turn", "text"), _dealt(shared), schema)
+    made = dealt.groupBy("label", "part").applyInArrow(_of_part, "label int, part int, made binary").collect()
+    out = {}
+    for label in n_bytes:
+        own = [bytes(r["made"]) for r in sorted(made, key=lambda r: r["part"]) if r["label"] == label]
+        out[label] = own[0] if len(own) == 1 else _dictionary([piece for d in own for piece in _cut(d)])
+    return out
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
@@ -145,13 +202,11 @@ def sample(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = S
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> QualityModel:
     """The model of ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, from the labels for
-    which ``learn_from`` holds; stretches of at most ``rows`` rows of each label reach the driver."""
+    which ``learn_from`` holds; numbers of at most ``rows`` rows of each label reach the driver."""
     picked = stored(sample(docs, labels, learn_from, rows))
-    spare = F.greatest(F.length("text") - STRETCH_CHARS, F.lit(0)) + 1
-    stretch = F.substring("text", F.pmod(F.xxhash64(F.lit(11), "turn"), spare).cast("int") + 1, F.lit(STRETCH_CHARS))
-    got = picked.select("label", "turn", stretch.alias("stretch")).collect()
+    got = picked.select("label", "turn", F.octet_length("text").alias("size")).collect()
     by_label: dict[int, list] = {0: [], 1: []}
-    for r in sorted(got, key=lambda r: (r["turn"], r["stretch"])):
+    for r in sorted(got, key=lambda r: (r["turn"], r["size"])):
         by_label[r["label"]].append(r)
     n = {k: len(v) for k, v in by_label.items()}
     # A label has more ids than were asked for where there are many: every row of the sample then
@@ -164,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMP
         share = min(max(share, 1e-6), 1 - 1e-6)
         return QualityModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
     train = {k: [r for i, r in enumerate(v) if i % CALIBRATE_EVERY] or v for k, v in by_label.items()}
-    good, bad = (_dictionary([r["stretch"].encode() for r in train[k]]) for k in (1, 0))
+    n_bytes = {k: sum(r["size"] for r in v) for k, v in train.items()}
+    made = dictionaries(picked, frozenset(r["turn"] for v in train.values() for r in v), n_bytes)
+    good, bad = made[1], made[0]
     turns = frozenset(r["turn"] for v in by_label.values() for r in v[::CALIBRATE_EVERY])
     shared = docs.sparkSession.sparkContext.broadcast((good, bad, turns))
     differences = map_batches(picked.select("label", "turn", "text"), _differences(shared), "label int, turn long, x double")

@@ -104,6 +104,25 @@ def test_quality_of_held_out_documents(spark):
     assert all(r["predicted"] == (r["score"] >= QUALITY_THRESHOLD) for r in rows.values())
 
 
+def test_quality_scores_equal_the_plain_ones(spark, texts, con):
+    """The same scores from dictionaries of whole texts, built and applied one text at a time."""
+    labels = con.sql("SELECT doc_id, quality FROM labels").fetchall()
+    learned = [(d, q) for d, q in labels if zlib.crc32(str(d).encode()) % 5]
+    expected = brute.quality_scores(texts, learned)
+    rows = {r["doc_id"]: r["score"] for r in QUERIES["op7_quality_classifier"](spark, SF_SMALL).collect()}
+    assert rows.keys() == expected.keys()
+    assert all(abs(rows[d] - s) < 1e-6 for d, s in expected.items())
+
+
+def test_languages_equal_the_plain_ones(spark, texts, con):
+    """Counting and backing off word by word, without caps or caches."""
+    langs = con.sql("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL").fetchall()
+    learned = [(texts[d], lang) for d, lang in langs if zlib.crc32(str(d).encode()) % 4 != 2]
+    for r in QUERIES["op4_language_id"](spark, SF_SMALL).collect():
+        lang, score = brute.language(texts[r["doc_id"]], learned)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-6
+
+
 def test_codec_equals_the_library(spark, texts, library):
     for r in QUERIES["op8_bpe_codec"](spark, SF_SMALL).collect():
         ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
