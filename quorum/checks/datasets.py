@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ LINEITEM_REALS = (
 LINEITEM_DISCRETE = (LINEITEM_REALS[0], *LINEITEM_REALS[2:])
 RETURN_FLAGS = ("A", "N", "R")
 LINE_STATUS = ("F", "O")
+#: Declared days of shipping, from a rule; lines shipped later are undeclared.
+SHIP_DAYS = tuple(str(date.fromordinal(n)) for n in range(date(1995, 1, 1).toordinal(), date(2000, 1, 1).toordinal()))
 ORDER_STATUS = ("F", "O", "P")
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT_SPECIFIED", "5-LOW")
 LANGS = ("de", "en", "es", "fr")

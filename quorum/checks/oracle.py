@@ -522,6 +522,8 @@ FROM ({HEADER}), range(0, {sets.ORDERS_FILES}) r(part)"""),
     "keel_load_report": f"SELECT * EXCLUDE (kept) FROM ({LOAD_REPORT})",
     "keel_load_observed": LOAD_REPORT,
     "nominal_encode": f"SELECT o_orderkey, {position(PRIORITY, sets.PRIORITIES[:4])} AS code FROM orders",
+    "nominal_encode_wide": f"""SELECT {LINEITEM_KEY}, CASE WHEN l_shipdate::date BETWEEN DATE '1995-01-01' AND DATE '1999-12-31'
+THEN date_diff('day', DATE '1995-01-01', l_shipdate::date) ELSE -1 END::double AS code FROM lineitem""",
     "class_onehot": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::double AS c0,
 CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END::double AS c1,
 CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END::double AS c2 FROM orders""",

@@ -141,6 +141,13 @@ def nominal_encode(spark, sf_dir):
     return orders.select("o_orderkey", nominal_code(value, sets.PRIORITIES[:4]).alias("code"))
 
 
+def nominal_encode_wide(spark, sf_dir):
+    """A nominal attribute of 1,826 declared values: the days of five years."""
+    df = sets.table(spark, sf_dir, "lineitem")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    return df.select(*sets.LINEITEM_KEY, nominal_code(day, sets.SHIP_DAYS).alias("code"))
+
+
 def class_one_hot(spark, sf_dir):
     orders = sets.table(spark, sf_dir, "orders")
     code = nominal_code(F.col("o_orderstatus"), sets.ORDER_STATUS)
@@ -502,6 +509,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keel_load_report": keel_load_report,
     "keel_load_observed": keel_load_observed,
     "nominal_encode": nominal_encode,
+    "nominal_encode_wide": nominal_encode_wide,
     "class_onehot": class_one_hot,
     "label_from_onehot": label_from_one_hot,
     "declared_range_rescale": declared_range_rescale,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -11,19 +12,52 @@ from pyspark.sql import functions as F
 # compiles. Longer ones use higher-order functions: the plan stays small, and the generated
 # method stays below the size at which the JVM stops compiling it.
 UNROLL_LIMIT = 32
+# Declared lists of more values than this are looked up by hash and not walked through.
+WIDE_DOMAIN = 256
+_SEPARATOR = "\u0001"
 
 
 def literal_array(values: Sequence) -> Column:
-    """A constant array (folded to one literal by the optimizer)."""
+    """A constant array (folded to one literal by the optimizer). Many strings are handed over as
+    one, so that a plan of a long list has as few nodes as that of a short one."""
+    if len(values) > WIDE_DOMAIN and all(isinstance(v, str) and _SEPARATOR not in v for v in values):
+        return F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR)
     return F.array(*[F.lit(v) for v in values])
 
 
 def nominal_code(value: Column, values: Sequence) -> Column:
     """Position of ``value`` in the declared list, -1 if it is not there."""
+    if len(values) > WIDE_DOMAIN and all(isinstance(v, str) and _SEPARATOR not in v for v in values):
+        return _hashed_code(value.cast("string"), values)
     position = F.array_position(literal_array(values), value)
     return (F.coalesce(position, F.lit(0)) - 1).cast("double")
 
 
+def _numbers(values: Sequence[int]) -> Column:
+    """A constant array of many numbers, folded to one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _hashed_code(value: Column, values: Sequence[str]) -> Column:
+    """:func:`nominal_code` of a long list, in buckets of about two values each by ``crc32``. The
+    list is a constant of the plan: it is as large as the header that declares it, whatever the
+    number of rows."""
+    first = {v: i for i, v in reversed(list(enumerate(values)))}
+    buckets: list[list[str]] = [[] for _ in range(1 << (len(first) // 2).bit_length())]
+    for v in first:
+        buckets[zlib.crc32(v.encode()) % len(buckets)].append(v)
+    starts = [0]
+    for bucket in buckets:
+        starts.append(starts[-1] + len(bucket))
+    in_order = [v for bucket in buckets for v in bucket]
+    own = F.pmod(F.crc32(value.cast("binary")), F.lit(len(buckets))).cast("int")
+    start = F.get(_numbers(starts), own)
+    there = F.slice(literal_array(in_order), start + 1, F.get(_numbers(starts), own + 1) - start)
+    place = F.array_position(there, value).cast("int")
+    code = F.get(_numbers([first[v] for v in in_order]), start + place - 1)
+    return F.when(place > 0, code).otherwise(-1).cast("double")
+
+
 def class_onehot(code: Column, n_classes: int) -> Column:
     """One-hot array with 1.0 at ``code``."""
     if n_classes <= UNROLL_LIMIT:

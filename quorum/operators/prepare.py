@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorum.functions.encode import literal_array
 from quorum.schema import NOMINAL, Dataset
 
 
@@ -70,7 +71,7 @@ def _nominal_values(ds: Dataset, by_class: bool) -> DataFrame:
     )
     names = F.lit(None).cast("string")
     for _, a in nominals:
-        domain = F.array(*[F.lit(v) for v in a.values])
+        domain = literal_array(a.values)
         names = F.when(F.col("attribute") == a.name, F.get(domain, F.col("code"))).otherwise(names)
     return counts.select("attribute", "code", names.alias("value"), *label, "n")
 

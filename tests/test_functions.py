@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quorum.functions.encode import (
+    WIDE_DOMAIN,
     class_onehot,
     label_from_onehot,
     mask_features,
@@ -48,6 +49,24 @@ def test_nominal_code(spark):
     assert values(df.select(nominal_code(F.col("v"), ["a", "b", "b"]))) == [1.0, -1.0, -1.0]
 
 
+def test_nominal_code_of_a_long_list(spark):
+    """100,000 declared values: the same codes as a dictionary's, from a plan of the same size."""
+    declared = [f"é{i % 99_000}" for i in range(100_000)] + ["", "a,b", "|"]
+    first = {v: i for i, v in reversed(list(enumerate(declared)))}
+    shown = [*declared[:50_000], "é99000", "é", " ", None]
+    df = spark.createDataFrame([(v,) for v in [*shown, "", "a,b", "|"]], "v string")
+    got = df.select("v", nominal_code(F.col("v"), declared).alias("c")).collect()
+    assert [r.c for r in got] == [first.get(r.v, -1) for r in got]
+
+    def nodes(n):
+        plan = spark.range(1).select(nominal_code(F.col("id").cast("string"), [str(i) for i in range(n)]))
+        return plan._jdf.queryExecution().analyzed().expressions().apply(0).treeString().count("\n")
+
+    assert nodes(WIDE_DOMAIN + 1) == nodes(50 * WIDE_DOMAIN)
+    many = spark.range(2_000_000).select(nominal_code((F.col("id") % 90_000).cast("string"), [str(i) for i in range(90_000)]).alias("c"))
+    assert many.agg(F.sum("c")).first()[0] == sum(i % 90_000 for i in range(2_000_000))  # 10^11 steps, were the list walked
+
+
 def test_rescale_maps_the_ends_to_zero_and_one(spark):
     df = spark.createDataFrame([(2.0,), (7.0,)], "x double")
     assert values(df.select(rescale(F.col("x"), 2, 7))) == [0.0, 1.0]
