@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -182,14 +183,31 @@ def lineitem_lines(spark, sf_dir) -> DataFrame:
 LINE_META = DatasetMeta((real("l_quantity", 0, 50), nominal("l_returnflag", RETURN_FLAGS)), LINE_STATUS)
 
 
+def file_lines(lines: DataFrame) -> DataFrame:
+    """``value`` of header lines by ``position``, then of rows by ``row_id``, for one file.
+
+    A file is one task, but its lines are sorted by many: a global sort cuts them into ranges,
+    and the one task that writes reads the sorted ranges one after another, so that no task
+    holds more than a range."""
+    return lines.orderBy(F.asc_nulls_last("position"), "row_id").coalesce(1).select("value")
+
+
 def orders_files(spark, sf_dir) -> str:
     """``orders_lines`` written as ORDERS_FILES text files, each under the same header; their folder."""
     lines = orders_lines(spark, sf_dir)
-    every = F.explode(F.array(*[F.lit(i) for i in range(ORDERS_FILES)]))
-    header = lines.filter(F.col("position").isNotNull()).withColumn("part", every)
+    header = lines.filter(F.col("position").isNotNull())
     rows = lines.filter(F.col("position").isNull()).withColumn("part", (F.col("row_id") % ORDERS_FILES).cast("int"))
     path = shared_folder(spark, "orders")
-    dealt = header.unionByName(rows).repartition(ORDERS_FILES, "part")
-    in_order = dealt.sortWithinPartitions("part", F.asc_nulls_last("position"), "row_id")
-    in_order.select("value", "part").write.partitionBy("part").text(path)
+
+    def write(part: int) -> None:
+        own = header.unionByName(rows.filter(F.col("part") == part).drop("part"))
+        file_lines(own).write.text(f"{path}/part={part}")
+
+    # The files are written side by side, as the tasks of one write were.
+    with ThreadPoolExecutor(ORDERS_FILES) as pool:
+        list(pool.map(write, range(ORDERS_FILES)))
+    # Rows without a key have no part: Spark's own name for it, and no header, as partitionBy wrote them.
+    keyless = rows.filter(F.col("part").isNull())
+    if not keyless.isEmpty():
+        keyless.orderBy("row_id").coalesce(1).select("value").write.text(f"{path}/part=__HIVE_DEFAULT_PARTITION__")
     return path
