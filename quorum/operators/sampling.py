@@ -34,10 +34,12 @@ def numbered_copies(df: DataFrame, copy: str = "copy") -> DataFrame:
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPY_BLOCK).cast("long")))
-    many = counted.filter(F.col("_n") > COPY_BLOCK).withColumn("_first", first).repartition(*df.columns, "_first")
-    few = counted.filter(F.col("_n") <= COPY_BLOCK).withColumn("_first", F.lit(0).cast("long"))
+    # The counts are few and small, so that Spark's adaptive plan would gather them into one task,
+    # which would then write out the whole table: the blocks go to as many tasks as the rows fill.
+    rows = counted.agg(F.sum("_n")).first()[0] or 0
+    blocks = counted.withColumn("_first", first).repartition(max(1, -(-rows // COPY_BLOCK)), *df.columns, "_first")
     last = F.least(F.col("_first") + COPY_BLOCK, F.col("_n")) - 1
-    return few.unionByName(many).select(*df.columns, F.explode(F.sequence(F.col("_first"), last)).alias(copy))
+    return blocks.select(*df.columns, F.explode(F.sequence(F.col("_first"), last)).alias(copy))
 
 
 def part_column(key, fraction=TRAIN_FRACTION, seed=None, method="md5") -> Column:
