@@ -12,8 +12,9 @@ sketches at least 1 + s are equal bit for bit. Blocks are therefore join keys:
   ``block_keys``) and keeps common lines from being keys.
 * an empty block tells nothing and is no key where at most s of a set's blocks are empty: one
   of the 1 + s equal ones is then still a key of both sides. Smaller sets repeat this under
-  several hash seeds; a set with more empty blocks under every seed keeps them all as keys, so
-  no link is lost.
+  several hash seeds; a set with more empty blocks under every seed is keyed by its first
+  shingles in one order for all, frequent ones last (prefix filtering), so no link is lost and
+  sets that share only a common line or empty blocks do not all meet under one key.
 * equal sets are merged first, so exact copies cost one row.
 
 In a bucket (sets that share a key), no list of pairs is built: a leader is compared with the
@@ -170,7 +171,9 @@ def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None
     join texts that share no more than a common line. Leaving the same shingles out of two sets
     never makes them differ in more, so the blocks still find every link, between all sets of
     which one has at most ``slack`` empty blocks. A set with more under every seed also gives
-    the keys of all its shingles, where it meets the others of its kind.
+    the keys of its first shingles (see ``_prefix``), where it meets the others of its kind.
+    Blocks of all its shingles would not do: those that hold only frequent ones are the same
+    for every text with a common line.
     """
     rare = grams
     if frequent is not None and len(frequent):
@@ -186,12 +189,29 @@ def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None
         seen = [_blocks(rare, band, seed, False, k + 1 + slack) for seed in seeds]
         keys += [key[~empty] for key, empty in seen]
         if all(empty.sum() > slack for _, empty in seen):
-            seen = [_blocks(grams, band, seed, True, k + 1 + slack) for seed in seeds]
-            sparse = all(empty.sum() > slack for _, empty in seen)
-            keys += [key if sparse and not i else key[~empty] for i, (key, empty) in enumerate(seen)]
+            keys.append(_prefix(grams, band, jaccard, frequent))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
+def _prefix(grams: np.ndarray, band: int, jaccard: Jaccard, frequent: np.ndarray | None) -> np.ndarray:
+    """Keys of the first shingles of a set in one order for all sets, frequent ones last.
+
+    Two sets that link share at least ``num / den`` of the larger one's shingles, so of a set's
+    ``n - ceil(num * n / den) + 1`` first ones at least one is in the other's first ones too.
+    Unlike empty blocks, which all sparse sets of a band have, these keys are the set's own.
+    """
+    common = np.zeros(len(grams), bool)
+    if frequent is not None and len(frequent):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        common = frequent[at] == grams
+    order = mix(grams ^ U(0x3C6EF372FE94F82B))
+    first = np.lexsort((order, common))
+    n = len(grams)
+    take = n - (jaccard.num * n + jaccard.den - 1) // jaccard.den + 1
+    tag = mix(np.array([band << 48 | 0xFF << 40], U) + U(1))
+    return mix(grams[first[:take]] ^ tag)
+
+
 def _shared_in_batch(size: int):
     """Shingles that several texts of a batch have, and how many."""
 

@@ -136,6 +136,20 @@ def test_linked_sets_share_a_block_key(n, share, seed):
         assert distance <= len(np.setxor1d(grams, other))
 
 
+def test_sets_sharing_a_common_line_do_not_share_a_key():
+    # Each set is one common line's frequent shingles and ten of its own: no two link, and
+    # blocks that hold only the common shingles must not be keys that all of them share.
+    rnd = np.random.default_rng(5)
+    common = np.unique(rnd.integers(0, 2**64, 40, np.uint64))
+    jaccard = near.Jaccard(4, 85, 100)
+    counts = {}
+    for _ in range(200):
+        grams = np.unique(np.concatenate([common, rnd.integers(0, 2**64, 10, np.uint64)]))
+        for key in set(near.block_keys(grams, jaccard, common).tolist()):
+            counts[key] = counts.get(key, 0) + 1
+    assert max(counts.values()) <= 2
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
