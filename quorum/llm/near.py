@@ -9,7 +9,7 @@ sketches at least 1 + s are equal bit for bit. Blocks are therefore join keys:
 * sets are dealt to *size bands*; a set also enters a band above its own if a linked partner
   could be there, and within a band all sets use the same number of blocks.
 * shingles that very many texts have are left out of the blocks, which loses no link (see
-  ``block_keys``) and keeps common lines from being keys.
+  ``block_keys``) and keeps common lines from being keys. All texts are counted for this.
 * an empty block tells nothing and is no key where at most s of a set's blocks are empty: one
   of the 1 + s equal ones is then still a key of both sides. Smaller sets repeat this under
   several hash seeds; a set with more empty blocks under every seed is keyed by its first
@@ -38,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import bitmap_of, connected_components, map_batches, mix, skew_join, stored, unused_names
+from quorum.llm.common import Bitmap, bitmap_of, connected_components, map_batches, mix, skew_join, stored, unused_names
 
 #: Cells of a block: far more than there are shingles in it, so that unrelated blocks differ.
 #: Sketches are sparse, and only the cells with a bit are ever held.
 BLOCK_CELLS = 1 << 30
-#: Texts sampled to find frequent shingles, and the share of them that makes one frequent.
-SAMPLE = 20_000
+#: The share of the texts that makes a shingle frequent, the cells that shingles are counted
+#: in, and how many of these are added up at once.
 FREQUENT = 2e-3
+CELLS = 1 << 20
+CELLS_PART = 1 << 14
 #: Least bits of the sketch that candidates are compared by; it has at least one per shingle.
 SKETCH_BITS = 1 << 8
 BAND_RATIO = 1.4
@@ -164,7 +166,17 @@ def _blocks(grams: np.ndarray, band: int, seed: int, full: bool, blocks: int) ->
     return mix(value ^ mix(tag)), np.bincount(of, minlength=blocks) == 0
 
 
-def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None = None) -> np.ndarray:
+def _is_frequent(grams: np.ndarray, frequent: Bitmap | np.ndarray | None) -> np.ndarray:
+    """Which shingles ``frequent``, a bitmap or a sorted list, holds."""
+    if isinstance(frequent, Bitmap):
+        return frequent.has(grams)
+    if frequent is None or not len(frequent):
+        return np.zeros(len(grams), bool)
+    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+    return frequent[at] == grams
+
+
+def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: Bitmap | np.ndarray | None = None) -> np.ndarray:
     """The join keys of a set: one per block with bits, seed and band.
 
     Shingles of ``frequent`` (sorted) are left out first: a block that holds nothing else would
@@ -175,10 +187,7 @@ def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None
     Blocks of all its shingles would not do: those that hold only frequent ones are the same
     for every text with a common line.
     """
-    rare = grams
-    if frequent is not None and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        rare = grams[frequent[at] != grams]
+    rare = grams[~_is_frequent(grams, frequent)]
     keys = []
     for band in jaccard.bands(len(grams)):
         k = jaccard.differ(2 * jaccard.top(band))
@@ -193,17 +202,14 @@ def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: np.ndarray | None
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
 
-def _prefix(grams: np.ndarray, band: int, jaccard: Jaccard, frequent: np.ndarray | None) -> np.ndarray:
+def _prefix(grams: np.ndarray, band: int, jaccard: Jaccard, frequent: Bitmap | np.ndarray | None) -> np.ndarray:
     """Keys of the first shingles of a set in one order for all sets, frequent ones last.
 
     Two sets that link share at least ``num / den`` of the larger one's shingles, so of a set's
     ``n - ceil(num * n / den) + 1`` first ones at least one is in the other's first ones too.
     Unlike empty blocks, which all sparse sets of a band have, these keys are the set's own.
     """
-    common = np.zeros(len(grams), bool)
-    if frequent is not None and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        common = frequent[at] == grams
+    common = _is_frequent(grams, frequent)
     order = mix(grams ^ U(0x3C6EF372FE94F82B))
     first = np.lexsort((order, common))
     n = len(grams)
@@ -212,32 +218,67 @@ def _prefix(grams: np.ndarray, band: int, jaccard: Jaccard, frequent: np.ndarray
     return mix(grams[first[:take]] ^ tag)
 
 
-def _shared_in_batch(size: int):
-    """Shingles that several texts of a batch have, and how many."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of unsigned 64-bit integers, all first bytes first."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def _count_cells(size: int):
+    """How many shingles of the task's texts fall into each of CELLS cells, in parts."""
 
     def run(batches):
+        counts = np.zeros(CELLS, np.int64)
+        held, pending = [], 0
         for batch in batches:
-            sets = shingles(batch.column(0).to_pylist(), size)
-            grams, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, U), np.empty(0, int))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], ["gram", "n"]
-            )
+            own = shingles(batch.column(0).to_pylist(), size)
+            held += [(g & U(CELLS - 1)).astype(np.int32) for g in own]
+            pending += sum(map(len, own))
+            if pending >= CELLS:
+                counts += np.bincount(np.concatenate(held), minlength=CELLS)
+                held, pending = [], 0
+        if pending:
+            counts += np.bincount(np.concatenate(held), minlength=CELLS)
+        if counts.any():
+            parts = counts.view(U).reshape(-1, CELLS_PART)
+            packed = [pa.compress(_planes(x, 8), "zstd", asbytes=True) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(packed)], ["part", "counts"])
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, jaccard: Jaccard) -> np.ndarray:
-    """Shingles that more than FREQUENT of the texts seem to have, from a sample of SAMPLE texts.
+def _add_cells(table: pa.Table) -> pa.Table:
+    total = np.zeros(CELLS_PART, U)
+    for packed in table["counts"]:
+        total += _from_planes(pa.decompress(packed.as_py(), 8 * CELLS_PART, "zstd", asbytes=True), 8)
+    packed = pa.compress(_planes(total, 8), "zstd", asbytes=True)
+    return pa.table({"part": table["part"][:1], "counts": pa.array([packed])})
+
+
+def frequent_shingles(docs: DataFrame, jaccard: Jaccard) -> Bitmap:
+    """Shingles that more than FREQUENT of all texts have.
 
-    Which ones they are has no effect on the links found, only on the work it takes. There are
-    at most 1 / FREQUENT of them for every shingle that a text has on average.
+    All shingles of all texts are counted, in CELLS cells of their hashes, so that neither the
+    shuffle nor the result grows with the number of different ones. A cell is frequent if it
+    has as many shingles more than the average cell. A rare shingle in one of these cells is
+    taken for a frequent one: which ones are has no effect on the links found, only on the
+    work it takes.
     """
     total = docs.count()
-    taken = docs.select("text").sample(min(1.0, SAMPLE / max(1, total)), seed=11)
-    counted = map_batches(taken, _shared_in_batch(jaccard.shingle), "gram long, n long").groupBy("gram")
-    least = max(4, int(FREQUENT * min(total, SAMPLE)))
-    got = counted.agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram").toArrow()
-    return np.sort(got["gram"].to_numpy().view(U))
+    counted = map_batches(docs.select("text"), _count_cells(jaccard.shingle), "part int, counts binary")
+    got = counted.groupBy("part").applyInArrow(_add_cells, "part int, counts binary").toArrow()
+    cells = np.zeros((CELLS // CELLS_PART, CELLS_PART), U)
+    for part, packed in zip(got["part"].to_pylist(), got["counts"].to_pylist()):
+        cells[part] = _from_planes(pa.decompress(packed, 8 * CELLS_PART, "zstd", asbytes=True), 8)
+    cells = cells.reshape(-1)
+    over = cells >= max(4.0, FREQUENT * total) + cells.mean()
+    return Bitmap(np.packbits(over, bitorder="little").view(U))
 
 
 def _describe(jaccard: Jaccard, frequent):
