@@ -10,11 +10,12 @@ sketches at least 1 + s are equal bit for bit. Blocks are therefore join keys:
   could be there, and within a band all sets use the same number of blocks.
 * shingles that very many texts have are left out of the blocks, which loses no link (see
   ``block_keys``) and keeps common lines from being keys. All texts are counted for this.
-* an empty block tells nothing and is no key where at most s of a set's blocks are empty: one
-  of the 1 + s equal ones is then still a key of both sides. Smaller sets repeat this under
-  several hash seeds; a set with more empty blocks under every seed is keyed by its first
-  shingles in one order for all, frequent ones last (prefix filtering), so no link is lost and
-  sets that share only a common line or empty blocks do not all meet under one key.
+* of the k + 1 + s blocks a set needs no more than its first k + 1 in one order for all as
+  keys. Those with most bits come first, so that blocks of one shingle are rarely keys. An
+  empty block tells nothing and is no key: a set of too few blocks with bits repeats this under
+  other hash seeds, and after the last is keyed by its first shingles in one order for all,
+  frequent ones last (prefix filtering), so no link is lost and sets that share only a common
+  line or empty blocks do not all meet under one key.
 * equal sets are merged first, so exact copies cost one row.
 
 In a bucket (sets that share a key), no list of pairs is built: a leader is compared with the
@@ -38,7 +39,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorum.llm.common import Bitmap, bitmap_of, connected_components, map_batches, mix, skew_join, stored, unused_names
+from quorum.llm.common import (
+    Bitmap,
+    bitmap_of,
+    connected_components,
+    map_batches,
+    mix,
+    release,
+    skew_join,
+    stored,
+    stored_mark,
+    stored_since,
+    unused_names,
+)
 
 #: Cells of a block: far more than there are shingles in it, so that unrelated blocks differ.
 #: Sketches are sparse, and only the cells with a bit are ever held.
@@ -48,6 +61,11 @@ BLOCK_CELLS = 1 << 30
 FREQUENT = 2e-3
 CELLS = 1 << 20
 CELLS_PART = 1 << 14
+#: Bytes of a key as it is stored and dealt out: equal ends of different keys only make
+#: candidates, which are compared. Keys that a task deals out, and compares, at once.
+KEY_BYTES = 5
+KEYS_DEALT = 1 << 19
+KEYS_COMPARED = 1 << 20
 #: Least bits of the sketch that candidates are compared by; it has at least one per shingle.
 SKETCH_BITS = 1 << 8
 BAND_RATIO = 1.4
@@ -149,8 +167,8 @@ def _slack(k: int, least: float) -> int:
     return slack
 
 
-def _blocks(grams: np.ndarray, band: int, seed: int, full: bool, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """A key for every block of the set's sketch, and which blocks are empty."""
+def _blocks(grams: np.ndarray, band: int, seed: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every block of the set's sketch, and its number of bits."""
     h = mix(grams ^ U(((band << 8 | seed) + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
     block = (h >> U(30)) % U(blocks)
     cells = np.sort(block * U(BLOCK_CELLS) + (h & U(BLOCK_CELLS - 1)))
@@ -162,8 +180,8 @@ def _blocks(grams: np.ndarray, band: int, seed: int, full: bool, blocks: int) ->
     if len(odd):
         starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         value[of[starts]] = np.bitwise_xor.reduceat(mix(odd + U(1)), starts)
-    tag = np.arange(blocks, dtype=U) + U(band << 48 | seed << 40 | full << 39)
-    return mix(value ^ mix(tag)), np.bincount(of, minlength=blocks) == 0
+    tag = np.arange(blocks, dtype=U) + U(band << 48 | seed << 40)
+    return mix(value ^ mix(tag)), np.bincount(of, minlength=blocks)
 
 
 def _is_frequent(grams: np.ndarray, frequent: Bitmap | np.ndarray | None) -> np.ndarray:
@@ -177,27 +195,38 @@ def _is_frequent(grams: np.ndarray, frequent: Bitmap | np.ndarray | None) -> np.
 
 
 def block_keys(grams: np.ndarray, jaccard: Jaccard, frequent: Bitmap | np.ndarray | None = None) -> np.ndarray:
-    """The join keys of a set: one per block with bits, seed and band.
-
-    Shingles of ``frequent`` (sorted) are left out first: a block that holds nothing else would
-    join texts that share no more than a common line. Leaving the same shingles out of two sets
-    never makes them differ in more, so the blocks still find every link, between all sets of
-    which one has at most ``slack`` empty blocks. A set with more under every seed also gives
-    the keys of its first shingles (see ``_prefix``), where it meets the others of its kind.
-    Blocks of all its shingles would not do: those that hold only frequent ones are the same
-    for every text with a common line.
+    """The join keys of a set: blocks with bits, by band and seed.
+
+    Shingles of ``frequent`` are left out first: a block that holds nothing else would join
+    texts that share no more than a common line. Leaving the same shingles out of two sets
+    never makes them differ in more.
+
+    Blocks are put in one order for all sets, those of most bits first, and a set gives no more
+    than its first ``d + 1``, if it can differ by ``d`` from a set that links with it in the
+    band. Of these at least one is equal in both, and the first equal one is among the first
+    of the other set as well, for no more than ``d`` blocks differ. It is a key of both unless
+    it is empty, which takes a set of fewer than ``d + 1`` blocks with bits. Such a set goes on
+    to the next seed, where it meets the others of its kind, and after the last one to the
+    keys of its first shingles (see ``_prefix``). Blocks of all its shingles would not do:
+    those that hold only frequent ones are the same for every text with a common line.
     """
+    n = len(grams)
     rare = grams[~_is_frequent(grams, frequent)]
     keys = []
-    for band in jaccard.bands(len(grams)):
-        k = jaccard.differ(2 * jaccard.top(band))
+    for band in jaccard.bands(n):
+        top = jaccard.top(band)
+        k = jaccard.differ(2 * top)
         if k == 0:
             continue  # only equal sets link, and those are merged
-        slack = jaccard.slack(band)
-        seeds = range(_seeds(jaccard.top(band)))
-        seen = [_blocks(rare, band, seed, False, k + 1 + slack) for seed in seeds]
-        keys += [key[~empty] for key, empty in seen]
-        if all(empty.sum() > slack for _, empty in seen):
+        take = jaccard.differ(n + min(top, n * jaccard.den // jaccard.num)) + 1
+        for seed in range(_seeds(top)):
+            key, bits = _blocks(rare, band, seed, k + 1 + jaccard.slack(band))
+            first = np.lexsort((key, -bits))[:take]
+            first = first[bits[first] > 0]
+            keys.append(key[first])
+            if len(first) == take:
+                break
+        else:
             keys.append(_prefix(grams, band, jaccard, frequent))
     return np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
 
@@ -240,7 +269,7 @@ def _count_cells(size: int):
             own = shingles(batch.column(0).to_pylist(), size)
             held += [(g & U(CELLS - 1)).astype(np.int32) for g in own]
             pending += sum(map(len, own))
-            if pending >= CELLS:
+            if pending >= CELLS // 4:
                 counts += np.bincount(np.concatenate(held), minlength=CELLS)
                 held, pending = [], 0
         if pending:
@@ -287,20 +316,19 @@ def _describe(jaccard: Jaccard, frequent):
             if not batch.num_rows:
                 continue
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            n, fp, fq, words, keys, ends = [], [], [], [], [], [0]
+            n, fp, fq, words, keys = [], [], [], [], []
             for grams in shingles(texts, jaccard.shingle):
                 a, b = set_hash(grams)
                 own = block_keys(grams, jaccard, frequent.value) if len(grams) else np.empty(0, np.int64)
+                own = np.unique(own.view(U) >> U(64 - 8 * KEY_BYTES))
                 n.append(len(grams)), fp.append(a), fq.append(b)
                 words.append(sketch(grams))
-                keys.append(own)
-                ends.append(ends[-1] + len(own))
+                keys.append(own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes())
             widths = np.cumsum([0, *map(len, words)])
             sketches = pa.ListArray.from_arrays(pa.array(widths, pa.int32()), pa.array(np.concatenate(words)))
-            key_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(fp), pa.array(fq), sketches, key_lists],
+                [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(fp), pa.array(fq), sketches, pa.array(keys, pa.binary())],
                 [*kept, "n", "fp", "fq", "sketch", "keys"],
             )
 
@@ -393,12 +421,13 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, jaccard: Jaccard
 
 
 def describe(docs: DataFrame, jaccard: Jaccard, keep: list[str]) -> DataFrame:
-    """One row per document: its number ``rid``, the columns ``keep``, size, hashes, sketch, keys."""
+    """One row per document: its number ``rid``, the columns ``keep``, size, hashes, sketch, and
+    its keys, of KEY_BYTES each."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), *keep, F.xxhash64("text").alias("text_hash"), "text")
     kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, jaccard))
     return map_batches(
-        rows, _describe(jaccard, frequent), f"{kinds}, n long, fp long, fq long, sketch array<long>, keys array<long>"
+        rows, _describe(jaccard, frequent), f"{kinds}, n long, fp long, fq long, sketch array<long>, keys binary"
     )
 
 
@@ -410,17 +439,13 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
     jaccard = Jaccard(shingle, num, den)
     if not 0 < num <= den:
         raise ValueError("the threshold must be over 0 and at most 1")
+    mark = stored_mark()
     described = stored(describe(docs, jaccard, ["doc_id", *keep]))
+    shared = stored(_shared_keys(described))
+    with_keys, described = stored_since(mark)[0], stored(described.drop("keys"))
+    release(docs.sparkSession, [with_keys])
     described, nodes = _named_sets(described)
-    with_keys = described.filter(F.size("keys") > 0)
-
-    # Most keys belong to one document. Those of several are counted first, with the smallest
-    # rows that can be, and only their members are written out.
-    counted = with_keys.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    shared = stored(counted.filter("m > 1").select("key"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(shared, "key"))
-    member = map_batches(with_keys.select("node", "keys"), _members(bitmap), "key long, node long")
-    member = stored(member.distinct())
+    member = stored(shared.join(described.select("rid", "node"), "rid").select("key", "node").distinct())
     buckets = member.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     member = stored(skew_join(member, stored(buckets), "key", "inner", weight="m"))
 
@@ -485,21 +510,81 @@ def _named_sets(described: DataFrame) -> tuple[DataFrame, DataFrame]:
     return described, stored(sets)
 
 
-def _members(bitmap):
-    """(key, node) of the keys that may be shared."""
+def _shared_keys(described: DataFrame) -> DataFrame:
+    """``key``, ``rid`` of the keys that several rows of ``described`` have.
+
+    Most keys belong to one row and are never written out as rows of their own: a task deals
+    its keys out to the parts in packed lists, and a part gives back those it has twice.
+    """
+    bytes_ = described.agg(F.sum(F.octet_length("keys")).alias("n")).first()["n"] or 0
+    parts = 1 + bytes_ // KEY_BYTES // KEYS_COMPARED
+    with_keys = described.filter(F.octet_length("keys") > 0).select("rid", "fp", "fq", "keys")
+    dealt = map_batches(with_keys, _deal(parts), "part long, base long, n long, body binary")
+    return dealt.groupBy("part").applyInArrow(_several, "key long, rid long")
+
+
+def _deal(parts: int):
+    """Packed lists of a task's keys, and of the rows they belong to, for every part."""
+
+    def packed(rids, keys):
+        # One row of a list for every 65,536 rids; sorted keys, so that their steps are small.
+        order = np.lexsort((keys, rids >> 16))
+        rids, keys = rids[order], keys[order]
+        base, part = rids >> 16 << 16, (keys * U(parts) >> U(8 * KEY_BYTES)).view(np.int64)
+        new = np.concatenate([[True], (base[1:] != base[:-1]) | (part[1:] != part[:-1])])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(keys))
+        body = [
+            pa.compress(
+                _planes(np.diff(keys[i:j], prepend=U(0)), KEY_BYTES) + _planes((rids[i:j] - base[i]).astype(U), 2),
+                "zstd",
+                asbytes=True,
+            )
+            for i, j in zip(starts, ends)
+        ]
+        arrays = [pa.array(part[starts]), pa.array(base[starts]), pa.array(ends - starts), pa.array(body, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["part", "base", "n", "body"])
 
     def run(batches):
+        rids, keys, seen, held = [], [], set(), 0
+        join = lambda: packed(np.repeat(rids, [len(k) // KEY_BYTES for k in keys]), _wide(b"".join(keys)))
         for batch in batches:
-            nodes, keys = batch.column(0).to_numpy(), batch.column(1)
-            ends = keys.offsets.to_numpy()
-            values = keys.values.to_numpy()[ends[0] : ends[-1]]
-            may = bitmap.value.has(values)
-            of = np.repeat(nodes, np.diff(ends))
-            yield pa.RecordBatch.from_arrays([pa.array(values[may]), pa.array(of[may])], ["key", "node"])
+            for rid, fp, fq, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if (fp, fq) not in seen:  # equal sets share all keys anyway
+                    seen.add((fp, fq))
+                    rids.append(rid), keys.append(own)
+                    held += len(own) // KEY_BYTES
+                if held >= KEYS_DEALT:
+                    yield join()
+                    rids, keys, seen, held = [], [], set(), 0
+        if held:
+            yield join()
 
     return run
 
 
+def _wide(keys: bytes) -> np.ndarray:
+    """Keys of KEY_BYTES each as integers."""
+    out = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return out.reshape(-1).view("<u8").astype(U)
+
+
+def _several(table: pa.Table) -> pa.Table:
+    """The keys that the lists of a part have more than once, with their rows."""
+    keys, rids = [], []
+    for base, n, body in zip(table["base"].to_pylist(), table["n"].to_pylist(), table["body"]):
+        data = pa.decompress(body.as_py(), n * (KEY_BYTES + 2), "zstd", asbytes=True)
+        keys.append(np.cumsum(_from_planes(data[: n * KEY_BYTES], KEY_BYTES), dtype=U))
+        rids.append(_from_planes(data[n * KEY_BYTES :], 2).view(np.int64) + base)
+    key, rid = np.concatenate(keys), np.concatenate(rids)
+    order = np.argsort(key)
+    key, rid = key[order], rid[order]
+    same = key[1:] == key[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return pa.table({"key": key[several].view(np.int64), "rid": rid[several]})
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -535,11 +620,14 @@ def _next_pairs(left: DataFrame, tested: DataFrame):
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the first document (smallest id) of every component; all columns.
     Rows that repeat both id and text count as one."""
-    key, at, same = unused_names(docs, "_text_key", "_id", "_key")
+    key, same = unused_names(docs, "_text_key", "_key")
     marked = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    mark = stored_mark()
     found = components(marked, shingle, num, den, keep=(key,))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", key, "rid"))
-    stays = found.groupBy("component").agg(first.alias("f")).select("f.doc_id", f"f.{key}")
-    kept = stays.select(F.col("doc_id").alias(at), F.col(key).alias(same))
-    on = marked["doc_id"].eqNullSafe(kept[at]) & (marked[key] == kept[same])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+    stays = found.groupBy("component").agg(first.alias("f"))
+    kept = stored(stays.select(F.struct("f.doc_id", f"f.{key}").alias(same)))
+    release(docs.sparkSession, stored_since(mark)[:-1])
+    # One column for both, in which null ids are equal: the texts are shuffled by it once.
+    marked = marked.select(*docs.columns, F.struct("doc_id", key).alias(same))
+    return marked.join(kept, same, "left_semi").dropDuplicates([same]).select(*docs.columns)
