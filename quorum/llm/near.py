@@ -628,6 +628,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den:
     stays = found.groupBy("component").agg(first.alias("f"))
     kept = stored(stays.select(F.struct("f.doc_id", f"f.{key}").alias(same)))
     release(docs.sparkSession, stored_since(mark)[:-1])
-    # One column for both, in which null ids are equal: the texts are shuffled by it once.
+    # One column for both, in which null ids are equal.
     marked = marked.select(*docs.columns, F.struct("doc_id", key).alias(same))
     return marked.join(kept, same, "left_semi").dropDuplicates([same]).select(*docs.columns)
